@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import token_files
+from . import packing, token_files
 
 QUERIES = {
+    "op1_best_fit_packing": packing.query,
     "op7_token_files": token_files.query,
 }
 
