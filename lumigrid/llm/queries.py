@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing, token_files
+from . import packing, quality, token_files
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op7_token_files": token_files.query,
+    "op8_quality_rules": quality.query,
 }
 
 ORACLES: dict[str, str] = {}

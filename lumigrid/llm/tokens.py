@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
 #: Units a worker keeps, about 200 bytes each; longer units aren't kept.
-STORE_UNITS, STORE_LENGTH = 1_500_000, 48
+STORE_UNITS, STORE_LENGTH = 1_000_000, 48
 
 #: White space of the split pattern and of Python, as RE2 writes it.
 _SPACE = r"\x09-\x0d\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
