@@ -28,8 +28,8 @@ COMMON = {
     "fr": "de la le et les des en un du une que est pour qui dans par plus pas au sur ne se ce il sont avec ou son lui nous comme mais on leur elle été cette ces si aux même ses sans être deux fait entre",
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue había era muy años hasta desde",
 }
-MIN_CHARS, MIN_WORDS = 200, 60
-CHAR_LIMIT, WORD_LIMIT = 0.35, 0.75
+MIN_CHARS, MIN_WORDS = 200, 80
+CHAR_LIMIT, WORD_LIMIT = 0.28, 0.34
 _DUP = 8
 
 _CLASSES = 12

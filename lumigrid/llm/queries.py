@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import packing, quality, token_files
+from . import licenses, packing, pii, quality, token_files
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op7_token_files": token_files.query,
     "op8_quality_rules": quality.query,
+    "op9_license_scan": licenses.query,
+    "op10_personal_data": pii.query,
 }
 
 ORACLES: dict[str, str] = {}
