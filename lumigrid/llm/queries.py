@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, licenses, packing, pii, quality, token_files
+from . import chat, licenses, media, packing, pii, quality, token_files
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op4_chat_formatting": chat.query,
+    "op6_media_columns": media.query,
     "op7_token_files": token_files.query,
     "op8_quality_rules": quality.query,
     "op9_license_scan": licenses.query,
