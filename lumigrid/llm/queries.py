@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import chat, licenses, media, mixing, packing, pii, quality, token_files
+from . import chat, jaccard, licenses, media, mixing, packing, pii, quality, token_files
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op2_source_mixing": mixing.query,
     "op4_chat_formatting": chat.query,
+    "op5_jaccard_join": jaccard.query,
     "op6_media_columns": media.query,
     "op7_token_files": token_files.query,
     "op8_quality_rules": quality.query,
