@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat, jaccard, licenses, media, mixing, packing, pii, quality, token_files
+from . import chat, jaccard, licenses, media, mixing, packing, pii, quality, substrings, token_files
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
     "op2_source_mixing": mixing.query,
+    "op3_substring_dedup": substrings.query,
     "op4_chat_formatting": chat.query,
     "op5_jaccard_join": jaccard.query,
     "op6_media_columns": media.query,
