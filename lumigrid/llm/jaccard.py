@@ -282,5 +282,21 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     return full.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("part", "doc_id").alias("component_id"), "key_a", "key_b")
 
 
+def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
+    """The documents, columns unchanged, without those that a smaller doc_id of their component stands for.
+
+    Rows that repeat a doc_id go with it down to one; documents with an empty set or a null doc_id stay.
+    """
+    found = classes(docs, k, percent)
+    gone = found.filter("component_id < doc_id").select("doc_id").distinct()
+    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    again = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
+    if again.isEmpty():
+        return left
+    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
+    numbered = left.select(F.struct(*(left[c] for c in left.columns)).alias("doc"), F.when(F.col("doc_id").isNull(), 1).otherwise(number).alias("number"))
+    return numbered.filter("number = 1").select("doc.*")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return classes(common.documents(spark, sf_dir)).select("doc_id", "n_shingles", "component_id")

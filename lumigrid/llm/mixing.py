@@ -13,6 +13,7 @@ only, so reruns agree.
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -74,6 +75,11 @@ def targets(sizes: np.ndarray, weights: tuple[float, ...] = WEIGHTS, share: floa
 SIZED = "doc_id long, source string, size long, row long"
 
 
+def _key() -> F.Column:
+    """What tells documents of one doc_id apart: their content."""
+    return F.xxhash64(F.coalesce("text", F.lit("")))
+
+
 def sized(docs: DataFrame) -> DataFrame:
     """doc_id, source, size (words of the whole text) and a content key, from one pass."""
     source = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
@@ -83,12 +89,9 @@ def sized(docs: DataFrame) -> DataFrame:
         for part in common.chunks(batches, size=3 << 20):
             data, bounds = words.raw(part.column(1))
             starts, _ = words.runs(data, bounds, words.SPACES)
-            full = np.flatnonzero(np.diff(bounds) > 0)
-            key = np.zeros(part.num_rows, np.uint64)
-            key[full] = words.hashes(data, bounds[full], bounds[full + 1])
-            yield common.batch_of(out, part.column(0), part.column(2), np.diff(np.searchsorted(starts, bounds)), key.view(np.int64))
+            yield common.batch_of(out, part.column(0), part.column(2), np.diff(np.searchsorted(starts, bounds)), part.column(3))
 
-    return common.table(common.texts(docs, source.alias("source")).mapInArrow(run, SIZED), "sizes")
+    return common.table(common.texts(docs, source.alias("source"), _key().alias("row")).mapInArrow(run, SIZED), "sizes")
 
 
 def _split(pdf: pd.DataFrame, key: str) -> pd.DataFrame:
@@ -97,13 +100,14 @@ def _split(pdf: pd.DataFrame, key: str) -> pd.DataFrame:
     return pdf.assign(seats=sainte_lague(pdf["size"].to_numpy(), int(pdf["parent_seats"].iloc[0])))
 
 
-def _take(pdf: pd.DataFrame, block: int, seed: int, limit: float) -> np.ndarray:
-    """Words taken of each document of one (shard, source), documents in seeded order; also the ranges of the last pass."""
+def _take(pdf: pd.DataFrame, block: int, seed: int, limit: float) -> tuple[int, np.ndarray, list[list[tuple[int, int]]]]:
+    """Whole passes over the documents of one (shard, source), which come in seeded order, and the word ranges [a, b) of each that a last pass takes."""
     size = pdf["size"].to_numpy(np.int64)
     total = int(size.sum())
     want = min(int(pdf["seats"].iloc[0]) * block, int(limit * total))
     passes, rest = divmod(want, total) if total else (0, 0)
     edge = np.concatenate([[0], np.cumsum(size)])
+    extra, ranges = np.zeros(len(size), np.int64), [[] for _ in size]
     if rest:
         n = -(-total // block)
         key = int(pdf["source_key"].iloc[0]) & (1 << 62) - 1
@@ -114,16 +118,25 @@ def _take(pdf: pd.DataFrame, block: int, seed: int, limit: float) -> np.ndarray:
         lens[-1] -= int(lens.sum()) - rest
         at = np.argsort(order)
         lo = order[at] * block
-        cover = np.concatenate([[0], np.cumsum(lens[at])])
-        # words of the line before x that are taken: whole earlier ranges and the part of the one x lies in
-        i = np.searchsorted(lo, edge, "right") - 1
-        before = np.where(i >= 0, cover[np.maximum(i, 0)] + np.minimum(edge - lo[np.maximum(i, 0)], lens[at][np.maximum(i, 0)]), 0)
-        return passes * size + np.diff(before)
-    return passes * size
+        hi = lo + lens[at]
+        # cut the line at block and document edges: each segment lies in one document, and in one block or none
+        cuts = np.unique(np.concatenate([edge, lo, hi]))
+        a, b = cuts[:-1], cuts[1:]
+        i = np.searchsorted(lo, a, "right") - 1
+        inside = (i >= 0) & (a < hi[np.maximum(i, 0)])
+        a, b = a[inside], b[inside]
+        doc = np.searchsorted(edge, a, "right") - 1
+        np.add.at(extra, doc, b - a)
+        for d, x, y in zip(doc.tolist(), (a - edge[doc]).tolist(), (b - edge[doc]).tolist(), strict=True):
+            if ranges[d] and ranges[d][-1][1] == x:
+                ranges[d][-1] = (ranges[d][-1][0], y)
+            else:
+                ranges[d].append((x, y))
+    return passes, passes * size + extra, ranges
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, limit: float = LIMIT, block: int = BLOCK, seed: int = SEED) -> DataFrame:
-    """doc_id, size, source, source_size, target, taken and ``row`` (a content key) of each document.
+    """doc_id, size, source, source_size, target and taken of each document, ``row`` (a content key), and how it is taken: ``passes`` whole times and once in ``ranges`` of words.
 
     Null source is a source of its own (last); null and empty texts have size 0 and nothing taken; repeated
     rows are documents of their own. An empty table gives no rows.
@@ -153,12 +166,46 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["place", "doc_id", "row", "size"], kind="stable")
-        pdf["taken"] = _take(pdf, block, seed, limit)
-        return pdf[["doc_id", "row", "source", "size", "taken"]]
+        passes, pdf["taken"], ranges = _take(pdf, block, seed, limit)
+        pdf["passes"], pdf["ranges"] = passes, [[{"a": a, "b": b} for a, b in r] for r in ranges]
+        return pdf[["doc_id", "row", "source", "size", "taken", "passes", "ranges"]]
 
     lines = spread.withColumn("place", F.xxhash64(F.lit(seed + 1), "row", "doc_id")).join(quotas, ["source_key", "shard"])
-    chosen = lines.groupBy("source_key", "shard").applyInPandas(choose, "doc_id long, row long, source string, size long, taken long")
-    return chosen.join(plan, chosen["source"].eqNullSafe(plan["source"])).select("doc_id", "row", chosen["source"], "size", "source_size", "target", "taken")
+    chosen = lines.groupBy("source_key", "shard").applyInPandas(choose, "doc_id long, row long, source string, size long, taken long, passes int, ranges array<struct<a:long,b:long>>")
+    return chosen.join(plan, chosen["source"].eqNullSafe(plan["source"])).select("doc_id", "row", chosen["source"], "size", "source_size", "target", "taken", "passes", "ranges")
+
+
+_WORD = re.compile(r"[^\x20\x09-\x0D]+")
+
+
+def mixed(docs: DataFrame) -> DataFrame:
+    """The mix as documents, columns unchanged: a row per whole pass, and one with the words of the last pass; ``n_chars`` follows.
+
+    Documents are told apart by doc_id and text. Documents of which nothing is taken go.
+    """
+    chosen = mix(docs).filter("taken > 0").select(F.col("doc_id").alias("id"), F.col("row").alias("key"), "passes", "ranges")
+    kind = "array<struct<a:long,b:long>>"
+    parts = F.concat(F.array_repeat(F.lit(None).cast(kind), F.col("passes")), F.filter(F.array("ranges"), lambda r: F.size(r) > 0))
+    chosen = chosen.select("id", "key", parts.alias("parts"))
+    rows = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == chosen["key"]))
+    rows = rows.select(*(docs[c] for c in docs.columns), F.explode(chosen["parts"]).alias("part"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in common.chunks(batches):
+            names = batch.schema.names[:-1]
+            texts = batch.column(at := names.index("text")).to_pylist()
+            for i, part in enumerate(batch.column(len(names)).to_pylist()):
+                if part is not None:
+                    spans = [m.span() for m in _WORD.finditer(texts[i])]
+                    texts[i] = "\n".join(texts[i][spans[r["a"]][0] : spans[r["b"] - 1][1]] for r in part)
+            columns, fields = list(batch.columns[:-1]), list(batch.schema)[:-1]
+            columns[at] = pa.array(texts, fields[at].type)
+            if "n_chars" in names:
+                n = names.index("n_chars")
+                columns[n] = pa.array([len(t) for t in texts], pa.int64()).cast(fields[n].type)
+            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema(fields))
+
+    return rows.mapInArrow(run, docs.schema)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -168,7 +168,7 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """The documents, columns unchanged, each span in ``text`` replaced by ``[KIND]`` (null texts stay null)."""
+    """The documents, columns unchanged, each span in ``text`` replaced by ``[KIND]``; ``n_chars`` follows (null texts stay null)."""
     common.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,7 +186,10 @@ def redact(docs: DataFrame) -> DataFrame:
                             free = hi
                     text = "".join(pieces) + text[free:]
                 out.append(text)
-            yield part.set_column(column, part.schema.field(column), pa.array(out, part.schema.field(column).type))
+            part = part.set_column(column, part.schema.field(column), pa.array(out, part.schema.field(column).type))
+            if (n := part.schema.get_field_index("n_chars")) >= 0:
+                part = part.set_column(n, part.schema.field(n), pa.array([len(t or "") for t in out], pa.int64()).cast(part.schema.field(n).type))
+            yield part
 
     return docs.mapInArrow(run, docs.schema)
 

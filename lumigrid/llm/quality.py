@@ -164,6 +164,30 @@ VERDICTS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_li
 _VERDICTS = pa.schema([*list(_FEATURES)[:7], ("kept", pa.bool_()), ("char_distance", pa.float64()), ("word_distance", pa.float64())])
 
 
+def _verdict(m: dict[str, np.ndarray], refs: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """kept and both distances, from counts and histograms."""
+    n = m["n_words"]
+
+    def near(h: np.ndarray, references: np.ndarray) -> np.ndarray:
+        share = h / np.maximum(h.sum(1), 1)[:, None]
+        return np.min([np.ones(len(h)), *(distance(share, r) for r in references if r.sum() > 0)], 0)
+
+    c, w = near(m["chars"], refs[0]), near(_word_histogram(m["listed"], n), refs[1])
+    good = ((m["word_chars"] < MIN_CHARS) | (c <= CHAR_LIMIT)) & ((n < MIN_WORDS) | (w <= WORD_LIMIT))
+    return good & ~m["base_failed"], c, w
+
+
+def keep(docs: DataFrame) -> DataFrame:
+    """The documents that pass, columns unchanged; the verdicts are those of ``judge``, on references of these documents."""
+    refs = references(features(docs))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in common.chunks(batches, size=3 << 20):
+            yield part.filter(pa.array(_verdict(measure(part.column(part.schema.get_field_index("text"))), refs)[0]))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def judge(docs: DataFrame) -> DataFrame:
     """The counts, distances and verdict of each document.
 
@@ -171,18 +195,14 @@ def judge(docs: DataFrame) -> DataFrame:
     base rules) the distances are 1 and only the minimum lengths decide. Repeated rows get equal rows.
     """
     table = features(docs)
-    char_ref, word_ref = references(table)
+    refs = references(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if not b.num_rows:
                 continue
-            chars, listed, n = _matrix(b.column(8)), _matrix(b.column(9)), b.column(1).to_numpy()
-            near = lambda h, refs: np.min([np.ones(len(h)), *(distance(h / np.maximum(h.sum(1), 1)[:, None], r) for r in refs if r.sum() > 0)], 0)
-            c, w = near(chars, char_ref), near(_word_histogram(listed, n), word_ref)
-            good = ((b.column(2).to_numpy() < MIN_CHARS) | (c <= CHAR_LIMIT)) & ((n < MIN_WORDS) | (w <= WORD_LIMIT))
-            failed = b.column(6).to_numpy(zero_copy_only=False)
-            yield common.batch_of(_VERDICTS, *b.columns[:7], good & ~failed, c, w)
+            m = {"n_words": b.column(1).to_numpy(), "word_chars": b.column(2).to_numpy(), "base_failed": b.column(6).to_numpy(zero_copy_only=False), "chars": _matrix(b.column(8)), "listed": _matrix(b.column(9))}
+            yield common.batch_of(_VERDICTS, *b.columns[:7], *_verdict(m, refs))
 
     return table.mapInArrow(run, VERDICTS)
 
