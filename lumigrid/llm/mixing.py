@@ -27,7 +27,7 @@ from . import common, words
 WEIGHTS, SHARE, LIMIT = (5.0, 2.0, 1.0), 1.5, 2.0
 BLOCK, SEED = 16, 17
 #: What a shard should hold, and how many shards an apportionment may see.
-SHARD_WORDS, SHARD_ROWS, FAN = 400_000, 4_000, 1_024
+SHARD_WORDS, SHARD_ROWS, FAN = 100_000, 1_000, 1_024
 #: Sources get weights one by one, so there are few; above this the mix is refused.
 MOST_SOURCES = 100_000
 
