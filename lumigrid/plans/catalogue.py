@@ -605,3 +605,64 @@ def exclusion_json_roundtrip(spark, d):
 @query()
 def table_fingerprint(spark, d):
     return V.table(spark, d, "events").agg(*naming.fingerprint("event_id", "value"))
+
+
+# --- previews and labels -----------------------------------------------------------------------------
+
+
+@query(f"with {_RESID}, n3 as (select n // 3 k, n from n), part as (select case when g < k then 'first' when g >= n - k then 'last' end part, g % 4 phase, resid from resid, n3) select part, phase, round(avg(resid), 5) + 0.0 mean, count(*) n from part where part is not null group by 1, 2")
+def correction_preview(spark, d):
+    resid, n = _resid(spark, d), V.mean(spark, d).count()
+    part = F.when(F.col("g") < n // 3, "first").when(F.col("g") >= n - n // 3, "last")
+    rows = resid.select(part.alias("part"), demux.channel_at(F.col("g"), C).alias("phase"), "resid").filter("part is not null")
+    return rows.groupBy("part", "phase").agg((F.round(F.avg("resid"), 5) + F.lit(0.0)).alias("mean"), F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    f"with {V.FRAME}, h as (select distinct file_idx, g, dense_rank() over (partition by file_idx order by g) k from frame) select file_idx, g, ((g + 3) % 4) ch, 'Ch' || ((g + 3) % 4) || '_' || ['a', 'b', 'a', 'c'][(g + 3) % 4 + 1] || '-' || ['source', 'source', 'donner', 'donner'][(g + 3) % 4 + 1] token from h where k <= 4"
+)
+def input_preview(spark, d):
+    head = frames.head_per_file(V.frame(spark, d).select("file_idx", "g").distinct(), 4).select("file_idx", "g", demux.channel_at(F.col("g"), C, 3).alias("ch"))
+    names, roles = F.array(*map(F.lit, "abac")), F.array(*(naming.role(F.lit(r)) for r in (" S ", "source", "d", "Donner")))
+    return head.select("file_idx", "g", "ch", naming.channel_token(F.col("ch"), F.get(names, F.col("ch")), F.get(roles, F.col("ch"))).alias("token"))
+
+
+@query(f"with {V.ROI}, custom as (select name || ' ' name, x + 1 x, y from roi where name in ('A_R', 'B_L')) select n.roi, cast(coalesce(c.y, a.y) as bigint) r, cast(coalesce(c.x, a.x) as bigint) c from (select unnest(['A_R', 'B_L', 'A_L', 'none']) roi) n left join custom c on trim(c.name) = n.roi left join roi a on a.name = n.roi")
+def roi_coordinates(spark, d):
+    rois = V.rois(spark)
+    custom = rois.filter(F.col("name").isin("A_R", "B_L")).select(F.concat("name", F.lit(" ")).alias("name"), (F.col("x") + 1).alias("x"), "y", "size")
+    names = spark.createDataFrame([("A_R",), (" B_L",), ("A_L",), ("none",)], "roi string")
+    return roi.coordinates(names, custom, rois)
+
+
+@query(f"with {V.FRAME}, v as (select quantile_cont(abs(x - 1000), 0.99) q from frame) select round(case when q < 1e-6 then 1.0 else q end, 6) + 0.0 half_range from v")
+def display_range(spark, d):
+    q = V.frame(spark, d).agg(F.percentile(F.abs(F.col("x") - 1000), F.lit(0.99)).alias("q"))
+    return q.select(_r(F.when(F.col("q") < 1e-6, 1.0).otherwise(F.col("q")), "half_range"))
+
+
+@query("select p_partkey, regexp_replace(p_brand || '2/3', '(1|2/3|4|5|6a|6b)$', '') area, cast(nullif(regexp_extract(p_brand, '(\\d+)', 1), '') as bigint) n from part")
+def area_names(spark, d):
+    p = V.table(spark, d, "part")
+    return p.select("p_partkey", atlas.without_layer(F.concat("p_brand", F.lit("2/3"))).alias("area"), naming.embedded_number(F.col("p_brand")).alias("n"))
+
+
+@query(f"with {V.FRAME}, {V.ROI}, w as (select * from (values (0.2989, 0), (0.5870, 1), (0.1140, 2)) t(k, ch)) select g // 3 t, p, round(sum(x * k), 6) + 0.0 gray from frame join w on g % 3 = ch where g // 3 < (select max(g) // 3 from frame) group by 1, 2")
+def gray_map(spark, d):
+    t, ch = F.floor(F.col("g") / 3), F.pmod("g", F.lit(3))
+    last = V.table(spark, d, "embeddings").agg(F.floor(F.max("vec_id") / 3)).first()[0]
+    pick = lambda k: F.max(F.when(ch == k, F.col("x")))
+    rgb = V.frame(spark, d).filter(t < last).groupBy(t.alias("t"), "p").agg(pick(0).alias("r"), pick(1).alias("g"), pick(2).alias("b"))
+    return rgb.select("t", "p", _r(frames.luminance(F.col("r"), F.col("g"), F.col("b")), "gray"))
+
+
+@query(f"with {V.ROI} select \"name\", cast(x as bigint) x, cast(y as bigint) y, cast(size as bigint) size from roi union all select case when name like '%\\_R' escape '\\' then name[:-3] || '_L' when name like '%\\_L' escape '\\' then name[:-3] || '_R' else name || '_contra' end, cast(7 - x as bigint), cast(y as bigint), cast(size as bigint) from roi")
+def both_hemispheres(spark, d):
+    return atlas.both_hemispheres(V.rois(spark), 8)
+
+
+@query()
+def content_slip_qc(spark, d):
+    px = frames.decimate(frames.head_per_file(V.frame(spark, d), 8), 2)
+    found = qc.clusters(qc.embed(px.select("g", "p", "x")), 2)
+    return qc.consistency(found.select(F.floor(F.col("g") / 50).alias("file_idx"), F.pmod("g", F.lit(2)).alias("ch"), F.col("cluster").cast("long").alias("cluster")))
