@@ -13,6 +13,7 @@ import os
 import shutil
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -25,6 +26,7 @@ from ..shipping import ship
 CHUNK_ROWS, CHUNK_BYTES = 2048, 8 << 20
 
 _own: dict[str, str] = {}
+_paths: dict[int, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -50,7 +52,19 @@ def table(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.partitionBy(*partition_by).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[id(out)] = path
+    weakref.finalize(out, _paths.pop, id(out), None)
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes tables that ``table`` wrote and nothing will read again, and what Spark no longer needs of their making."""
+    for df in tables:
+        path = _paths.pop(id(df))
+        spark = df.sparkSession
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def release(spark: SparkSession) -> None:
@@ -59,6 +73,25 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+#: Bits of the filter that ``sift`` broadcasts: 131,072 rows of 64 bits whatever the input's size.
+SIFT_BITS = 1 << 23
+
+
+def sift(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``rows`` without most of those whose key isn't in ``ids`` (a table); a join on the key follows.
+
+    A hashed bitmap of fixed size goes to all tasks, so rows that can't join aren't shuffled. With very many ids it
+    fills up and lets everything pass, which costs nothing but its effect.
+    """
+    place = lambda: F.pmod(F.xxhash64(key), F.lit(SIFT_BITS))
+    word, bit = lambda: F.shiftright(place(), 6).cast("int"), lambda: (place() % 64).cast("int")
+    one = F.expr("1L")
+    marks = ids.select(word().alias("sift_word"), F.call_function("shiftleft", one, bit()).alias("mark")).groupBy("sift_word").agg(F.bit_or("mark").alias("sift_marks"))
+    hit = F.call_function("shiftright", F.col("sift_marks"), bit()).bitwiseAND(F.lit(1)) == 1
+    marks = F.broadcast(marks)
+    return rows.join(marks, word() == marks["sift_word"]).filter(hit).select(*(rows[c] for c in rows.columns))
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -4,9 +4,11 @@ A document's set holds its distinct k-word shingles as 64-bit hashes. Documents
 node. Tokens (shingles) are ordered the same way everywhere - rare ones by hash first, the few very frequent
 ones last - and two sets that meet the threshold share a token among the first n - ceil(t n) + 1 of either, so
 documents meet by these prefix tokens only. What meets goes through the count vectors: shingles are hashed into
-``GROUPS`` groups, a document is the point of its group counts, and the overlap of two sets is at most the sum of
+groups, a document is the point of its group counts, and the overlap of two sets is at most the sum of
 the coordinate minima. Points that share a token form an R-tree; a box whose summed minima with a point can't
-reach the overlap the threshold needs is skipped with all it holds. Surviving pairs are verified on the texts.
+reach the overlap the threshold needs is skipped with all it holds. The tree counts in ``GROUPS`` coarse groups;
+a pair it leaves is bounded once more with each document's own count of groups, which grows with its size (coarse
+groups are sums of fine ones), so the bound is as sharp for long texts. Surviving pairs are verified on the texts.
 
 Large groups of near copies would make pairs quadratic, so the join has two rounds. First each document is only
 held against one hub per token (the smallest id); verified links give labels, and equal labels mean linked.
@@ -27,14 +29,14 @@ from pyspark.sql.window import Window
 from . import common, words
 from .components import components
 
-GROUPS, FAN = 32, 8
+GROUPS, FINEST, FAN = 32, 4096, 8
 #: A token held by this many documents of one chunk counts as frequent; so many of them at most go last in the order.
 OFTEN, FREQUENT = 8, 50_000
 #: Documents verified against one hub in one group of rows.
 STAR = 500
 #: Rows a search task handles together, whole tokens.
-HELD = 100_000
-_CHUNK = 3 << 20
+HELD = 40_000
+_CHUNK = 3 << 19
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -83,8 +85,14 @@ def frequent(docs: DataFrame, k: int) -> np.ndarray:
     return np.array([r.token for r in reversed(rows)], np.int64).view(np.uint64)
 
 
-NODES = "doc_id long, n long, key_a long, key_b long, vec binary, prefix array<long>"
-_NODES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key_a", pa.int64()), ("key_b", pa.int64()), ("vec", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+NODES = "doc_id long, n long, key_a long, key_b long, vec binary, coarse binary, prefix array<long>"
+_NODES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key_a", pa.int64()), ("key_b", pa.int64()), ("vec", pa.binary()), ("coarse", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+
+
+def _pack(counts: np.ndarray) -> bytes:
+    """Counts in the fewest bytes each, that size first."""
+    width = 1 if (top := int(counts.max())) < 1 << 8 else 2 if top < 1 << 16 else 4
+    return bytes([width]) + counts.astype(f"<u{width}").tobytes()
 
 
 def nodes(docs: DataFrame, k: int, percent: int) -> DataFrame:
@@ -99,7 +107,12 @@ def nodes(docs: DataFrame, k: int, percent: int) -> DataFrame:
             n, owner = np.diff(first), np.repeat(np.arange(part.num_rows), np.diff(first))
             sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.mix(h + np.uint64(salt)))]) for salt in (1, 2)]
             keys = [(s[first[1:]] - s[first[:-1]]).view(np.int64) for s in sums]
-            vec = np.bincount(owner * GROUPS + (h >> np.uint64(40)).astype(np.int64) % GROUPS, minlength=len(n) * GROUPS).astype("<u4").reshape(-1, GROUPS)
+            fine = np.clip(np.left_shift(1, np.log2(np.maximum(n, 1)).astype(np.int64)) // 4, GROUPS, FINEST)
+            edge = np.concatenate([[0], np.cumsum(fine)])
+            cell = (h >> np.uint64(40)).astype(np.int64)
+            flat = np.bincount(edge[:-1][owner] + cell % fine[owner], minlength=int(edge[-1]))
+            vec = [_pack(flat[a:b]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+            coarse = [_pack(v) for v in np.bincount(owner * GROUPS + cell % GROUPS, minlength=len(n) * GROUPS).reshape(-1, GROUPS)]
             rank = np.zeros(len(h), np.int64)
             if len(tokens):
                 at = np.minimum(np.searchsorted(tokens, h), len(tokens) - 1)
@@ -109,7 +122,7 @@ def nodes(docs: DataFrame, k: int, percent: int) -> DataFrame:
             size = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
             take = np.arange(len(h)) - np.repeat(first[:-1], n) < np.repeat(size, n)
             prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(h[take].view(np.int64)))
-            yield common.batch_of(_NODES, part.column(0), n, *keys, [v.tobytes() for v in vec], prefix)
+            yield common.batch_of(_NODES, part.column(0), n, *keys, vec, coarse, prefix)
 
     return common.table(common.texts(docs).mapInArrow(run, NODES), "shingle-nodes")
 
@@ -121,8 +134,8 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for x in batches:
             na, nb = x.column(2).to_numpy(), x.column(4).to_numpy()
-            va, vb = (_vectors(x.column(i)) for i in (3, 5))
-            ok = np.minimum(va, vb).sum(1) >= needed(na, nb, percent)
+            rows = np.arange(x.num_rows)
+            ok = Vectors(pa.concat_arrays([x.column(3), x.column(5)])).bound(rows, rows + x.num_rows) >= needed(na, nb, percent)
             yield common.batch_of(out, x.column(0).filter(pa.array(ok)), x.column(1).filter(pa.array(ok)))
 
     one = points.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("vec").alias("va"))
@@ -131,8 +144,32 @@ def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
     return pairs.join(one, "a").join(two, "b").filter(fits).select("a", "b", "na", "va", "nb", "vb").mapInArrow(run, "a long, b long").distinct()
 
 
-def _vectors(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<u4").reshape(-1, GROUPS).astype(np.int64)
+class Vectors:
+    """Count vectors of rows; those of equal length lie in one matrix."""
+
+    def __init__(self, column: pa.Array):
+        raw = column.to_pylist()
+        self.size = np.array([(len(v) - 1) // v[0] for v in raw], np.int64)
+        self.row = np.zeros(len(raw), np.int64)
+        self.of = {}
+        for g in np.unique(self.size).tolist():
+            at = np.flatnonzero(self.size == g)
+            self.row[at] = np.arange(len(at))
+            self.of[g] = np.stack([np.frombuffer(raw[i], f"<u{raw[i][0]}", offset=1) for i in at.tolist()]).astype(np.uint32)
+
+    def bound(self, i: np.ndarray, j: np.ndarray, step: int = 2048) -> np.ndarray:
+        """The summed minima of rows i and j, in the fewer groups of the two."""
+        out = np.zeros(len(i), np.int64)
+        for g in self.of:
+            for h in self.of:
+                at = np.flatnonzero((self.size[i] == g) & (self.size[j] == h))
+                for s in range(0, len(at), step):
+                    k = at[s : s + step]
+                    a, b = self.of[g][self.row[i[k]]], self.of[h][self.row[j[k]]]
+                    least = min(g, h)
+                    a, b = (v.reshape(len(k), -1, least).sum(1) if v.shape[1] > least else v for v in (a, b))
+                    out[k] = np.minimum(a, b).sum(1)
+        return out
 
 
 def search(group: np.ndarray, label: np.ndarray, n: np.ndarray, vec: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -192,7 +229,7 @@ def _candidates(tokens: DataFrame, points: DataFrame, percent: int) -> DataFrame
         def close(rows: pa.Table) -> pa.RecordBatch:
             rows = rows.combine_chunks()
             token, doc, label, n = (rows.column(i).to_numpy() for i in range(4))
-            i, j = search(token, label, n, _vectors(rows.column(4)), percent)
+            i, j = search(token, label, n, Vectors(rows.column(4)).of[GROUPS].astype(np.int64), percent)
             pair = np.unique(np.sort(np.stack([doc[i], doc[j]], 1), 1), axis=0)
             return common.batch_of(out, pair[:, 0], pair[:, 1])
 
@@ -210,19 +247,20 @@ def _candidates(tokens: DataFrame, points: DataFrame, percent: int) -> DataFrame
         if held:
             yield close(pa.Table.from_batches(held))
 
-    rows = tokens.join(points.select("doc_id", "n", "vec"), "doc_id").select("token", "doc_id", "label", "n", "vec")
+    rows = tokens.join(points.select("doc_id", "n", "coarse"), "doc_id").select("token", "doc_id", "label", "n", "coarse")
     return rows.repartition("token").sortWithinPartitions("token", "n", "doc_id").mapInArrow(run, "a long, b long").distinct()
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b), the links: rows (u, v) whose texts' sets meet the threshold.
+    """Of the pairs (a, b), the links: a table of (u, v) whose texts' sets meet the threshold.
 
     Documents go to the hubs they are compared with; a hub with more than ``STAR`` of them is copied to several groups.
     """
     fan = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("fan"))
     spokes = pairs.join(fan, "a").select(F.col("b").alias("doc_id"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), "fan").cast("int").alias("salt"), F.lit(1).alias("spoke"))
     hubs = fan.select(F.col("a").alias("doc_id"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"), F.lit(0).alias("spoke"))
-    rows = spokes.unionByName(hubs).join(common.texts(docs), "doc_id").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "spoke")
+    needed_rows = common.table(spokes.unionByName(hubs), "comparisons")
+    rows = needed_rows.join(common.sift(common.texts(docs), needed_rows), "doc_id").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "spoke")
     out = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -246,11 +284,14 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame
             if found:
                 yield common.batch_of(out, *map(list, zip(*found, strict=True)))
 
-    return rows.select("doc_id", "hub", "salt", "spoke", "text").mapInArrow(run, "u long, v long")
+    links = common.table(rows.select("doc_id", "hub", "salt", "spoke", "text").mapInArrow(run, "u long, v long").distinct(), "links")
+    common.drop(needed_rows)
+    common.release(docs.sparkSession)
+    return links
 
 
 def classes(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
-    """doc_id, n_shingles, component_id and key columns of each document.
+    """doc_id, n_shingles and component_id of each document.
 
     Null and empty texts have empty sets: size 0, linked with nothing. Rows with equal doc_id count as one
     document. A null doc_id isn't compared and has a null component. An empty table gives no rows.
@@ -259,27 +300,35 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     table = nodes(docs, k, percent)
     named = table.filter("n > 0 and doc_id is not null")
     reps = named.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"))
-    chosen = named.select("doc_id", "key_a", "key_b", "n", "vec", "prefix").join(reps.select(F.col("rep").alias("doc_id"), "key_a", "key_b"), ["doc_id", "key_a", "key_b"], "left_semi")
-    points = common.table(chosen.dropDuplicates(["doc_id", "key_a", "key_b"]), "points")
+    chosen = named.select("doc_id", "key_a", "key_b", "n", "vec", "coarse", "prefix").join(reps.select(F.col("rep").alias("doc_id"), "key_a", "key_b"), ["doc_id", "key_a", "key_b"], "left_semi")
     by_token = Window.partitionBy("token")
-    met = points.select("doc_id", F.explode("prefix").alias("token")).withColumn("hub", F.min("doc_id").over(by_token)).withColumn("last", F.max("doc_id").over(by_token)).filter("hub < last").select("token", "doc_id", "hub")
+    met = chosen.select("doc_id", F.explode("prefix").alias("token")).withColumn("hub", F.min("doc_id").over(by_token)).withColumn("last", F.max("doc_id").over(by_token)).filter("hub < last").select("token", "doc_id", "hub")
     met = common.table(met, "tokens")
+    points = common.table(chosen.select("doc_id", "n", "vec", "coarse").dropDuplicates(), "points")
+    del chosen
     common.release(spark)
     stars = met.filter("doc_id > hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    first = common.table(verify(_bounded(stars, points, percent), docs, k, percent).distinct(), "links")
+    near_hubs = common.table(_bounded(stars, points, percent), "pairs")
     common.release(spark)
+    first = verify(near_hubs, docs, k, percent)
+    common.drop(near_hubs)
     near = first.groupBy(F.col("v").alias("doc_id")).agg(F.min("u").alias("near"))
     far = near.select(F.col("doc_id").alias("near"), F.col("near").alias("far"))
     label = near.join(far, "near", "left").select("doc_id", F.coalesce("far", "near").alias("label"))
     labelled = met.join(label, "doc_id", "left").select("token", "doc_id", F.coalesce("label", "doc_id").alias("label"))
     mixed = labelled.withColumn("lo", F.min("label").over(by_token)).withColumn("hi", F.max("label").over(by_token)).filter("lo < hi").select("token", "doc_id", "label")
-    pairs = common.table(_candidates(mixed, points, percent), "pairs").join(first.select(F.col("u").alias("a"), F.col("v").alias("b")), ["a", "b"], "left_anti")
-    second = common.table(verify(pairs, docs, k, percent).distinct(), "links")
+    known = first.select(F.col("u").alias("a"), F.col("v").alias("b"))
+    pairs = common.table(_bounded(_candidates(mixed, points, percent).join(known, ["a", "b"], "left_anti"), points, percent), "pairs")
+    common.drop(met, points)
     common.release(spark)
+    second = verify(pairs, docs, k, percent)
     joined = components(first.unionByName(second))
     parts = reps.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("key_a").alias("part_a"), F.col("key_b").alias("part_b"), F.coalesce("component", "rep").alias("part"))
     full = table.select("doc_id", "n", "key_a", "key_b").join(parts, (F.col("n") > 0) & F.col("doc_id").isNotNull() & (F.col("key_a") == F.col("part_a")) & (F.col("key_b") == F.col("part_b")), "left")
-    return full.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("part", "doc_id").alias("component_id"), "key_a", "key_b")
+    out = common.table(full.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("part", "doc_id").alias("component_id")), "classes")
+    common.drop(table, pairs, first, second)
+    common.release(spark)
+    return out
 
 
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:

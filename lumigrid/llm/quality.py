@@ -122,7 +122,7 @@ def references(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Reference histograms of the languages, from all documents that pass the base rules.
 
     A document counts for its language column where that is one of the languages, else for the language whose
-    common words it holds most of. Each document weighs the same. One row per language and task is summed by Spark.
+    common words it holds most of. Each document weighs the same, so most of a corpus should be prose. One row per language and task is summed by Spark.
     """
     wide = _CLASSES + len(_LISTED) + 1
     names = list(COMMON)
