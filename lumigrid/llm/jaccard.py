@@ -85,8 +85,8 @@ def frequent(docs: DataFrame, k: int) -> np.ndarray:
     return np.array([r.token for r in reversed(rows)], np.int64).view(np.uint64)
 
 
-NODES = "doc_id long, n long, key_a long, key_b long, vec binary, coarse binary, prefix array<long>"
-_NODES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key_a", pa.int64()), ("key_b", pa.int64()), ("vec", pa.binary()), ("coarse", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+NODES = "doc_id long, n long, key_a long, key_b long, vec binary, prefix array<long>"
+_NODES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key_a", pa.int64()), ("key_b", pa.int64()), ("vec", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
 
 def _pack(counts: np.ndarray) -> bytes:
@@ -112,7 +112,6 @@ def nodes(docs: DataFrame, k: int, percent: int) -> DataFrame:
             cell = (h >> np.uint64(40)).astype(np.int64)
             flat = np.bincount(edge[:-1][owner] + cell % fine[owner], minlength=int(edge[-1]))
             vec = [_pack(flat[a:b]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-            coarse = [_pack(v) for v in np.bincount(owner * GROUPS + cell % GROUPS, minlength=len(n) * GROUPS).reshape(-1, GROUPS)]
             rank = np.zeros(len(h), np.int64)
             if len(tokens):
                 at = np.minimum(np.searchsorted(tokens, h), len(tokens) - 1)
@@ -122,7 +121,7 @@ def nodes(docs: DataFrame, k: int, percent: int) -> DataFrame:
             size = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
             take = np.arange(len(h)) - np.repeat(first[:-1], n) < np.repeat(size, n)
             prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(h[take].view(np.int64)))
-            yield common.batch_of(_NODES, part.column(0), n, *keys, vec, coarse, prefix)
+            yield common.batch_of(_NODES, part.column(0), n, *keys, vec, prefix)
 
     return common.table(common.texts(docs).mapInArrow(run, NODES), "shingle-nodes")
 
@@ -157,6 +156,12 @@ class Vectors:
             self.row[at] = np.arange(len(at))
             self.of[g] = np.stack([np.frombuffer(raw[i], f"<u{raw[i][0]}", offset=1) for i in at.tolist()]).astype(np.uint32)
 
+    def coarse(self) -> np.ndarray:
+        out = np.zeros((len(self.size), GROUPS), np.int64)
+        for g, m in self.of.items():
+            out[self.size == g] = m.reshape(len(m), -1, GROUPS).sum(1)
+        return out
+
     def bound(self, i: np.ndarray, j: np.ndarray, step: int = 2048) -> np.ndarray:
         """The summed minima of rows i and j, in the fewer groups of the two."""
         out = np.zeros(len(i), np.int64)
@@ -172,7 +177,7 @@ class Vectors:
         return out
 
 
-def search(group: np.ndarray, label: np.ndarray, n: np.ndarray, vec: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
+def search(group: np.ndarray, label: np.ndarray, n: np.ndarray, vec: np.ndarray, percent: int, fine: Vectors | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Row pairs (i < j) of one group with different labels that the bound allows; rows come sorted by (group, n).
 
     A forest of R-trees, one tree per group: leaves are runs of ``FAN`` rows, a node above covers ``FAN`` nodes.
@@ -208,8 +213,10 @@ def search(group: np.ndarray, label: np.ndarray, n: np.ndarray, vec: np.ndarray,
         query, node = np.repeat(query, many), child
     ok = (node > query) & (label[query] != label[node]) & (100 * n[query] >= percent * n[node])
     query, node = query[ok], node[ok]
-    ok = _minima(vec, query, vec, node) >= needed(n[query], n[node], percent)
-    return query[ok], node[ok]
+    for least in (lambda i, j: _minima(vec, i, vec, j), *([fine.bound] if fine else [])):
+        ok = least(query, node) >= needed(n[query], n[node], percent)
+        query, node = query[ok], node[ok]
+    return query, node
 
 
 def _minima(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, step: int = 1 << 16) -> np.ndarray:
@@ -229,7 +236,8 @@ def _candidates(tokens: DataFrame, points: DataFrame, percent: int) -> DataFrame
         def close(rows: pa.Table) -> pa.RecordBatch:
             rows = rows.combine_chunks()
             token, doc, label, n = (rows.column(i).to_numpy() for i in range(4))
-            i, j = search(token, label, n, Vectors(rows.column(4)).of[GROUPS].astype(np.int64), percent)
+            fine = Vectors(rows.column(4))
+            i, j = search(token, label, n, fine.coarse(), percent, fine)
             pair = np.unique(np.sort(np.stack([doc[i], doc[j]], 1), 1), axis=0)
             return common.batch_of(out, pair[:, 0], pair[:, 1])
 
@@ -247,7 +255,7 @@ def _candidates(tokens: DataFrame, points: DataFrame, percent: int) -> DataFrame
         if held:
             yield close(pa.Table.from_batches(held))
 
-    rows = tokens.join(points.select("doc_id", "n", "coarse"), "doc_id").select("token", "doc_id", "label", "n", "coarse")
+    rows = tokens.join(points.select("doc_id", "n", "vec"), "doc_id").select("token", "doc_id", "label", "n", "vec")
     return rows.repartition("token").sortWithinPartitions("token", "n", "doc_id").mapInArrow(run, "a long, b long").distinct()
 
 
@@ -300,11 +308,11 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     table = nodes(docs, k, percent)
     named = table.filter("n > 0 and doc_id is not null")
     reps = named.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"))
-    chosen = named.select("doc_id", "key_a", "key_b", "n", "vec", "coarse", "prefix").join(reps.select(F.col("rep").alias("doc_id"), "key_a", "key_b"), ["doc_id", "key_a", "key_b"], "left_semi")
+    chosen = named.select("doc_id", "key_a", "key_b", "n", "vec", "prefix").join(reps.select(F.col("rep").alias("doc_id"), "key_a", "key_b"), ["doc_id", "key_a", "key_b"], "left_semi")
     by_token = Window.partitionBy("token")
     met = chosen.select("doc_id", F.explode("prefix").alias("token")).withColumn("hub", F.min("doc_id").over(by_token)).withColumn("last", F.max("doc_id").over(by_token)).filter("hub < last").select("token", "doc_id", "hub")
     met = common.table(met, "tokens")
-    points = common.table(chosen.select("doc_id", "n", "vec", "coarse").dropDuplicates(), "points")
+    points = common.table(chosen.select("doc_id", "n", "vec").dropDuplicates(), "points")
     del chosen
     common.release(spark)
     stars = met.filter("doc_id > hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
@@ -318,7 +326,7 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     labelled = met.join(label, "doc_id", "left").select("token", "doc_id", F.coalesce("label", "doc_id").alias("label"))
     mixed = labelled.withColumn("lo", F.min("label").over(by_token)).withColumn("hi", F.max("label").over(by_token)).filter("lo < hi").select("token", "doc_id", "label")
     known = first.select(F.col("u").alias("a"), F.col("v").alias("b"))
-    pairs = common.table(_bounded(_candidates(mixed, points, percent).join(known, ["a", "b"], "left_anti"), points, percent), "pairs")
+    pairs = common.table(_candidates(mixed, points, percent).join(known, ["a", "b"], "left_anti"), "pairs")
     common.drop(met, points)
     common.release(spark)
     second = verify(pairs, docs, k, percent)
