@@ -1,11 +1,11 @@
 """Quality rules by distribution divergence (operator 8).
 
-Two histograms describe a text: character classes (from its bytes) and common words of four languages. Each
-language has a reference: the mean histogram of all its documents that pass the base rules, gathered from the
-whole corpus with map-side sums (one row per language and task). A text is kept if it passes the base rules
-and its Jensen-Shannon distance (square root of the divergence, base 2) to the nearest language's reference is
-within the limit, for both histograms. A histogram of few characters or words says little, so each test has a
-minimum length below which it passes.
+Two histograms describe a text: character classes (from its bytes) and common words of four languages. The
+languages' references are fixed and not gathered from the corpus, so neither a hot source nor copies can pull
+them: a verdict depends on its own text only. A text is kept if it passes the base rules and its Jensen-Shannon
+distance (square root of the divergence, base 2) to the nearest reference is within the limit, for both
+histograms. A histogram of few characters or words says little, so each test has a minimum length below which it
+passes. A text whose language column names another language has no reference and passes both tests.
 
 Base rules: at least 20 words; at most 30 % of the words in 8-word windows that occur twice or more.
 """
@@ -30,6 +30,13 @@ COMMON = {
 }
 MIN_CHARS, MIN_WORDS = 200, 80
 CHAR_LIMIT, WORD_LIMIT = 0.28, 0.34
+#: Vowels and consonants among a language's characters (accented letters count as consonants), and the other classes of any prose.
+LETTERS = {"en": (0.305, 0.49), "de": (0.305, 0.50), "fr": (0.37, 0.42), "es": (0.37, 0.42)}
+REST = (0.02, 0.004, 0.16, 0.004, 0.011, 0.011, 0.001, 0.006, 0.0, 0.0)
+#: Share of the common words and power of their rank, in texts full of names and terms and in running prose.
+STYLES = ((0.24, 1.2), (0.5, 1.0))
+#: The ranks are those of ``COMMON``, except for a language's words listed here.
+FIRST = {"en": "the of and to a in is that it"}
 _DUP = 8
 
 _CLASSES = 12
@@ -46,9 +53,6 @@ _HASH = words.hash_of(_LISTED)
 _ORDER = np.argsort(_HASH)
 _HASH = _HASH[_ORDER]
 
-FEATURES = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, lang string, chars array<int>, listed array<int>"
-_FEATURES = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), ("base_failed", pa.bool_()), ("lang", pa.string()), ("chars", pa.list_(pa.int32())), ("listed", pa.list_(pa.int32()))])
-
 
 def _repeated(owner: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Which entries equal another one of their text, and which equal an earlier one."""
@@ -94,61 +98,23 @@ def measure(texts: pa.Array) -> dict[str, np.ndarray]:
     }
 
 
-def _lists(a: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.arange(len(a) + 1, dtype=np.int32) * a.shape[1]), pa.array(a.astype(np.int32).ravel()))
-
-
-def features(docs: DataFrame) -> DataFrame:
-    """One pass over the texts; a row per document with the counts and histograms (written once, read twice)."""
-    language = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in common.chunks(batches, size=3 << 20):
-            m = measure(part.column(1))
-            yield common.batch_of(_FEATURES, part.column(0), *(m[k].astype(np.int64) for k in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")), m["base_failed"], part.column(2), _lists(m["chars"]), _lists(m["listed"]))
-
-    return common.table(common.texts(docs, language.alias("lang")).mapInArrow(run, FEATURES), "quality-features")
-
-
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy().reshape(len(column), -1) if len(column) else np.zeros((0, 1), np.int32)
-
-
 def _word_histogram(listed: np.ndarray, n_words: np.ndarray) -> np.ndarray:
     return np.concatenate([listed, (n_words - listed.sum(1))[:, None]], 1).astype(float)
 
 
-def references(table: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Reference histograms of the languages, from all documents that pass the base rules.
-
-    A document counts for its language column where that is one of the languages, else for the language whose
-    common words it holds most of. Each document weighs the same, so most of a corpus should be prose. One row per language and task is summed by Spark.
-    """
-    wide = _CLASSES + len(_LISTED) + 1
-    names = list(COMMON)
-    member = np.array([[w in COMMON[n].split() for w in _LISTED] for n in names], float)
-    sums = pa.schema([("language", pa.int32()), ("bin", pa.int32()), ("total", pa.float64())])
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(names), wide))
-        for b in batches:
-            chars, listed, n = _matrix(b.column(2)), _matrix(b.column(3)), b.column(0).to_numpy()
-            if not len(n):
-                continue
-            best = np.argmax(listed @ member.T, 1)
-            given = np.array([names.index(x) if x in names else -1 for x in b.column(1).to_pylist()])
-            of = np.where(given >= 0, given, best)
-            both = np.concatenate([chars / np.maximum(chars.sum(1), 1)[:, None], _word_histogram(listed, n) / np.maximum(n, 1)[:, None]], 1)
-            np.add.at(total, of, both)
-        rows, cols = np.indices(total.shape)
-        yield common.batch_of(sums, rows.ravel().astype(np.int32), cols.ravel().astype(np.int32), total.ravel())
-
-    passed = table.filter(~F.col("base_failed") & (F.col("n_words") >= MIN_WORDS)).select("n_words", "lang", "chars", "listed")
-    total = np.zeros((len(names), wide))
-    for r in passed.mapInArrow(gather, "language int, bin int, total double").groupBy("language", "bin").agg(F.sum("total").alias("total")).collect():  # 4 x bins rows
-        total[r.language, r.bin] = r.total
-    share = lambda a: a / np.maximum(a.sum(1), 1e-300)[:, None]
-    return share(total[:, :_CLASSES]), share(total[:, _CLASSES:])
+def references() -> tuple[np.ndarray, np.ndarray]:
+    """Reference histograms: one of characters for each language, and one of words for each language and style."""
+    words_of = []
+    for name, text in COMMON.items():
+        ranked = list(dict.fromkeys(f"{FIRST.get(name, '')} {text}".split()))
+        for share, power in STYLES:
+            h = np.zeros(len(_LISTED) + 1)
+            rate = np.arange(1, len(ranked) + 1) ** -power
+            h[[_LISTED.index(x) for x in ranked]] = share * rate / rate.sum()
+            h[-1] = 1 - share
+            words_of.append(h)
+    chars = np.array([[*LETTERS[n], *REST] for n in COMMON])
+    return chars / chars.sum(1)[:, None], np.array(words_of)
 
 
 def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
@@ -161,50 +127,59 @@ def distance(p: np.ndarray, q: np.ndarray) -> np.ndarray:
 
 
 VERDICTS = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, char_distance double, word_distance double"
-_VERDICTS = pa.schema([*list(_FEATURES)[:7], ("kept", pa.bool_()), ("char_distance", pa.float64()), ("word_distance", pa.float64())])
+_COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+_VERDICTS = pa.schema([("doc_id", pa.int64()), *((n, pa.int64()) for n in _COUNTS), ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("char_distance", pa.float64()), ("word_distance", pa.float64())])
+
+
+_CHARS, _WORDS = references()
 
 
-def _verdict(m: dict[str, np.ndarray], refs: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _foreign(languages: pa.Array) -> np.ndarray:
+    """Which rows name a language without a reference (``en-US`` is ``en``; null, empty and ``und``: not known, so any may be nearest)."""
+    code = {x: (x or "und").strip().lower().replace("_", "-").split("-")[0] or "und" for x in set(languages.to_pylist())}
+    return np.array([code[x] not in COMMON and code[x] != "und" for x in languages.to_pylist()], bool)
+
+
+def _verdict(m: dict[str, np.ndarray], foreign: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """kept and both distances, from counts and histograms."""
     n = m["n_words"]
 
     def near(h: np.ndarray, references: np.ndarray) -> np.ndarray:
         share = h / np.maximum(h.sum(1), 1)[:, None]
-        return np.min([np.ones(len(h)), *(distance(share, r) for r in references if r.sum() > 0)], 0)
+        return np.min([np.ones(len(h)), *(distance(share, r) for r in references)], 0)
 
-    c, w = near(m["chars"], refs[0]), near(_word_histogram(m["listed"], n), refs[1])
-    good = ((m["word_chars"] < MIN_CHARS) | (c <= CHAR_LIMIT)) & ((n < MIN_WORDS) | (w <= WORD_LIMIT))
+    c, w = near(m["chars"], _CHARS), near(_word_histogram(m["listed"], n), _WORDS)
+    good = foreign | (((m["word_chars"] < MIN_CHARS) | (c <= CHAR_LIMIT)) & ((n < MIN_WORDS) | (w <= WORD_LIMIT)))
     return good & ~m["base_failed"], c, w
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """The documents that pass, columns unchanged; the verdicts are those of ``judge``, on references of these documents."""
-    refs = references(features(docs))
+    """The documents that pass, columns unchanged; the verdicts are those of ``judge``."""
+    common.ship(docs.sparkSession)
+    language = docs.schema.names.index("lang") if "lang" in docs.columns else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.chunks(batches, size=3 << 20):
-            yield part.filter(pa.array(_verdict(measure(part.column(part.schema.get_field_index("text"))), refs)[0]))
+            foreign = _foreign(part.column(language).cast(pa.string())) if language >= 0 else np.zeros(part.num_rows, bool)
+            yield part.filter(pa.array(_verdict(measure(part.column(part.schema.get_field_index("text"))), foreign)[0]))
 
     return docs.mapInArrow(run, docs.schema)
 
 
 def judge(docs: DataFrame) -> DataFrame:
-    """The counts, distances and verdict of each document.
+    """The counts, distances and verdict of each document, in one pass.
 
-    Null and empty texts have no words and fail the base rules. Without any reference (no document passes the
-    base rules) the distances are 1 and only the minimum lengths decide. Repeated rows get equal rows.
+    Null and empty texts have no words and fail the base rules. The distances are those to the nearest reference,
+    also where the language column names another language; they don't decide there. Repeated rows get equal rows.
     """
-    table = features(docs)
-    refs = references(table)
+    language = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            if not b.num_rows:
-                continue
-            m = {"n_words": b.column(1).to_numpy(), "word_chars": b.column(2).to_numpy(), "base_failed": b.column(6).to_numpy(zero_copy_only=False), "chars": _matrix(b.column(8)), "listed": _matrix(b.column(9))}
-            yield common.batch_of(_VERDICTS, *b.columns[:7], *_verdict(m, refs))
+        for part in common.chunks(batches, size=3 << 20):
+            m = measure(part.column(1))
+            yield common.batch_of(_VERDICTS, part.column(0), *(m[k].astype(np.int64) for k in _COUNTS), m["base_failed"], *_verdict(m, _foreign(part.column(2))))
 
-    return table.mapInArrow(run, VERDICTS)
+    return common.texts(docs, language.alias("lang")).mapInArrow(run, VERDICTS)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

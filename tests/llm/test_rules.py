@@ -43,6 +43,27 @@ def test_quality_keeps_prose_and_drops_symbols(spark, small):
     assert kept == {d for d, r in verdict.items() if r.kept}
 
 
+def test_quality_of_a_hot_junk_source(spark, small):
+    """Junk with a third of all rows and over half of one language changes no verdict, and none of it stays."""
+    before = {r.doc_id: r.kept for r in quality.judge(small).collect()}
+    prose = small.filter("lang = 'en'").count()
+    text = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(200)), lambda i: F.concat(F.lit("###w"), i.cast("string"), F.lit("$$$"), (F.col("id") % 9).cast("string"))))
+    junk = spark.range(150).select((F.col("id") + 10_000).alias("doc_id"), text.alias("text"), F.lit("en").alias("lang"), F.lit("hot").alias("source"))
+    docs = small.select(junk.columns).unionByName(junk)
+    assert 150 > prose and 3 * 150 > docs.count()
+    after = {r.doc_id: (r.kept, r.base_failed) for r in quality.judge(docs).collect()}
+    assert not any(kept or failed for d, (kept, failed) in after.items() if d >= 10_000)
+    assert {d: kept for d, (kept, _) in after.items() if d < 10_000} == before
+    assert {r.doc_id for r in quality.keep(docs).collect()} == {d for d, kept in before.items() if kept}
+    assert quality.judge(small.limit(0).select(junk.columns).unionByName(junk)).filter("kept").count() == 0
+
+
+def test_quality_passes_languages_without_a_reference(spark):
+    text = " ".join(f"日本語{i}文章" for i in range(150))
+    docs = spark.createDataFrame([(0, text, "ja"), (1, text, "en"), (2, "short", "ja"), (3, text, "en-US"), (4, text, None)], "doc_id long, text string, lang string")
+    assert {r.doc_id for r in quality.keep(docs).collect()} == {r.doc_id for r in quality.judge(docs).filter("kept").collect()} == {0}
+
+
 def test_distance_is_a_distance():
     p, q = np.array([[0.5, 0.5, 0], [0, 0, 1.0]]), np.array([0.5, 0.5, 0])
     assert quality.distance(p, q).tolist() == [0.0, 1.0]
