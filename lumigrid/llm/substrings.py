@@ -4,7 +4,7 @@ Every byte covered by a ``LENGTH``-byte string that also starts earlier goes. On
 whole corpus can't be built on one machine, so windows of ``LENGTH`` bytes are first brought together by content:
 
 1. Consecutive windows with the same smallest hash of a ``SEED_BYTES``-byte substring (their anchor) form a run.
-   Equal windows have equal anchors. A run is sent on as (anchor, content hash, doc, start); each chunk keeps the
+   Equal windows have equal anchors. A run is sent on as (anchor, content hash, doc, key, start); each chunk keeps the
    earliest of equal runs, so a text copied a million times costs one row a chunk.
 2. Sorted by anchor and content, all runs but the earliest of equal ones are wholly repeated. An anchor with one
    content is settled. An anchor with several contents is open: its earliest runs may share part of their windows.
@@ -15,7 +15,7 @@ whole corpus can't be built on one machine, so windows of ``LENGTH`` bytes are f
 4. An anchor with more than ``HOT`` bytes of open runs doesn't fit a bucket. Its windows go by their own hash
    through steps 1 and 2, which settle it exactly and combine equal windows in each chunk.
 
-Spans then meet their texts by document. Anchor keys, contents and spans are shuffled, never all pairs of a group.
+Spans then meet their texts by document: doc_id and a hash of the text (``key``), since ids may be null or repeated. Anchor keys, contents and spans are shuffled, never all pairs of a group.
 """
 
 from __future__ import annotations
@@ -87,33 +87,33 @@ def runs(data: np.ndarray, bounds: np.ndarray, length: int = LENGTH, seed: int =
     return owner[first], lo - bounds[owner[first]], many, anchor[first], content, where[lo] != where[lo + many - 1]
 
 
-RUNS = "route long, anchor long, content long, doc long, start int, many int, open boolean"
-_RUNS = pa.schema([("route", pa.int64()), ("anchor", pa.int64()), ("content", pa.int64()), ("doc", pa.int64()), ("start", pa.int32()), ("many", pa.int32()), ("open", pa.bool_())])
+RUNS = "route long, anchor long, content long, doc long, key long, start int, many int, open boolean"
+_RUNS = pa.schema([("route", pa.int64()), ("anchor", pa.int64()), ("content", pa.int64()), ("doc", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("many", pa.int32()), ("open", pa.bool_())])
 
 
-def _combined(doc, start, many, anchor, content, inner, spread: bool) -> pa.RecordBatch:
+def _combined(doc, key, start, many, anchor, content, inner, spread: bool) -> pa.RecordBatch:
     """Rows of one chunk: the earliest of equal runs under its route, the others as settled spans (null anchor), joined where they touch."""
-    order = np.lexsort((start, doc, content, anchor))
-    doc, start, many, anchor, content, inner = (x[order] for x in (doc, start, many, anchor, content, inner))
+    order = np.lexsort((start, key, doc, content, anchor))
+    doc, key, start, many, anchor, content, inner = (x[order] for x in (doc, key, start, many, anchor, content, inner))
     new_anchor = np.ones(len(doc), bool)
     new_anchor[1:] = anchor[1:] != anchor[:-1]
     new = new_anchor.copy()
     new[1:] |= content[1:] != content[:-1]
     # the same place again (a repeated row) is no earlier occurrence
     same = np.zeros(len(doc), bool)
-    same[1:] = ~new[1:] & (doc[1:] == doc[:-1]) & (start[1:] == start[:-1])
+    same[1:] = ~new[1:] & (doc[1:] == doc[:-1]) & (key[1:] == key[:-1]) & (start[1:] == start[:-1])
     lead = np.flatnonzero(new)
     group = np.cumsum(new) - 1
-    twin = (doc == doc[lead][group]) & (start == start[lead][group])
+    twin = (doc == doc[lead][group]) & (key == key[lead][group]) & (start == start[lead][group])
     gone = np.flatnonzero(~new & ~twin & ~same)
-    d, s, m = doc[gone], start[gone], many[gone]
-    by = np.lexsort((s, d))
-    d, s, e = d[by], s[by], (s + m)[by]
+    d, k, s, m = doc[gone], key[gone], start[gone], many[gone]
+    by = np.lexsort((s, k, d))
+    d, k, s, e = d[by], k[by], s[by], (s + m)[by]
     cut = np.ones(len(d), bool)
-    cut[1:] = (d[1:] != d[:-1]) | (s[1:] > e[:-1])
+    cut[1:] = (d[1:] != d[:-1]) | (k[1:] != k[:-1]) | (s[1:] > e[:-1])
     head = np.flatnonzero(cut)
     tail = np.append(head[1:], len(d)) - 1
-    d, s, m = d[head], s[head], (e[tail] - s[head] if len(head) else s[:0])
+    d, k, s, m = d[head], k[head], s[head], (e[tail] - s[head] if len(head) else s[:0])
     a = (np.cumsum(new_anchor) - 1)[lead]
     wide = np.bincount(a)[a] > SPREAD if spread and len(a) else np.zeros(len(lead), bool)
     route = np.where(wide, words.mix(anchor[lead] + content[lead] * _SALT), anchor[lead])
@@ -124,6 +124,7 @@ def _combined(doc, start, many, anchor, content, inner, spread: bool) -> pa.Reco
     cols = [
         np.concatenate([i64(route), i64(anchor[mark]), i64(anchor[mark]), d]), np.concatenate([i64(anchor[lead]), i64(anchor[mark]), i64(anchor[mark]), np.zeros(null, np.int64)]),
         np.concatenate([i64(content[lead]), np.zeros(len(mark), np.int64), np.ones(len(mark), np.int64), np.zeros(null, np.int64)]), np.concatenate([doc[lead], doc[mark], doc[mark], d]),
+        np.concatenate([key[lead], key[mark], key[mark], k]),
         np.concatenate([start[lead], np.full(2 * len(mark), -1), s]).astype(np.int32), np.concatenate([many[lead], np.zeros(2 * len(mark), np.int64), m]).astype(np.int32),
         np.concatenate([wide | inner[lead], np.zeros(2 * len(mark) + null, bool)]),
     ]
@@ -131,28 +132,28 @@ def _combined(doc, start, many, anchor, content, inner, spread: bool) -> pa.Reco
     return common.batch_of(_RUNS, pa.array(cols[0]), pa.array(cols[1], mask=settled), *cols[2:])
 
 
-SPANS = "doc long, start int, many int, anchor long"
-_SPANS = pa.schema([("doc", pa.int64()), ("start", pa.int32()), ("many", pa.int32()), ("anchor", pa.int64())])
+SPANS = "doc long, key long, start int, many int, anchor long"
+_SPANS = pa.schema([("doc", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("many", pa.int32()), ("anchor", pa.int64())])
 
 
 def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """From rows sorted by (anchor, content, doc, start): repeated runs (null anchor) and open ones (with anchor).
+    """From rows sorted by (anchor, content, doc, key, start): repeated runs (null anchor) and open ones (with anchor).
 
     Streams: what is carried over a batch's end is the anchor, the content and its earliest run, and that run
     while it may still turn out to be open.
     """
-    last, waiting = None, None  # (anchor, content, doc, start) of the last run's leader; a leader not yet known to be open
+    last, waiting = None, None  # (anchor, content, doc, key, start) of the last run's leader; a leader not yet known to be open
     for batch in batches:
         if not batch.num_rows:
             continue
         settled = batch.column(1).is_null().to_numpy(zero_copy_only=False)
         if settled.any():
             free = batch.filter(pa.array(settled))
-            yield common.batch_of(_SPANS, *free.columns[3:6], pa.nulls(free.num_rows, pa.int64()))
+            yield common.batch_of(_SPANS, *free.columns[3:7], pa.nulls(free.num_rows, pa.int64()))
             batch = batch.filter(pa.array(~settled))
             if not batch.num_rows:
                 continue
-        anchor, content, doc, start, many, is_open = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 7))
+        anchor, content, doc, key, start, many, is_open = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(1, 8))
         new_anchor, new = np.ones(len(doc), bool), np.ones(len(doc), bool)
         new_anchor[1:] = anchor[1:] != anchor[:-1]
         new[1:] = new_anchor[1:] | (content[1:] != content[:-1])
@@ -162,8 +163,9 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lead = np.flatnonzero(new)
         group = np.cumsum(new) - 1
         lead_doc = np.concatenate([doc[lead], [last[2] if last else 0]])[group]  # group -1: the run carried over
-        lead_start = np.concatenate([start[lead], [last[3] if last else 0]])[group]
-        gone = ~new & ~((doc == lead_doc) & (start == lead_start)) & (start >= 0)
+        lead_key = np.concatenate([key[lead], [last[3] if last else 0]])[group]
+        lead_start = np.concatenate([start[lead], [last[4] if last else 0]])[group]
+        gone = ~new & ~((doc == lead_doc) & (key == lead_key) & (start == lead_start)) & (start >= 0)
         segment = np.cumsum(new_anchor)[lead]  # 0: the anchor carried over
         count = np.bincount(segment, minlength=int(new_anchor.sum()) + 1)
         count[0] += last is not None
@@ -177,17 +179,17 @@ def _settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = lead[opened & (start[lead] >= 0)]
         g = np.flatnonzero(gone)
         if len(g) + len(rows):
-            key = pa.array(np.concatenate([np.zeros(len(g), np.int64), anchor[rows]]), mask=np.concatenate([np.ones(len(g), bool), np.zeros(len(rows), bool)]))
-            yield common.batch_of(_SPANS, *(np.concatenate([x[g], x[rows]]) for x in (doc, start, many)), key)
+            held = pa.array(np.concatenate([np.zeros(len(g), np.int64), anchor[rows]]), mask=np.concatenate([np.ones(len(g), bool), np.zeros(len(rows), bool)]))
+            yield common.batch_of(_SPANS, *(np.concatenate([x[g], x[rows]]) for x in (doc, key, start, many)), held)
         if len(lead):
             i = lead[-1]
-            last = (anchor[i], content[i], doc[i], start[i])
+            last = (anchor[i], content[i], doc[i], key[i], start[i])
             if not opened[-1] and start[i] >= 0:
-                waiting = (doc[i], start[i], many[i], anchor[i])
+                waiting = (doc[i], key[i], start[i], many[i], anchor[i])
 
 
 def _resolved(rows: DataFrame, name: str) -> DataFrame:
-    return common.table(rows.repartition("route").sortWithinPartitions("anchor", "content", "doc", "start").mapInArrow(_settle, SPANS), name)
+    return common.table(rows.repartition("route").sortWithinPartitions("anchor", "content", "doc", "key", "start").mapInArrow(_settle, SPANS), name)
 
 
 def sort_suffixes(text: np.ndarray, depth: int) -> np.ndarray:
@@ -235,8 +237,8 @@ def expand(text: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
     return order, interval
 
 
-def repeated_windows(parts: list[bytes], doc: np.ndarray, start: np.ndarray, length: int) -> list[tuple[int, int, int]]:
-    """(part, first window, windows) of the runs of windows that also begin earlier, by (doc, start), in these parts."""
+def repeated_windows(parts: list[bytes], doc: np.ndarray, key: np.ndarray, start: np.ndarray, length: int) -> list[tuple[int, int, int]]:
+    """(part, first window, windows) of the runs of windows that also begin earlier, by (doc, key, start), in these parts."""
     text = np.frombuffer(b"".join(parts) + b"\0", np.uint8)
     sizes = np.array([len(p) for p in parts], np.int64)
     bounds = np.concatenate([[0], np.cumsum(sizes)])
@@ -247,12 +249,12 @@ def repeated_windows(parts: list[bytes], doc: np.ndarray, start: np.ndarray, len
     whole[:-1] = place <= sizes[part] - length
     rows = np.flatnonzero(whole[order])
     at, kind = order[rows], interval[rows]
-    d, s = doc[part[at]], start[part[at]] + place[at]
-    by = np.lexsort((s, d, kind))
-    at, kind, d, s = at[by], kind[by], d[by], s[by]
+    d, k, s = doc[part[at]], key[part[at]], start[part[at]] + place[at]
+    by = np.lexsort((s, k, d, kind))
+    at, kind, d, k, s = at[by], kind[by], d[by], k[by], s[by]
     new = np.concatenate([[True], kind[1:] != kind[:-1]])
     lead = np.flatnonzero(new)[np.cumsum(new) - 1]
-    gone = np.sort(at[(d != d[lead]) | (s != s[lead])])
+    gone = np.sort(at[(d != d[lead]) | (k != k[lead]) | (s != s[lead])])
     if not len(gone):
         return []
     cut = np.concatenate([[True], (np.diff(gone) > 1) | (part[gone][1:] != part[gone][:-1])])
@@ -261,16 +263,21 @@ def repeated_windows(parts: list[bytes], doc: np.ndarray, start: np.ndarray, len
     return list(zip(part[first].tolist(), place[first].tolist(), many.tolist(), strict=True))
 
 
+def _identified(docs: DataFrame) -> DataFrame:
+    """doc_id, text, doc and key; rows with equal doc and key are one document, a null doc_id is the smallest."""
+    return common.texts(docs).withColumns({"doc": F.coalesce("doc_id", F.lit(-(1 << 63))), "key": F.xxhash64("text", F.col("doc_id").isNull())})
+
+
 def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc, start, many): windows of ``length`` bytes from start on that also start earlier; a null doc_id is the smallest."""
+    """(doc, key, start, many): windows of ``length`` bytes from start on that also start earlier, by (doc, key, start)."""
     spark = docs.sparkSession
-    data = common.texts(docs).select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("doc"), "text")
+    data = _identified(docs).select("doc", "key", "text")
 
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in common.chunks(batches, size=_CHUNK):
-            owner, start, many, anchor, content, inner = runs(*words.raw(chunk.column(1)), length)
+            owner, start, many, anchor, content, inner = runs(*words.raw(chunk.column(2)), length)
             if len(owner):
-                yield _combined(chunk.column(0).to_numpy()[owner], start, many, anchor, content, inner, True)
+                yield _combined(chunk.column(0).to_numpy()[owner], chunk.column(1).to_numpy()[owner], start, many, anchor, content, inner, True)
 
     found = _resolved(data.mapInArrow(first, RUNS), "runs")
     common.release(spark)
@@ -278,7 +285,7 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     weight = opened.groupBy("anchor").agg(F.sum(F.col("many") + length - 1).alias("bytes"), F.count(F.lit(1)).alias("n"))
     total, hot = weight.agg(F.sum("bytes"), F.count(F.when(F.col("bytes") > HOT, 1))).first()
     if not total:
-        return found.filter("anchor is null").select("doc", "start", "many")
+        return found.filter("anchor is null").select("doc", "key", "start", "many")
     buckets = max(1, -(-int(total) // BUCKET))
     bucket = F.pmod(F.xxhash64("anchor"), F.lit(buckets)).cast("int")
     if hot:
@@ -287,19 +294,19 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     else:
         opened = opened.withColumn("bucket", bucket)
     # a document's open runs: no more than its bytes
-    listed = opened.groupBy("doc").agg(F.collect_list(F.struct("start", "many", "bucket")).alias("runs"))
-    parts_schema = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("start", pa.int32()), ("bytes", pa.binary())])
+    listed = opened.groupBy("doc", "key").agg(F.collect_list(F.struct("start", "many", "bucket")).alias("runs"))
+    parts_schema = pa.schema([("bucket", pa.int32()), ("doc", pa.int64()), ("key", pa.int64()), ("start", pa.int32()), ("bytes", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in common.chunks(batches, size=_CHUNK):
-            raw, bounds = words.raw(chunk.column(1))
-            flat, n = chunk.column(2).flatten(), np.diff(chunk.column(2).offsets.to_numpy())
+            raw, bounds = words.raw(chunk.column(2))
+            flat, n = chunk.column(3).flatten(), np.diff(chunk.column(3).offsets.to_numpy())
             start, many, at = (flat.field(i).to_numpy() for i in range(3))
             owner = np.repeat(np.arange(chunk.num_rows), n)
             lo, view = bounds[owner] + start, raw.tobytes()
-            yield common.batch_of(parts_schema, at, chunk.column(0).to_numpy()[owner], start, [view[a:b] for a, b in zip(lo.tolist(), (lo + many + length - 1).tolist(), strict=True)])
+            yield common.batch_of(parts_schema, at, chunk.column(0).to_numpy()[owner], chunk.column(1).to_numpy()[owner], start, [view[a:b] for a, b in zip(lo.tolist(), (lo + many + length - 1).tolist(), strict=True)])
 
-    cuts = data.join(listed, "doc").select("doc", "text", "runs").mapInArrow(cut, "bucket int, doc long, start int, bytes binary")
+    cuts = data.join(listed, ["doc", "key"]).select("doc", "key", "text", "runs").mapInArrow(cut, "bucket int, doc long, key long, start int, bytes binary")
     cuts = common.table(cuts, "open-runs")
     common.release(spark)
 
@@ -308,10 +315,10 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
         def close() -> pa.RecordBatch:
             rows = pa.Table.from_batches(held).combine_chunks()
-            doc, start = rows.column(1).to_numpy(), rows.column(2).to_numpy().astype(np.int64)
-            out = repeated_windows(rows.column(3).to_pylist(), doc, start, length)
+            doc, key, start = rows.column(1).to_numpy(), rows.column(2).to_numpy(), rows.column(3).to_numpy().astype(np.int64)
+            out = repeated_windows(rows.column(4).to_pylist(), doc, key, start, length)
             p, s, m = (np.array(x, np.int64) for x in zip(*out, strict=True)) if out else (np.zeros(0, np.int64),) * 3
-            return common.batch_of(_SPANS, doc[p], (start[p] + s).astype(np.int32), m.astype(np.int32), pa.nulls(len(p), pa.int64()))
+            return common.batch_of(_SPANS, doc[p], key[p], (start[p] + s).astype(np.int32), m.astype(np.int32), pa.nulls(len(p), pa.int64()))
 
         for batch in batches:
             keys = batch.column(0).to_numpy()
@@ -333,18 +340,18 @@ def spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
         def windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for chunk in common.chunks(batches, "bytes", size=_CHUNK // 8):
-                raw, bounds = words.raw(chunk.column(3))
+                raw, bounds = words.raw(chunk.column(4))
                 count = np.diff(bounds) - length + 1
                 owner = np.repeat(np.arange(len(count)), count)
                 place = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
                 h = _Prefix(raw).of(at := bounds[owner] + place, at + length)
                 other = _Prefix(raw[::-1].copy()).of(len(raw) - at - length, len(raw) - at)
-                yield _combined(chunk.column(1).to_numpy()[owner], chunk.column(2).to_numpy()[owner] + place, np.ones(len(owner), np.int64), words.mix(h), words.mix(other), np.zeros(len(owner), bool), False)
+                yield _combined(chunk.column(1).to_numpy()[owner], chunk.column(2).to_numpy()[owner], chunk.column(3).to_numpy()[owner] + place, np.ones(len(owner), np.int64), words.mix(h), words.mix(other), np.zeros(len(owner), bool), False)
 
-        parts.append(_resolved(cuts.filter("bucket = -1").select("bucket", "doc", "start", "bytes").mapInArrow(windows, RUNS), "hot-windows").filter("anchor is null"))
-    out = parts[0].select("doc", "start", "many")
+        parts.append(_resolved(cuts.filter("bucket = -1").select("bucket", "doc", "key", "start", "bytes").mapInArrow(windows, RUNS), "hot-windows").filter("anchor is null"))
+    out = parts[0].select("doc", "key", "start", "many")
     for p in parts[1:]:
-        out = out.unionByName(p.select("doc", "start", "many"))
+        out = out.unionByName(p.select("doc", "key", "start", "many"))
     return out
 
 
@@ -356,10 +363,11 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, with_bytes: bool = True)
     """What is left of each whole text (UTF-8 bytes; null: empty).
 
     Rows with equal doc_id and text are one occurrence: none makes the other a repeat, and they get equal rows.
+    Rows with equal or null doc_ids and different texts are different documents, in a fixed order among themselves.
     An empty table gives no rows.
     """
-    listed = spans(docs, length).groupBy("doc").agg(F.collect_list(F.struct("start", "many")).alias("spans"))
-    data = common.texts(docs).withColumn("doc", F.coalesce("doc_id", F.lit(-(1 << 63))))
+    listed = spans(docs, length).groupBy("doc", "key").agg(F.collect_list(F.struct("start", "many")).alias("spans"))
+    data = _identified(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in common.chunks(batches, size=_CHUNK):
@@ -380,7 +388,7 @@ def deduplicate(docs: DataFrame, length: int = LENGTH, with_bytes: bool = True)
             kept = left if with_bytes else pa.nulls(len(left), pa.binary())
             yield common.batch_of(_KEPT, chunk.column(0), np.diff(bounds), words.per_text(gone, bounds), words.per_text(begins, bounds), [hashlib.sha256(x).hexdigest() for x in left], kept)
 
-    rows = data.join(listed, "doc", "left").select("doc_id", "text", F.coalesce("spans", F.array().cast("array<struct<start:int,many:int>>")).alias("spans"))
+    rows = data.join(listed, ["doc", "key"], "left").select("doc_id", "text", F.coalesce("spans", F.array().cast("array<struct<start:int,many:int>>")).alias("spans"))
     return rows.mapInArrow(run, KEPT)
 
 

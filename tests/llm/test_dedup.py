@@ -124,6 +124,24 @@ def test_substrings_of_small_documents(small, small_rows):
     assert got == _left([(d, r.text) for d, r in small_rows.items()], 100)
 
 
+@pytest.mark.parametrize("hot", [False, True])
+@pytest.mark.parametrize("spread", [16, 1])
+def test_substrings_of_null_and_repeated_ids(spark, monkeypatch, hot, spread):
+    """Rows that share an id or have none are documents of their own, by their texts."""
+    monkeypatch.setattr(substrings, "SPREAD", spread)
+    if hot:
+        monkeypatch.setattr(substrings, "HOT", 400)
+    shared = " ".join(f"passage{i}" for i in range(14))
+    texts = [" ".join(f"{c}{j}" for j in range(n)) + tail for c, n, tail in (("a", 5, shared), ("b", 90, shared + "x"), ("c", 300, "y" + shared), ("d", 2, ""), ("e", 40, "z" + shared + "w"), ("f", 500, ""))]
+    rows = [(None, t) for t in texts] + [(7, t + "!") for t in texts] + [(-(1 << 63), texts[1]), (None, texts[2]), (7, texts[1] + "!"), (9, shared)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    keyed = docs.select("doc_id", "text", substrings.F.xxhash64("text", substrings.F.col("doc_id").isNull()).alias("key")).distinct().collect()
+    order = sorted(keyed, key=lambda r: (-(1 << 63) if r.doc_id is None else r.doc_id, r.key))
+    want = _left([(i, r.text) for i, r in enumerate(order)], 100)
+    place = {(r.doc_id, r.text): i for i, r in enumerate(order)}
+    assert sorted(map(str, ((r.doc_id, (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256)) for r in substrings.deduplicate(docs).collect()))) == sorted(map(str, ((d, want[place[d, t]]) for d, t in rows)))
+
+
 def test_expansion_classes_are_those_of_the_prefixes():
     rng = np.random.default_rng(2)
     text = np.concatenate([rng.integers(97, 100, 400), np.tile(rng.integers(97, 100, 30), 5), [0]]).astype(np.uint8)
