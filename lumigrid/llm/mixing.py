@@ -2,16 +2,18 @@
 
 Words are the tokens. Targets come from the weights by water-filling (see ``targets``). They are met in equal
 blocks of words: the mix has total / block seats; sources get them by highest quotients (votes / (2 k + 1)),
-then a source's seats go to its shards the same way. Shards hold documents by a seeded hash, sized so that one
+then a source's words go to its shards the same way. No party gets more than ``limit`` times its words: its last
+block is cut there, and what is cut goes on to the others (see ``allot``). Shards hold documents by a seeded hash, sized so that one
 has a bounded number of words and rows; with many shards a level of shard groups lies between, so no
 apportionment sees more than ``FAN`` parties but the first, whose parties are the sources. Within (shard,
-source) documents stand in seeded order as a line of words, and the seats take whole passes over the line and
+source) documents stand in seeded order as a line of words, of which are taken whole passes over the line and
 then seeded blocks of it. A hot source is spread over all shards; every choice depends on seed and content
 only, so reruns agree.
 """
 
 from __future__ import annotations
 
+import heapq
 import math
 import re
 from collections.abc import Iterator
@@ -55,6 +57,46 @@ def sainte_lague(votes: np.ndarray, seats: int) -> np.ndarray:
     return out
 
 
+def allot(votes: np.ndarray, most: np.ndarray, words_wanted: int, block: int) -> np.ndarray:
+    """Words of each party, as many as wanted if all may hold so many.
+
+    Blocks go by highest quotients votes / (2 k + 1), ties to the earlier party. A party's last block ends at ``most``
+    words, after which it gets no more; the very last block is cut to what is still wanted.
+    """
+    votes, most = np.asarray(votes, float), np.asarray(most, np.int64)
+    most = np.where(votes > 0, most, 0)
+    top, want = -(-most // block), min(int(words_wanted), int(most.sum()))
+    if want <= 0:
+        return np.zeros(len(votes), np.int64)
+    # a divisor at which no more words than wanted are given; the rest goes block by block
+    give = lambda d: np.minimum(np.floor(votes / d + 0.5), top).astype(np.int64)
+    lo, hi = 0.0, 2 * votes.max() + 1
+    for _ in range(200):
+        mid = (lo + hi) / 2
+        if mid in (lo, hi):
+            break
+        if np.minimum(give(mid) * block, most).sum() > want:
+            lo = mid
+        else:
+            hi = mid
+    seats = give(hi)
+    out = np.minimum(seats * block, most)
+    rest = want - int(out.sum())
+    heap = [(-votes[i] / (2 * seats[i] + 1), i) for i in np.flatnonzero(seats < top).tolist()] if rest else []
+    heapq.heapify(heap)
+    while rest:
+        _, i = heap[0]
+        more = min(block, int(most[i] - out[i]), rest)
+        out[i] += more
+        seats[i] += 1
+        rest -= more
+        if out[i] < most[i]:
+            heapq.heapreplace(heap, (-votes[i] / (2 * seats[i] + 1), i))
+        else:
+            heapq.heappop(heap)
+    return out
+
+
 def targets(sizes: np.ndarray, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, limit: float = LIMIT) -> np.ndarray:
     """``share`` of all words split by weight (repeating by position); what lies above ``limit`` times a size is reshared."""
     sizes = np.asarray(sizes, float)
@@ -94,18 +136,17 @@ def sized(docs: DataFrame) -> DataFrame:
     return common.table(common.texts(docs, source.alias("source"), _key().alias("row")).mapInArrow(run, SIZED), "sizes")
 
 
-def _split(pdf: pd.DataFrame, key: str) -> pd.DataFrame:
-    """Seats of one parent to its children, in the order of ``key``."""
+def _split(pdf: pd.DataFrame, key: str, block: int) -> pd.DataFrame:
+    """Words of one parent to its children, in the order of ``key``."""
     pdf = pdf.sort_values(key, kind="stable")
-    return pdf.assign(seats=sainte_lague(pdf["size"].to_numpy(), int(pdf["parent_seats"].iloc[0])))
+    return pdf.assign(words=allot(pdf["size"].to_numpy(), pdf["most"].to_numpy(), int(pdf["parent_words"].iloc[0]), block))
 
 
-def _take(pdf: pd.DataFrame, block: int, seed: int, limit: float) -> tuple[int, np.ndarray, list[list[tuple[int, int]]]]:
+def _take(pdf: pd.DataFrame, block: int, seed: int) -> tuple[int, np.ndarray, list[list[tuple[int, int]]]]:
     """Whole passes over the documents of one (shard, source), which come in seeded order, and the word ranges [a, b) of each that a last pass takes."""
     size = pdf["size"].to_numpy(np.int64)
     total = int(size.sum())
-    want = min(int(pdf["seats"].iloc[0]) * block, int(limit * total))
-    passes, rest = divmod(want, total) if total else (0, 0)
+    passes, rest = divmod(int(pdf["words"].iloc[0]), total) if total else (0, 0)
     edge = np.concatenate([[0], np.cumsum(size)])
     extra, ranges = np.zeros(len(size), np.int64), [[] for _ in size]
     if rest:
@@ -149,24 +190,24 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     sources.sort(key=lambda s: (s[0] is None, s[0] or ""))
     size = np.array([s[1] for s in sources], np.int64)
     goal = targets(size, weights, share, limit)
-    seats = sainte_lague(goal, round(goal.sum() / block))
+    allowed = allot(goal, np.floor(limit * size), round(goal.sum()), block)
     n_shards = max(1, math.ceil(int(size.sum()) / SHARD_WORDS), math.ceil(sum(s[2] for s in sources) / SHARD_ROWS))
     groups = max(1, math.ceil(n_shards / FAN))
-    plan = spark.createDataFrame([(s[0], int(n), float(g), int(q)) for s, n, g, q in zip(sources, size, goal, seats, strict=True)], "source string, source_size long, target double, source_seats long")
+    plan = spark.createDataFrame([(s[0], int(n), float(g), int(q)) for s, n, g, q in zip(sources, size, goal, allowed, strict=True)], "source string, source_size long, target double, source_words long")
     plan = F.broadcast(plan)  # at most MOST_SOURCES rows
 
     shard = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "row"), F.lit(n_shards)).cast("long")
     spread = table.withColumn("shard", shard).withColumn("source_key", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()))
     per_shard = spread.groupBy("source_key", "shard").agg(F.sum("size").alias("size"), F.first("source").alias("source"))
-    joined = per_shard.join(plan, per_shard["source"].eqNullSafe(plan["source"])).select("source_key", "shard", "size", "source_seats")
-    by_group = joined.withColumn("group", F.col("shard") % groups).groupBy("source_key", "group").agg(F.sum("size").alias("size"), F.first("source_seats").alias("parent_seats"))
-    split_groups = by_group.groupBy("source_key").applyInPandas(lambda pdf: _split(pdf, "group")[["source_key", "group", "seats"]], "source_key long, group long, seats long")
-    leaves = joined.withColumn("group", F.col("shard") % groups).join(split_groups.withColumnRenamed("seats", "parent_seats"), ["source_key", "group"])
-    quotas = leaves.groupBy("source_key", "group").applyInPandas(lambda pdf: _split(pdf, "shard")[["source_key", "shard", "seats"]], "source_key long, shard long, seats long")
+    joined = per_shard.join(plan, per_shard["source"].eqNullSafe(plan["source"])).select("source_key", "shard", "size", F.floor(F.lit(float(limit)) * F.col("size")).alias("most"), "source_words")
+    by_group = joined.withColumn("group", F.col("shard") % groups).groupBy("source_key", "group").agg(F.sum("size").alias("size"), F.sum("most").alias("most"), F.first("source_words").alias("parent_words"))
+    split_groups = by_group.groupBy("source_key").applyInPandas(lambda pdf: _split(pdf, "group", block)[["source_key", "group", "words"]], "source_key long, group long, words long")
+    leaves = joined.withColumn("group", F.col("shard") % groups).join(split_groups.withColumnRenamed("words", "parent_words"), ["source_key", "group"])
+    quotas = leaves.groupBy("source_key", "group").applyInPandas(lambda pdf: _split(pdf, "shard", block)[["source_key", "shard", "words"]], "source_key long, shard long, words long")
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["place", "doc_id", "row", "size"], kind="stable")
-        passes, pdf["taken"], ranges = _take(pdf, block, seed, limit)
+        passes, pdf["taken"], ranges = _take(pdf, block, seed)
         pdf["passes"], pdf["ranges"] = passes, [[{"a": a, "b": b} for a, b in r] for r in ranges]
         return pdf[["doc_id", "row", "source", "size", "taken", "passes", "ranges"]]
 

@@ -174,6 +174,35 @@ def test_mixing_meets_targets(small, odd):
     assert len(odd_out) == odd.count() and all(r.taken <= 2 * r.size for r in odd_out)
 
 
+@pytest.mark.parametrize("n", [5, 10, 150])
+def test_mixing_of_short_texts_one_a_shard(spark, monkeypatch, n):
+    """A source at the limit gets all its words, however thinly it lies over the shards."""
+    monkeypatch.setattr(mixing, "SHARD_ROWS", 1)
+    monkeypatch.setattr(mixing, "FAN", 16)
+    text = lambda i, k: " ".join(f"w{i}x{j}" for j in range(k))
+    rows = [(i, text(i, n), "thin") for i in range(120)] + [(1000 + i, text(i, 20 * n), "wide") for i in range(120)]
+    out = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()
+    for source in ("thin", "wide"):
+        of = [r for r in out if r.source == source]
+        assert all(r.taken <= 2 * r.size for r in of)
+        assert abs(sum(r.taken for r in of) - of[0].target) <= 16
+    assert all(r.taken == 2 * r.size for r in out if r.source == "thin")
+
+
+def test_allotted_words_follow_the_quotients_and_stop_at_the_most():
+    rng = np.random.default_rng(4)
+    for _ in range(60):
+        votes, block = rng.integers(0, 200, 7), int(rng.integers(1, 20))
+        most = 2 * votes
+        want = int(rng.integers(0, most.sum() + 9))
+        out, seats = np.zeros(7, int), np.zeros(7, int)
+        while out.sum() < min(want, most.sum()):
+            i = np.argmax(np.where(out < most, votes / (2 * seats + 1), -1))
+            out[i] += min(block, most[i] - out[i], want - out.sum())
+            seats[i] += 1
+        assert mixing.allot(votes, most, want, block).tolist() == out.tolist()
+
+
 def test_mixed_documents_have_the_words_taken(small):
     taken = {r.doc_id: r.taken for r in mixing.mix(small).collect()}
     out = mixing.mixed(small)
