@@ -342,17 +342,25 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
 def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """The documents, columns unchanged, without those that a smaller doc_id of their component stands for.
 
-    Rows that repeat a doc_id go with it down to one; documents with an empty set or a null doc_id stay.
+    A document is what has one doc_id and text: rows that repeat both go down to one, equal doc_ids with different
+    texts are compared like any others. A null doc_id comes after all others. Documents with an empty set stay (with
+    a null doc_id all their rows).
     """
-    found = classes(docs, k, percent)
-    gone = found.filter("component_id < doc_id").select("doc_id").distinct()
-    left = docs.join(gone, "doc_id", "left_anti").select(docs.columns)
-    again = found.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1")
-    if again.isEmpty():
-        return left
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("text"))
-    numbered = left.select(F.struct(*(left[c] for c in left.columns)).alias("doc"), F.when(F.col("doc_id").isNull(), 1).otherwise(number).alias("number"))
-    return numbered.filter("number = 1").select("doc.*")
+    if docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
+        gone = classes(docs, k, percent).filter("component_id < doc_id").select("doc_id")
+        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    ids = docs.select(F.col("doc_id").alias("own"), key.alias("key")).distinct().orderBy(F.asc_nulls_last("own"), "key")
+    ids = common.table(ids.withColumn("id", F.monotonically_increasing_id()), "row-ids")  # grows in the sorted order
+    same = docs["doc_id"].eqNullSafe(ids["own"]) & (key == ids["key"])
+    renamed = common.table(docs.join(ids, same).select(ids["id"].alias("doc_id"), docs["text"]), "renamed")
+    found = classes(renamed, k, percent)
+    common.drop(renamed)
+    stays = found.filter("component_id >= doc_id").select(F.col("doc_id").alias("stay"), (F.col("n_shingles") == 0).alias("empty")).distinct()
+    rows = docs.join(ids, same).join(stays, ids["id"] == stays["stay"])
+    number = F.row_number().over(Window.partitionBy("stay").orderBy("text"))
+    rows = rows.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), "stay", "empty", docs["text"]).withColumn("number", number)
+    return rows.filter("number = 1 or (empty and doc.doc_id is null)").select("doc.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

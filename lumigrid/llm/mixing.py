@@ -23,6 +23,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import common, words
 
@@ -222,14 +223,22 @@ _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 def mixed(docs: DataFrame) -> DataFrame:
     """The mix as documents, columns unchanged: a row per whole pass, and one with the words of the last pass; ``n_chars`` follows.
 
-    Documents are told apart by doc_id and text. Documents of which nothing is taken go.
+    Documents are told apart by doc_id, source and text, and rows that repeat all of them by a number, so each is
+    taken once. Documents of which nothing is taken go.
     """
-    chosen = mix(docs).filter("taken > 0").select(F.col("doc_id").alias("id"), F.col("row").alias("key"), "passes", "ranges")
     kind = "array<struct<a:long,b:long>>"
     parts = F.concat(F.array_repeat(F.lit(None).cast(kind), F.col("passes")), F.filter(F.array("ranges"), lambda r: F.size(r) > 0))
-    chosen = chosen.select("id", "key", parts.alias("parts"))
-    rows = docs.join(chosen, docs["doc_id"].eqNullSafe(chosen["id"]) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == chosen["key"]))
-    rows = rows.select(*(docs[c] for c in docs.columns), F.explode(chosen["parts"]).alias("part"))
+    chosen = mix(docs).filter("taken > 0").select(F.col("doc_id").alias("id"), F.col("row").alias("key"), F.col("source").alias("of"), parts.alias("parts"))
+    chosen = common.table(chosen, "chosen")
+    key, names = F.xxhash64(F.coalesce(docs["text"], F.lit(""))), ["id", "key", "of"]
+    source = docs["source"].cast("string") if "source" in docs.columns else F.lit(None).cast("string")
+    rows = docs.select(*(docs[c].alias(f"doc_{i}") for i, c in enumerate(docs.columns)), docs["doc_id"].cast("long").alias("row_id"), key.alias("row_key"), source.alias("row_of"))
+    same = rows["row_id"].eqNullSafe(chosen["id"]) & (rows["row_key"] == chosen["key"]) & rows["row_of"].eqNullSafe(chosen["of"])
+    if not chosen.groupBy(*names).count().filter("count > 1").isEmpty():
+        chosen = chosen.withColumn("n", F.row_number().over(Window.partitionBy(*names).orderBy("parts")))
+        rows = rows.withColumn("row_n", F.row_number().over(Window.partitionBy("row_id", "row_key", "row_of").orderBy("row_key")))
+        same = rows["row_id"].eqNullSafe(chosen["id"]) & (rows["row_key"] == chosen["key"]) & rows["row_of"].eqNullSafe(chosen["of"]) & (rows["row_n"] == chosen["n"])
+    rows = rows.join(chosen, same).select(*(F.col(f"doc_{i}").alias(c) for i, c in enumerate(docs.columns)), F.explode("parts").alias("part"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.chunks(batches):

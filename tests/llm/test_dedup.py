@@ -57,6 +57,15 @@ def test_classes_of_odd_documents(odd, odd_rows):
     assert kept == {None, *(d for d, c in want.items() if d == c)}
 
 
+def test_keep_one_of_null_and_repeated_ids(spark):
+    text = lambda c, edit=None: " ".join(f"{c}{j}" if j != edit else "other" for j in range(200))
+    rows = [(5, text("a")), (5, text("b")), (5, text("b")), (None, text("c")), (None, text("c")), (None, text("c", 100)), (None, text("b", 50)), (None, text("d")), (3, text("e")), (3, text("a", 7)), (None, ""), (None, None), (8, "")]
+    got = [(r.doc_id, r.text) for r in jaccard.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()]
+    near_c = [t for d, t in got if d is None and t and t.startswith("c0 ")]
+    assert len(near_c) == 1
+    assert sorted(map(str, got)) == sorted(map(str, [(3, text("a", 7)), (3, text("e")), (5, text("b")), (None, near_c[0]), (None, text("d")), (None, ""), (None, None), (8, "")]))
+
+
 def test_empty_tables(empty):
     assert jaccard.classes(empty).count() == 0 and jaccard.keep_one(empty).count() == 0
     assert substrings.deduplicate(empty).count() == 0

@@ -214,6 +214,18 @@ def test_mixed_documents_have_the_words_taken(small):
     assert got == {d: n for d, n in taken.items() if n}
 
 
+def test_mixed_takes_each_of_equal_rows_once(spark):
+    text = lambda c, n: " ".join(f"{c}{j}" for j in range(n))
+    rows = [(None, text("a", 40), "s")] * 4 + [(1, text("b", 30), "s")] * 3 + [(1, text("b", 30), "t"), (2, text("c", 50), "t"), (None, text("a", 40), None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    want, got = {}, {}
+    for r in mixing.mix(docs).collect():
+        want[r.doc_id, r.source] = want.get((r.doc_id, r.source), 0) + r.taken
+    for r in mixing.mixed(docs).collect():
+        got[r.doc_id, r.source] = got.get((r.doc_id, r.source), 0) + len(WORD.findall(r.text))
+    assert got == {k: n for k, n in want.items() if n} and sum(got.values()) > 0
+
+
 def test_apportionment():
     assert mixing.sainte_lague(np.array([53, 24, 23]), 7).tolist() == [3, 2, 2]
     assert mixing.sainte_lague(np.array([0.0, 5.0]), 3).tolist() == [0, 3] and mixing.sainte_lague(np.zeros(2), 5).tolist() == [0, 0]
