@@ -2,7 +2,7 @@
 
 Base kinds (leftmost, non-overlapping, no retries): email, ip (parts at most 255), card (16 to 19 digits,
 Luhn), phone (+ and 8 to 15 digits). These always stay. The method's own kinds: iban (mod 97), card15 (15
-digits, Luhn, a card word nearby), ssn and key (a long token after a secret word). Each pattern has a prior, a
+digits, Luhn, a card word nearby), ssn and key (a token of 32 hex digits or more, or 16 characters or more after a known beginning, near a secret word). Each pattern has a prior, a
 passed checksum adds to it, context words within ``NEAR`` characters before the span raise it, and a span of
 the method's own kinds counts from ``ACCEPT`` on. Offsets are code points, end exclusive.
 """
@@ -33,7 +33,8 @@ _TAIL = re.compile(_LOCAL + r"+\Z")
 _LOCALS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
-_KEY = re.compile(r"(?<![A-Za-z0-9_-])(?:[0-9a-f]{32,64}|(?:sk|pk|ghp|AKIA)[A-Za-z0-9_-]{16,64})(?![A-Za-z0-9_-])")
+_KEY = re.compile(r"(?<![A-Za-z0-9_-])(?:[0-9a-f]{32,}+|(?:sk|pk|ghp|AKIA)[A-Za-z0-9_-]{16,}+)(?![A-Za-z0-9_-])")
+_KEY_INSIDE = "[0-9a-f]{32}|(?:sk|pk|ghp|AKIA)[A-Za-z0-9_-]{16}"  # what a text with a key holds, digits or not
 
 #: Words that speak for a kind.
 CONTEXT = {
@@ -124,16 +125,16 @@ def _text_of(spans: list[tuple[str, int, int]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for k, a, b in spans)
 
 
-def find(text: str, has_digit: bool = True) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int, float]]]:
+def find(text: str, has_digit: bool = True, has_key: bool = True) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int, float]]]:
     """Base spans by kind and start, and the method's own."""
     base = [(k, a, b) for k, spans in base_spans(text, has_digit).items() for a, b in spans]
-    return base, own_spans(text, [s[1:] for s in base]) if has_digit else []
+    return base, own_spans(text, [s[1:] for s in base]) if has_digit or has_key else []
 
 
-def _candidates(texts: pa.Array) -> tuple[list, list]:
-    """Which texts have a digit or an @ at all."""
+def _candidates(texts: pa.Array) -> tuple[list, list, list]:
+    """Which texts have a digit, an @ or what may be a key at all."""
     digit = pc.match_substring_regex(texts, "[0-9]").to_pylist()
-    return digit, pc.match_substring(texts, "@").to_pylist()
+    return digit, pc.match_substring(texts, "@").to_pylist(), pc.match_substring_regex(texts, _KEY_INSIDE).to_pylist()
 
 
 COLUMNS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
@@ -146,19 +147,19 @@ def scan(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.chunks(batches):
-            digit, at = _candidates(part.column(1))
+            digit, at, key = _candidates(part.column(1))
             counts: list[list[int]] = [[], [], [], []]
             shas, spans = [], []
-            for text, d, a in zip(part.column(1), digit, at, strict=True):
-                if not d and not a:
+            for text, d, a, k in zip(part.column(1), digit, at, key, strict=True):
+                if not d and not a and not k:
                     for c in counts:
                         c.append(0)
                     shas.append(_NONE)
                     spans.append("")
                     continue
-                base, own = find(text.as_py(), d)
-                for k, c in zip(BASE, counts, strict=True):
-                    c.append(sum(s[0] == k for s in base))
+                base, own = find(text.as_py(), d, k)
+                for kind, c in zip(BASE, counts, strict=True):
+                    c.append(sum(s[0] == kind for s in base))
                 listed = _text_of(base)
                 shas.append(hashlib.sha256(listed.encode()).hexdigest())
                 spans.append(_text_of([*base, *sorted((s[:3] for s in own), key=lambda s: (OWN.index(s[0]), s[1]))]))
@@ -174,11 +175,11 @@ def redact(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.chunks(batches):
             column = part.schema.get_field_index("text")
-            digit, at = _candidates(part.column(column))
+            digit, at, key = _candidates(part.column(column))
             out = []
-            for text, d, a in zip(part.column(column).to_pylist(), digit, at, strict=True):
-                if text and (d or a):
-                    base, own = find(text, d)
+            for text, d, a, k in zip(part.column(column).to_pylist(), digit, at, key, strict=True):
+                if text and (d or a or k):
+                    base, own = find(text, d, k)
                     pieces, free = [], 0
                     for kind, lo, hi in sorted([*base, *(s[:3] for s in own)], key=lambda s: (s[1], -s[2])):
                         if hi > free:

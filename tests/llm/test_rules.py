@@ -155,6 +155,15 @@ def test_redaction_keeps_columns(odd, odd_rows):
     assert any("[EMAIL]" in (r.text or "") and r.n_chars == len(r.text) for r in rows)
 
 
+def test_long_keys_and_keys_without_digits(spark):
+    secrets = ["0123456789abcdef" * 8, "sk-" + "Ab9_" * 30, "ghp" + "x" * 65, "sk-abcdefghijklmnop", "abcdef" * 6, "f" * 200]
+    docs = spark.createDataFrame([(i, f"the token {s} ends") for i, s in enumerate(secrets)] + [(99, "no words of that sort, " + "f" * 200)], "doc_id long, text string")
+    found = {r.doc_id: r.spans for r in pii.scan(docs).collect()}
+    assert found == {**{i: f"key:10:{10 + len(s)}" for i, s in enumerate(secrets)}, 99: ""}
+    left = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert all(left[i] == "the token [KEY] ends" for i in range(len(secrets)))
+
+
 def test_mixing_meets_targets(small, odd):
     rows = mixing.mix(small).collect()
     sizes = {r.doc_id: r.size for r in rows}
