@@ -95,4 +95,7 @@ def describe(media: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return describe(store(common.documents(spark, sf_dir)))
+    """Streams are written as a table, their PCM blocks as another, and what is described is read back."""
+    streams = common.table(store(common.documents(spark, sf_dir)), "media-streams")
+    common.table(blocks(streams), "pcm-blocks")
+    return describe(streams)

@@ -283,6 +283,18 @@ def test_templates():
     assert chat.render("{{ m.__class__ }}", [])[0] == ""
 
 
+def test_media_query_writes_streams_and_blocks(spark, sf, small_rows, monkeypatch, tmp_path):
+    monkeypatch.setattr(media.common, "shared_dir", lambda _: f"file://{tmp_path}")
+    described = {r.doc_id: r for r in media.query(spark, sf).collect()}
+    tables = {p.name.rsplit("-", 1)[0]: spark.read.parquet(str(p)).collect() for p in tmp_path.iterdir()}
+    assert {r.doc_id: hashlib.sha256(r.media).hexdigest() for r in tables["media-streams"]} == {d: r.media_sha256 for d, r in described.items()}
+    pcm = {}
+    for b in sorted(tables["pcm-blocks"], key=lambda b: (b.doc_id, b.block)):
+        assert b.first_sample == len(pcm.setdefault(b.doc_id, b""))
+        pcm[b.doc_id] += b.pcm
+    assert set(pcm) == set(small_rows) and all(hashlib.sha256(x).hexdigest() == described[d].payload_sha256 for d, x in pcm.items())
+
+
 def test_flac_round_trip_and_checks():
     rng = np.random.default_rng(0)
     parts = [bytes(64), b"hello world " * 200, rng.integers(0, 256, 5000, dtype=np.uint8).tobytes(), (100 * np.sin(np.arange(9000) / 20) + 128).astype(np.uint8).tobytes(), bytes([1]), b"ab"]
