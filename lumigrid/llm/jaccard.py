@@ -3,22 +3,29 @@
 A document's set holds its distinct k-word shingles as 64-bit hashes. Documents with equal sets become one
 node. Tokens (shingles) are ordered the same way everywhere - rare ones by hash first, the few very frequent
 ones last - and two sets that meet the threshold share a token among the first n - ceil(t n) + 1 of either, so
-documents meet by these prefix tokens only. What meets goes through the count vectors: shingles are hashed into
-groups, a document is the point of its group counts, and the overlap of two sets is at most the sum of
-the coordinate minima. Points that share a token form an R-tree; a box whose summed minima with a point can't
-reach the overlap the threshold needs is skipped with all it holds. The tree counts in ``GROUPS`` coarse groups;
-a pair it leaves is bounded once more with each document's own count of groups, which grows with its size (coarse
-groups are sums of fine ones), so the bound is as sharp for long texts. Surviving pairs are verified on the texts.
-
-Large groups of near copies would make pairs quadratic, so the join has two rounds. First each document is only
-held against one hub per token (the smallest id); verified links give labels, and equal labels mean linked.
-Then the R-tree search runs over tokens that still hold different labels, and only for pairs whose labels
-differ: no link between different components can be missed, links inside one change nothing.
+documents meet by these prefix tokens only. A token's smallest document is its hub; all documents that share a
+token with one hub form a group, in which each of them lies once however many tokens it shares. So any two
+documents with a common prefix token are in one group.
+
+Inside a group the count vectors decide: shingles are hashed into cells, a document is the point of its cell
+counts, and the overlap of two sets is at most the sum of the coordinate minima. The points of a group form an
+R-tree over ``GROUPS`` coarse cells; a box whose summed minima with a point can't reach the overlap the threshold
+needs is skipped with all it holds, and what it leaves is bounded again with more cells. The bound is applied
+twice. First the vectors alone are shuffled, and only documents that the bound leaves a partner go on, as
+clusters. Then the texts of a cluster meet in one task, where finer vectors bound and the hash sets verify each
+pair. No pair leaves a task: documents that are linked already, even through others, aren't compared again, and
+what a task hands on are the edges of a spanning forest, at most one a document.
+
+A group above ``PART_ROWS`` documents or ``PART_SHINGLES`` shingles is split by bands of set size (the width of a
+band is the threshold's ratio, so only neighbouring bands can link) and by a hash, each part with a copy of the
+hub. Its parts meet in a second round, in which the group's largest component isn't held against itself: only
+the others, part against part, against each other and against it. No document is dropped in either round.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +37,17 @@ from . import common, words
 from .components import components
 
 GROUPS, FINEST, FAN = 32, 4096, 8
+#: Cells of the bounds between the tree's and a document's own.
+MIDDLE = 256
 #: A token held by this many documents of one chunk counts as frequent; so many of them at most go last in the order.
-OFTEN, FREQUENT = 8, 50_000
-#: Documents verified against one hub in one group of rows.
-STAR = 500
-#: Rows a search task handles together, whole tokens.
-HELD = 40_000
-_CHUNK = 3 << 19
+OFTEN, FREQUENT = 4, 50_000
+#: What a task compares at once: a larger group is split.
+PART_ROWS, PART_SHINGLES = 2_000, 6_000_000
+#: What a task holds before it works: whole groups, at least so many rows or shingles.
+HELD_ROWS, HELD_SHINGLES = 10_000, 1_000_000
+#: Documents of a group that descend the tree together, at most.
+SLICE = 32
+_CHUNK = 3 << 18
 
 
 def shingle_sets(texts: pa.Array, k: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,12 +100,26 @@ NODES = "doc_id long, n long, key_a long, key_b long, vec binary, prefix array<l
 _NODES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key_a", pa.int64()), ("key_b", pa.int64()), ("vec", pa.binary()), ("prefix", pa.list_(pa.int64()))])
 
 
+def _counts(h: np.ndarray, first: np.ndarray, share: int) -> list[np.ndarray]:
+    """Cell counts of each set, in about size / ``share`` cells (a power of two). Half the cells are sums of pairs of cells."""
+    n = np.diff(first)
+    cells = np.clip(np.left_shift(1, np.log2(np.maximum(n, 1)).astype(np.int64)) // share, GROUPS, FINEST)
+    edge = np.concatenate([[0], np.cumsum(cells)])
+    place = np.repeat(edge[:-1], n) + (h >> np.uint64(40)).astype(np.int64) % np.repeat(cells, n)
+    flat = np.bincount(place, minlength=int(edge[-1]))
+    return [flat[a:b] for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
+
+
 def _pack(counts: np.ndarray) -> bytes:
     """Counts in the fewest bytes each, that size first."""
     width = 1 if (top := int(counts.max())) < 1 << 8 else 2 if top < 1 << 16 else 4
     return bytes([width]) + counts.astype(f"<u{width}").tobytes()
 
 
+def _unpack(raw: bytes) -> np.ndarray:
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1)
+
+
 def nodes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     """Set size, set key, count vector and prefix tokens of each document."""
     tail = frequent(docs, k)
@@ -107,17 +132,11 @@ def nodes(docs: DataFrame, k: int, percent: int) -> DataFrame:
             n, owner = np.diff(first), np.repeat(np.arange(part.num_rows), np.diff(first))
             sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.mix(h + np.uint64(salt)))]) for salt in (1, 2)]
             keys = [(s[first[1:]] - s[first[:-1]]).view(np.int64) for s in sums]
-            fine = np.clip(np.left_shift(1, np.log2(np.maximum(n, 1)).astype(np.int64)) // 4, GROUPS, FINEST)
-            edge = np.concatenate([[0], np.cumsum(fine)])
-            cell = (h >> np.uint64(40)).astype(np.int64)
-            flat = np.bincount(edge[:-1][owner] + cell % fine[owner], minlength=int(edge[-1]))
-            vec = [_pack(flat[a:b]) for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
-            rank = np.zeros(len(h), np.int64)
+            vec = [_pack(c) for c in _counts(h, first, 4)]
             if len(tokens):
                 at = np.minimum(np.searchsorted(tokens, h), len(tokens) - 1)
                 rank = np.where(tokens[at] == h, place[at], 0)
-                order = np.lexsort((h, rank, owner))
-                h = h[order]
+                h = h[np.lexsort((h, rank, owner))]
             size = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
             take = np.arange(len(h)) - np.repeat(first[:-1], n) < np.repeat(size, n)
             prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(h[take].view(np.int64)))
@@ -126,176 +145,279 @@ def nodes(docs: DataFrame, k: int, percent: int) -> DataFrame:
     return common.table(common.texts(docs).mapInArrow(run, NODES), "shingle-nodes")
 
 
-def _bounded(pairs: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Of the pairs (a, b), those that sizes and summed minima allow."""
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for x in batches:
-            na, nb = x.column(2).to_numpy(), x.column(4).to_numpy()
-            rows = np.arange(x.num_rows)
-            ok = Vectors(pa.concat_arrays([x.column(3), x.column(5)])).bound(rows, rows + x.num_rows) >= needed(na, nb, percent)
-            yield common.batch_of(out, x.column(0).filter(pa.array(ok)), x.column(1).filter(pa.array(ok)))
-
-    one = points.select(F.col("doc_id").alias("a"), F.col("n").alias("na"), F.col("vec").alias("va"))
-    two = points.select(F.col("doc_id").alias("b"), F.col("n").alias("nb"), F.col("vec").alias("vb"))
-    fits = f"100 * least(na, nb) >= {percent} * greatest(na, nb)"
-    return pairs.join(one, "a").join(two, "b").filter(fits).select("a", "b", "na", "va", "nb", "vb").mapInArrow(run, "a long, b long").distinct()
-
-
 class Vectors:
-    """Count vectors of rows; those of equal length lie in one matrix."""
+    """Count vectors of rows, each with its own number of cells; folded to fewer where two rows are compared."""
 
-    def __init__(self, column: pa.Array):
-        raw = column.to_pylist()
-        self.size = np.array([(len(v) - 1) // v[0] for v in raw], np.int64)
-        self.row = np.zeros(len(raw), np.int64)
-        self.of = {}
+    def __init__(self, counts: list[np.ndarray]):
+        self.size = np.array([len(c) for c in counts], np.int64)
+        self.levels: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.own = {}
         for g in np.unique(self.size).tolist():
             at = np.flatnonzero(self.size == g)
-            self.row[at] = np.arange(len(at))
-            self.of[g] = np.stack([np.frombuffer(raw[i], f"<u{raw[i][0]}", offset=1) for i in at.tolist()]).astype(np.uint32)
-
-    def coarse(self) -> np.ndarray:
-        out = np.zeros((len(self.size), GROUPS), np.int64)
-        for g, m in self.of.items():
-            out[self.size == g] = m.reshape(len(m), -1, GROUPS).sum(1)
-        return out
-
-    def bound(self, i: np.ndarray, j: np.ndarray, step: int = 2048) -> np.ndarray:
-        """The summed minima of rows i and j, in the fewer groups of the two."""
-        out = np.zeros(len(i), np.int64)
-        for g in self.of:
-            for h in self.of:
-                at = np.flatnonzero((self.size[i] == g) & (self.size[j] == h))
-                for s in range(0, len(at), step):
-                    k = at[s : s + step]
-                    a, b = self.of[g][self.row[i[k]]], self.of[h][self.row[j[k]]]
-                    least = min(g, h)
-                    a, b = (v.reshape(len(k), -1, least).sum(1) if v.shape[1] > least else v for v in (a, b))
-                    out[k] = np.minimum(a, b).sum(1)
+            self.own[g] = (at, np.stack([counts[i] for i in at.tolist()]))
+
+    def level(self, cells: int) -> tuple[np.ndarray, np.ndarray]:
+        """Counts in so many cells of all rows that have as many, and each row's place among them."""
+        if cells not in self.levels:
+            place = np.cumsum(self.size >= cells) - 1
+            out = np.zeros((int((self.size >= cells).sum()), cells), np.int32)
+            for g, (at, m) in self.own.items():
+                if g >= cells:
+                    out[place[at]] = m.reshape(len(m), -1, cells).sum(1)
+            self.levels[cells] = place, out.astype(np.uint8) if out.size and out.max() < 256 else out
+        return self.levels[cells]
+
+    def reach(self, i: np.ndarray, j: np.ndarray, need: np.ndarray) -> np.ndarray:
+        """Which pairs of rows have summed minima of at least ``need``, in ``MIDDLE`` and then in all cells both have."""
+        left = np.arange(len(i))
+        for most in (MIDDLE, FINEST):
+            cells = np.minimum(np.minimum(self.size[i[left]], self.size[j[left]]), most)
+            ok = np.zeros(len(left), bool)
+            for c in np.unique(cells).tolist():
+                at = np.flatnonzero(cells == c)
+                place, m = self.level(c)
+                ok[at] = _minima(m, place[i[left[at]]], m, place[j[left[at]]]) >= need[left[at]]
+            left = left[ok]
+        out = np.zeros(len(i), bool)
+        out[left] = True
         return out
 
 
-def search(group: np.ndarray, label: np.ndarray, n: np.ndarray, vec: np.ndarray, percent: int, fine: Vectors | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs (i < j) of one group with different labels that the bound allows; rows come sorted by (group, n).
-
-    A forest of R-trees, one tree per group: leaves are runs of ``FAN`` rows, a node above covers ``FAN`` nodes.
-    All rows descend together. A node's box counts by its upper corner, smallest n and largest last row.
-    """
-    levels = []  # each: first child, number of children, upper corner, smallest n, last row
-    start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else np.zeros(0, np.int64)
-    own, low, last, corner = group, n, np.arange(len(group)), vec
-    while len(own):
-        size = np.diff(np.append(start, len(own)))
-        if levels and (size == 1).all():
-            break
-        place = np.arange(len(own)) - np.repeat(start, size)
-        first = np.flatnonzero(place % FAN == 0)
-        count = np.diff(np.append(first, len(own)))
-        levels.append((first, count))
-        corner, low, last = np.maximum.reduceat(corner, first), np.minimum.reduceat(low, first), last[first + count - 1]
-        levels[-1] += (corner, low, last)
-        own = own[first]
-        start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    if not levels:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    roots = np.concatenate([[True], group[1:] != group[:-1]])
-    query, node = np.arange(len(group)), np.cumsum(roots) - 1
-    for first, count, corner, low, last in reversed(levels):
-        # rows are sorted by n, so partners after the query are no smaller; too large ones are skipped by size
-        ok = (last[node] > query) & (100 * n[query] >= percent * low[node])
-        query, node = query[ok], node[ok]
-        ok = _minima(vec, query, corner, node) >= needed(n[query], np.maximum(low[node], n[query]), percent)
-        query, node = query[ok], node[ok]
-        many = count[node]
-        child = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[node], many)
-        query, node = np.repeat(query, many), child
-    ok = (node > query) & (label[query] != label[node]) & (100 * n[query] >= percent * n[node])
-    query, node = query[ok], node[ok]
-    for least in (lambda i, j: _minima(vec, i, vec, j), *([fine.bound] if fine else [])):
-        ok = least(query, node) >= needed(n[query], n[node], percent)
-        query, node = query[ok], node[ok]
-    return query, node
-
-
-def _minima(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray, step: int = 1 << 16) -> np.ndarray:
+def _minima(a: np.ndarray, i: np.ndarray, b: np.ndarray, j: np.ndarray) -> np.ndarray:
     out = np.empty(len(i), np.int64)
+    step = max(1, (1 << 21) // a.shape[1])
     for s in range(0, len(i), step):
-        out[s : s + step] = np.minimum(a[i[s : s + step]], b[j[s : s + step]]).sum(1)
+        out[s : s + step] = np.minimum(a[i[s : s + step]], b[j[s : s + step]]).sum(1, dtype=np.int32)
     return out
 
 
-def _candidates(tokens: DataFrame, points: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with different labels that share a token and pass the R-tree; ``tokens``: (token, doc_id, label)."""
-    out = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+class Forest:
+    """One R-tree for each group of rows; rows come sorted by (group, n).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+    Leaves are runs of ``FAN`` rows, a node above covers ``FAN`` nodes. A node's box counts by its upper corner, its
+    smallest n, its last row and the range of its rows' roots.
+    """
 
-        def close(rows: pa.Table) -> pa.RecordBatch:
-            rows = rows.combine_chunks()
-            token, doc, label, n = (rows.column(i).to_numpy() for i in range(4))
-            fine = Vectors(rows.column(4))
-            i, j = search(token, label, n, fine.coarse(), percent, fine)
-            pair = np.unique(np.sort(np.stack([doc[i], doc[j]], 1), 1), axis=0)
-            return common.batch_of(out, pair[:, 0], pair[:, 1])
+    def __init__(self, group: np.ndarray, n: np.ndarray, vec: np.ndarray, percent: int):
+        self.n, self.vec, self.percent = n, vec, percent
+        self.tree = np.cumsum(np.concatenate([[True], group[1:] != group[:-1]])) - 1
+        self.levels = []  # each: first child, number of children, upper corner, smallest n, last row
+        own, low, last, corner = self.tree, n, np.arange(len(n)), vec
+        while True:
+            start = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+            size = np.diff(np.append(start, len(own)))
+            if self.levels and (size == 1).all():
+                break
+            first = np.flatnonzero((np.arange(len(own)) - np.repeat(start, size)) % FAN == 0)
+            count = np.diff(np.append(first, len(own)))
+            corner, low, last = np.maximum.reduceat(corner, first), np.minimum.reduceat(low, first), last[first + count - 1]
+            self.levels.append((first, count, corner, low, last))
+            own = own[first]
+
+    def search(self, query: np.ndarray, *apart: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs (query row, later row of its group) that the bound allows and that differ in each of ``apart``."""
+        n, percent, node = self.n, self.percent, self.tree[query]
+        ranges = []
+        for values in apart:
+            lo = hi = values
+            for first, *_ in self.levels:
+                lo, hi = np.minimum.reduceat(lo, first), np.maximum.reduceat(hi, first)
+                ranges.append((values, lo, hi))
+        for depth in range(len(self.levels) - 1, -1, -1):
+            first, count, corner, low, last = self.levels[depth]
+            # rows are sorted by n, so partners after the query are no smaller; too large ones are skipped by size
+            ok = (last[node] > query) & (100 * n[query] >= percent * low[node])
+            for values, lo, hi in ranges[depth :: len(self.levels)]:
+                ok &= (lo[node] != values[query]) | (hi[node] != values[query])
+            query, node = query[ok], node[ok]
+            ok = _minima(self.vec, query, corner, node) >= needed(n[query], np.maximum(low[node], n[query]), percent)
+            query, node = query[ok], node[ok]
+            many = count[node]
+            child = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many) + np.repeat(first[node], many)
+            query, node = np.repeat(query, many), child
+        ok = (node > query) & (100 * n[query] >= percent * n[node])
+        for values in apart:
+            ok &= values[query] != values[node]
+        query, node = query[ok], node[ok]
+        ok = _minima(self.vec, query, self.vec, node) >= needed(n[query], n[node], percent)
+        return query[ok], node[ok]
+
+
+def merge(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Roots (each row's smallest row, as far as known) after rows i and j are joined."""
+    while True:
+        a, b = root[i], root[j]
+        differ = a != b
+        if not differ.any():
+            return root
+        i, j, a, b = i[differ], j[differ], a[differ], b[differ]
+        root = root.copy()
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (deeper := root[root] != root).any():
+            root = np.where(deeper, root[root], root)
+
+
+def families(group: np.ndarray, n: np.ndarray, vectors: Vectors, percent: int, root: np.ndarray, apart: np.ndarray | None = None, exact: Callable | None = None) -> np.ndarray:
+    """Roots of the rows after all pairs of a group that the bound (and ``exact``, if given) allows are joined.
+
+    Rows come sorted by (group, n). Pairs with one root, or with one value of ``apart``, aren't looked at. The first rows
+    of each group search alone, later ones in growing slices, so a group of near copies is one before the
+    slices are wide.
+    """
+    if not len(group):
+        return root
+    forest = Forest(group, n, vectors.level(GROUPS)[1], percent)
+    start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]]))
+    size = np.diff(np.append(start, len(group)))
+    rank = np.arange(len(group)) - np.repeat(start, size)
+    at, width = 0, 1
+    while at < size.max() - 1:
+        i, j = forest.search(np.flatnonzero((rank >= at) & (rank < at + width)), root, *([apart] if apart is not None else []))
+        ok = vectors.reach(i, j, needed(n[i], n[j], percent))
+        i, j = i[ok], j[ok]
+        if exact is not None and len(i):
+            ok = exact(i, j)
+            i, j = i[ok], j[ok]
+        root = merge(root, i, j)
+        at, width = at + width, min(2 * width, SLICE)
+    return root
+
+
+def _first_of(values: np.ndarray) -> np.ndarray:
+    """The first row that holds each row's value."""
+    _, first, back = np.unique(values, return_index=True, return_inverse=True)
+    return first[back]
+
+
+def _changes(*columns: np.ndarray) -> np.ndarray:
+    """A number for each run of equal rows."""
+    new = np.zeros(len(columns[0]), bool)
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.cumsum(new)
+
+
+CLUSTERS = "hub long, part long, root long, doc_id long, label long"
+_CLUSTERS = pa.schema([(c, pa.int64()) for c in ("hub", "part", "root", "doc_id", "label")])
+
+
+def clusters(rows: DataFrame, percent: int) -> DataFrame:
+    """Of the groups (hub, part) of rows (doc_id, label, n, vec): what the bound leaves a partner of another label, by clusters."""
+
+    def close(t: pa.Table) -> pa.RecordBatch:
+        hub, part, doc, label, n = (t.column(i).to_numpy() for i in range(5))
+        group = _changes(hub, part)
+        vectors = Vectors([_unpack(v) for v in t.column(5).to_pylist()])
+        root = families(group, n, vectors, percent, np.arange(len(n)), label)
+        keep = np.flatnonzero(np.bincount(root, minlength=len(root))[root] > 1)
+        keep = keep[np.unique(np.stack([root[keep], doc[keep]]), axis=1, return_index=True)[1]]
+        return common.batch_of(_CLUSTERS, *(c[keep] for c in (hub, part, doc[root], doc, label)))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
         for batch in batches:
-            if not batch.num_rows:
-                continue
             held.append(batch)
-            if sum(b.num_rows for b in held) >= HELD:
-                rows = pa.Table.from_batches(held)
-                token = rows.column(0).to_numpy()
-                cut = int(np.searchsorted(token, token[-1]))  # the last token may go on
+            if sum(b.num_rows for b in held) >= HELD_ROWS:
+                t = pa.Table.from_batches(held).combine_chunks()
+                group = _changes(t.column(0).to_numpy(), t.column(1).to_numpy())
+                cut = int(np.searchsorted(group, group[-1]))  # the last group may go on
                 if cut:
-                    yield close(rows.slice(0, cut))
-                held = rows.slice(cut).combine_chunks().to_batches()
-        if held:
-            yield close(pa.Table.from_batches(held))
-
-    rows = tokens.join(points.select("doc_id", "n", "vec"), "doc_id").select("token", "doc_id", "label", "n", "vec")
-    return rows.repartition("token").sortWithinPartitions("token", "n", "doc_id").mapInArrow(run, "a long, b long").distinct()
+                    yield close(t.slice(0, cut))
+                held = t.slice(cut).combine_chunks().to_batches()
+        if sum(b.num_rows for b in held):
+            yield close(pa.Table.from_batches(held).combine_chunks())
 
+    rows = rows.select("hub", "part", "doc_id", "label", "n", "vec").repartition("hub", "part").sortWithinPartitions("hub", "part", "n", "doc_id")
+    return common.table(rows.mapInArrow(run, CLUSTERS), "clusters")
 
-def verify(pairs: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Of the pairs (a, b), the links: a table of (u, v) whose texts' sets meet the threshold.
 
-    Documents go to the hubs they are compared with; a hub with more than ``STAR`` of them is copied to several groups.
-    """
-    fan = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / STAR).cast("int").alias("fan"))
-    spokes = pairs.join(fan, "a").select(F.col("b").alias("doc_id"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), "fan").cast("int").alias("salt"), F.lit(1).alias("spoke"))
-    hubs = fan.select(F.col("a").alias("doc_id"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("salt"), F.lit(0).alias("spoke"))
-    needed_rows = common.table(spokes.unionByName(hubs), "comparisons")
-    rows = needed_rows.join(common.sift(common.texts(docs), needed_rows), "doc_id").repartition("hub", "salt").sortWithinPartitions("hub", "salt", "spoke")
+def links(found: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """(u, v): a spanning forest of the documents of each cluster whose sets meet the threshold, from whole texts."""
     out = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
+    def close(rows: list[np.ndarray], h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        hub, part, base, doc, label, n = rows
+        start = np.cumsum(n) - n
+        order = np.lexsort((doc, n, _changes(hub, part, base)))
+        sets = [h[a:b] for a, b in zip(start[order].tolist(), (start + n)[order].tolist(), strict=True)]
+        doc, label, n, group = doc[order], label[order], n[order], _changes(hub, part, base)[order]
+
+        def exact(i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            shared = np.zeros(len(i), np.int64)
+            for at, (a, b) in enumerate(zip(i.tolist(), j.tolist(), strict=True)):
+                few, many = sets[a], sets[b]
+                shared[at] = (many[np.minimum(np.searchsorted(many, few), len(many) - 1)] == few).sum()
+            return shared >= needed(n[i], n[j], percent)
+
+        vectors = Vectors(_counts(np.concatenate(sets), np.concatenate([[0], np.cumsum(n)]), 1))
+        was = np.zeros(len(n), np.int64)
+        for lo, hi in zip(*_runs(group), strict=True):
+            was[lo:hi] = lo + _first_of(label[lo:hi])
+        root = families(group, n, vectors, percent, was, exact=exact)
+        new = np.unique(np.stack([doc[root], doc[was]])[:, root != was], axis=1)
+        return new[0], new[1]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub, own = None, []
+        held: list[tuple[list[np.ndarray], np.ndarray]] = []
+        limit = HELD_SHINGLES
+
+        def whole() -> tuple[list[np.ndarray], np.ndarray]:
+            return [np.concatenate(c) for c in zip(*(rows for rows, _ in held), strict=True)], np.concatenate([h for _, h in held])
+
         for part in common.chunks(batches, size=_CHUNK):
-            h, first = shingle_sets(part.column(4), k)
-            found: list[tuple[int, int]] = []
-            columns = [part.column(i).to_pylist() for i in range(4)]
-            for i, (doc, star, salt, spoke) in enumerate(zip(*columns, strict=True)):
-                mine = h[first[i] : first[i + 1]]
-                if not spoke:
-                    if hub != (star, salt):
-                        hub, own = (star, salt), []
-                    own.append(mine)  # rows that share the hub's id are its alternatives
-                    continue
-                for other in own:
-                    shared = len(np.intersect1d(other, mine, assume_unique=True))
-                    if shared and 100 * shared >= percent * (len(other) + len(mine) - shared):
-                        found.append((star, doc))
-                        break
-            if found:
-                yield common.batch_of(out, *map(list, zip(*found, strict=True)))
-
-    links = common.table(rows.select("doc_id", "hub", "salt", "spoke", "text").mapInArrow(run, "u long, v long").distinct(), "links")
-    common.drop(needed_rows)
-    common.release(docs.sparkSession)
-    return links
+            h, first = shingle_sets(part.column(5), k)
+            has = np.diff(first) > 0
+            held.append(([*(part.column(i).to_numpy()[has] for i in range(5)), np.diff(first)[has]], h))
+            if sum(len(h) for _, h in held) >= limit:
+                rows, h = whole()
+                group = _changes(*rows[:3])
+                cut = int(np.searchsorted(group, group[-1]))  # the last cluster may go on
+                at = int(rows[5][:cut].sum())
+                if cut:
+                    yield common.batch_of(out, *close([c[:cut] for c in rows], h[:at]))
+                held = [([c[cut:].copy() for c in rows], h[at:].copy())]
+                limit = max(HELD_SHINGLES, 2 * (len(h) - at))
+        if sum(len(h) for _, h in held):
+            yield common.batch_of(out, *close(*whole()))
+
+    rows = found.join(common.sift(common.texts(docs), found), "doc_id").select("hub", "part", "root", "doc_id", "label", "text")
+    rows = rows.repartition("hub", "part", "root").sortWithinPartitions("hub", "part", "root")
+    return common.table(rows.mapInArrow(run, "u long, v long"), "links")
+
+
+def _runs(group: np.ndarray) -> tuple[list[int], list[int]]:
+    start = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])).tolist() if len(group) else []
+    return start, [*start[1:], len(group)] if start else []
+
+
+def _fan(rows: str, shingles: str) -> F.Column:
+    return F.ceil(F.greatest(F.col(rows) / PART_ROWS, F.col(shingles) / PART_SHINGLES)).cast("int")
+
+
+def _part(fan: F.Column) -> F.Column:
+    """A number for each (band, hash) of a split group, from 1."""
+    return F.col("band") * (1 << 24) + F.pmod(F.xxhash64("doc_id"), fan) + 1
+
+
+def _second(placed: DataFrame, labels: DataFrame) -> DataFrame:
+    """(hub, part, doc_id, label) of the second round: which parts of a split group still have to meet, and who is in them.
+
+    ``placed``: (hub, doc_id, n, band, part), the rows of split groups; ``labels``: (node, component).
+    """
+    members = placed.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").select("hub", "doc_id", "n", "band", "part", F.coalesce("component", "doc_id").alias("label"))
+    members = common.table(members, "members")
+    by_label = members.groupBy("hub", "label").agg(F.count(F.lit(1)).alias("rows"))
+    most = by_label.groupBy("hub").agg(F.max_by("label", F.struct("rows", "label")).alias("most"), F.count(F.lit(1)).alias("labels")).filter("labels > 1").select("hub", "most")
+    sided = members.join(most, "hub").withColumn("rest", (F.col("label") != F.col("most")).cast("int"))
+    fans = sided.filter("rest = 1").groupBy("hub", "band", "rest").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles")).select("hub", "band", "rest", _fan("rows", "shingles").alias("fan"))
+    sided = sided.join(fans, ["hub", "band", "rest"], "left").withColumn("part", F.coalesce(_part(F.col("fan")), "part"))
+    sided = common.table(sided.select("hub", "doc_id", "label", "band", "rest", "part"), "sided")
+    parts = sided.select("hub", "band", "rest", "part").distinct()
+    one, two = (parts.select("hub", *(F.col(c).alias(f"{c}_{side}") for c in ("band", "rest", "part"))) for side in "ab")
+    meet = one.join(two, "hub").filter("rest_a = 1 and abs(band_a - band_b) <= 1 and (rest_b = 0 or part_a <= part_b)")
+    meet = meet.withColumn("task", F.xxhash64("part_a", "part_b", "rest_b"))
+    who = meet.select("hub", "task", F.explode(F.array(F.struct(F.col("rest_a").alias("rest"), F.col("part_a").alias("part")), F.struct(F.col("rest_b").alias("rest"), F.col("part_b").alias("part")))).alias("x")).select("hub", "task", "x.rest", "x.part").distinct()
+    return sided.join(who, ["hub", "rest", "part"]).select("hub", F.col("task").alias("part"), "doc_id", "label")
 
 
 def classes(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
@@ -304,38 +426,44 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     Null and empty texts have empty sets: size 0, linked with nothing. Rows with equal doc_id count as one
     document. A null doc_id isn't compared and has a null component. An empty table gives no rows.
     """
-    spark = docs.sparkSession
     table = nodes(docs, k, percent)
     named = table.filter("n > 0 and doc_id is not null")
-    reps = named.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep"))
-    chosen = named.select("doc_id", "key_a", "key_b", "n", "vec", "prefix").join(reps.select(F.col("rep").alias("doc_id"), "key_a", "key_b"), ["doc_id", "key_a", "key_b"], "left_semi")
-    by_token = Window.partitionBy("token")
-    met = chosen.select("doc_id", F.explode("prefix").alias("token")).withColumn("hub", F.min("doc_id").over(by_token)).withColumn("last", F.max("doc_id").over(by_token)).filter("hub < last").select("token", "doc_id", "hub")
-    met = common.table(met, "tokens")
-    points = common.table(chosen.select("doc_id", "n", "vec").dropDuplicates(), "points")
-    del chosen
-    common.release(spark)
-    stars = met.filter("doc_id > hub").select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).distinct()
-    near_hubs = common.table(_bounded(stars, points, percent), "pairs")
-    common.release(spark)
-    first = verify(near_hubs, docs, k, percent)
-    common.drop(near_hubs)
-    near = first.groupBy(F.col("v").alias("doc_id")).agg(F.min("u").alias("near"))
-    far = near.select(F.col("doc_id").alias("near"), F.col("near").alias("far"))
-    label = near.join(far, "near", "left").select("doc_id", F.coalesce("far", "near").alias("label"))
-    labelled = met.join(label, "doc_id", "left").select("token", "doc_id", F.coalesce("label", "doc_id").alias("label"))
-    mixed = labelled.withColumn("lo", F.min("label").over(by_token)).withColumn("hi", F.max("label").over(by_token)).filter("lo < hi").select("token", "doc_id", "label")
-    known = first.select(F.col("u").alias("a"), F.col("v").alias("b"))
-    pairs = common.table(_candidates(mixed, points, percent).join(known, ["a", "b"], "left_anti"), "pairs")
+    reps = common.table(named.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep")), "sets")
+    chosen = reps.select(F.col("rep").alias("doc_id"), "key_a", "key_b")
+    # most rows of equal sets go here, the others with the points below
+    tokens = common.sift(named.select("doc_id", "n", "prefix"), chosen).select("doc_id", "n", F.explode("prefix").alias("token"))
+    shared = tokens.groupBy("token").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).filter("hub < last").select("token", "hub")
+    met = common.table(tokens.join(shared, "token").groupBy("hub", "doc_id").agg(F.max("n").alias("n")), "meetings")
+    points = common.table(named.join(chosen, ["doc_id", "key_a", "key_b"], "left_semi").select("doc_id", "n", "vec").dropDuplicates(["doc_id", "n"]), "points")
+
+    banded = met.withColumn("band", F.floor(F.log(F.col("n")) / math.log(100 / percent)).cast("int"))
+    per = banded.groupBy("hub", "band").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
+    above = per.groupBy("hub").agg(F.sum("rows").alias("rows"), F.sum("shingles").alias("shingles")).filter((F.col("rows") > PART_ROWS) | (F.col("shingles") > PART_SHINGLES)).select("hub")
+    large = common.table(per.join(above, "hub", "left_semi").select("hub", "band", _fan("rows", "shingles").alias("fan")), "split-groups")
+    split = not large.isEmpty()
+    whole = met.select("hub", F.lit(0).cast("long").alias("part"), "doc_id")
+    if split:
+        whole = whole.join(large, "hub", "left_anti")
+        placed = banded.join(large, ["hub", "band"]).withColumn("part", _part(F.col("fan")).cast("long"))
+        hubs = large.select("hub", F.explode(F.sequence(F.lit(0), F.col("fan") - 1)).alias("at"), (F.col("band") * (1 << 24)).alias("base")).select("hub", (F.col("base") + F.col("at") + 1).cast("long").alias("part"), F.col("hub").alias("doc_id"))
+        whole = whole.unionByName(placed.select("hub", "part", "doc_id").unionByName(hubs).distinct())
+
+    def resolve(rows: DataFrame) -> DataFrame:
+        found = clusters(rows.join(points, "doc_id"), percent)
+        edges = links(found, docs, k, percent)
+        common.drop(found)
+        return edges
+
+    edges = resolve(whole.withColumn("label", F.col("doc_id")))
+    joined = components(edges)
+    if split:
+        edges = edges.unionByName(resolve(_second(placed.select("hub", "doc_id", "n", "band", "part"), joined)))
+        joined = components(edges)
     common.drop(met, points)
-    common.release(spark)
-    second = verify(pairs, docs, k, percent)
-    joined = components(first.unionByName(second))
     parts = reps.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select(F.col("key_a").alias("part_a"), F.col("key_b").alias("part_b"), F.coalesce("component", "rep").alias("part"))
     full = table.select("doc_id", "n", "key_a", "key_b").join(parts, (F.col("n") > 0) & F.col("doc_id").isNotNull() & (F.col("key_a") == F.col("part_a")) & (F.col("key_b") == F.col("part_b")), "left")
     out = common.table(full.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("part", "doc_id").alias("component_id")), "classes")
-    common.drop(table, pairs, first, second)
-    common.release(spark)
+    common.drop(table, reps)
     return out
 
 

@@ -91,9 +91,46 @@ def test_search_finds_all_pairs_the_bound_allows():
     n = vec.sum(1)
     order = np.lexsort((n, group))
     group, label, n, vec = group[order], label[order], n[order], vec[order]
-    i, j = jaccard.search(group, label, n, vec, 85)
+    i, j = jaccard.Forest(group, n, vec, 85).search(np.arange(300), np.arange(300), label)
     want = {(a, b) for a in range(300) for b in range(a + 1, 300) if group[a] == group[b] and label[a] != label[b] and np.minimum(vec[a], vec[b]).sum() >= -(-85 * (n[a] + n[b]) // 185)}
     assert set(zip(i.tolist(), j.tolist(), strict=True)) == want and want
+    root = jaccard.families(group, n, jaccard.Vectors(list(vec)), 85, np.arange(300), label)
+    assert root.tolist() == _roots(300, want)
+
+
+def _roots(n, pairs):
+    root = list(range(n))
+    for _ in range(n):
+        for a, b in pairs:
+            root[a] = root[b] = min(root[a], root[b])
+    return root
+
+
+def _family(n, size, seed, edits):
+    """Copies of one text with a few words changed, some near the threshold, in one group of tokens."""
+    rnd = np.random.default_rng(seed)
+    base = [f"b{i}" for i in range(size)]
+    rows = []
+    for i in range(n):
+        words = list(base)
+        for at in rnd.choice(size, int(rnd.integers(0, edits)), False):
+            words[at] = f"n{i}_{at}"
+        rows.append((i * 3 % 1009, " ".join(words[: size - int(rnd.integers(0, 9))])))
+    return rows
+
+
+@pytest.mark.parametrize("part_rows,part_shingles", [(2000, 6_000_000), (40, 6_000_000), (2000, 4_000)])
+def test_groups_of_near_copies_whole_and_split(spark, monkeypatch, part_rows, part_shingles):
+    """A group above the limits meets part by part, in two rounds, with the same result."""
+    monkeypatch.setattr(jaccard, "PART_ROWS", part_rows)
+    monkeypatch.setattr(jaccard, "PART_SHINGLES", part_shingles)
+    monkeypatch.setattr(jaccard, "HELD_ROWS", 30)
+    monkeypatch.setattr(jaccard, "HELD_SHINGLES", 1000)
+    rows = _family(220, 200, 3, 9) + [(2000 + i, t) for i, t in _family(60, 90, 4, 4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    want = _classes(_sets(rows, 4), 85)
+    assert len(set(want.values())) > 20 and max(np.unique(list(want.values()), return_counts=True)[1]) > 60
+    assert {r.doc_id: r.component_id for r in jaccard.classes(docs).collect()} == want
 
 
 def test_components_of_a_path_and_a_star(spark):
