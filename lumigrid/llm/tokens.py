@@ -5,7 +5,8 @@ piece at a space before a non-space. So a text's ids are those of its space-led
 a chunk of texts is split and dictionary-encoded by Arrow, each distinct unit is looked up once, units the
 worker hasn't met go through the library, and the ids are gathered in one NumPy step. A word with closing
 punctuation is the word's ids and the punctuation's. Texts where spaces meet other white space, or that
-hold a special token's string, go through the library whole. The store is emptied when full.
+hold a special token's string, go through the library whole. The store keeps no strings: a unit is known by two
+independent 64-bit hashes of its bytes. It is emptied when full.
 """
 
 from __future__ import annotations
@@ -20,9 +21,11 @@ import public_tokenizers
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import words
+
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
-#: Units a worker keeps, about 200 bytes each; longer units aren't kept.
+#: Units a worker keeps, about 60 bytes each; longer units aren't kept.
 STORE_UNITS, STORE_LENGTH = 1_000_000, 48
 
 #: White space of the split pattern and of Python, as RE2 writes it.
@@ -30,6 +33,20 @@ _SPACE = r"\x09-\x0d\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{20
 _CLOSING = ".,;:!?\n"
 
 
+def _hashes(units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of each string's bytes."""
+    data, bounds = words.raw(units)
+    full = np.flatnonzero(np.diff(bounds) > 0)
+    out = np.zeros(len(units), np.uint64), np.zeros(len(units), np.uint64)
+    for h, turned in zip(out, (data, _TURN[data]), strict=True):
+        h[full] = words.hashes(turned, bounds[full], bounds[full + 1])
+    return out
+
+
+#: A permutation of the bytes: the second hash adds other keys at each place.
+_TURN = np.random.default_rng(7).permutation(256).astype(np.uint8)
+
+
 class UnitEncoder:
     """Ids equal to ``Tokenizer.encode(text, add_special_tokens=False)`` of each text."""
 
@@ -44,10 +61,26 @@ class UnitEncoder:
         self._empty()
 
     def _empty(self) -> None:
-        self.at: dict[str, int] = {}
+        self.known = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)  # both hashes and the row, by the first
         self.starts, self.lens = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
         self.pool, self.used, self.n = np.zeros(1 << 16, np.uint32), 0, 0
 
+    def _find(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
+        """Rows of the store, -1 for what isn't in it."""
+        h, g, row = self.known
+        if not len(h):
+            return np.full(len(one), -1)
+        at = np.minimum(np.searchsorted(h, one), len(h) - 1)
+        return np.where((h[at] == one) & (g[at] == two), row[at], -1)
+
+    def _keep(self, one: np.ndarray, two: np.ndarray, rows: np.ndarray) -> None:
+        h, g, row = (np.concatenate(x) for x in zip(self.known, (one, two, rows), strict=True))
+        order = np.argsort(h, kind="stable")
+        first = np.ones(len(h), bool)
+        first[1:] = h[order][1:] != h[order][:-1]
+        order = order[first]
+        self.known = h[order], g[order], row[order]
+
     def _put(self, ids: list[list[int]]) -> range:
         """Rows of the store that hold the id lists."""
         lens = np.fromiter(map(len, ids), np.int64, len(ids))
@@ -69,22 +102,25 @@ class UnitEncoder:
     def _library(self, pieces: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
-    def _learn(self, units: list[str]) -> dict[str, int]:
+    def _learn(self, units: list[str]) -> np.ndarray:
         """Rows for units (without their leading space) that have none yet."""
-        at, got = self.at, {}
         closed = [(u, c) for u in units if (c := u.rstrip(_CLOSING)) != u and c.isalpha()]
-        there = {u for u, _ in closed}
-        plain = list(dict.fromkeys([*(u for u in units if u not in there), *(c for _, c in closed if c not in at)]))
+        there, mine = {u for u, _ in closed}, set(units)
+        stems = list(dict.fromkeys(c for _, c in closed if c not in mine))
+        rows = self._find(*_hashes(pa.array(stems, pa.string())))
+        got = {c: r for c, r in zip(stems, rows.tolist(), strict=True) if r >= 0}
+        plain = [*(u for u in units if u not in there), *(c for c in stems if c not in got)]
         letters = [u for u in plain if u.isascii() and u.isalpha()]
         other = [u for u in plain if not (u.isascii() and u.isalpha())]
         ids = [e.ids for e in self.words.encode_batch_fast(["Ġ" + u for u in letters], add_special_tokens=False)]
         got.update(zip([*letters, *other], self._put([*ids, *self._library([" " + u for u in other])]), strict=True))
         tails = list({u[len(c) :] for u, c in closed})
         tail = dict(zip(tails, self._library(tails), strict=True))
-        both = [self._ids(got[c] if c in got else at[c]) + tail[u[len(c) :]] for u, c in closed]
+        both = [self._ids(got[c]) + tail[u[len(c) :]] for u, c in closed]
         got.update(zip((u for u, _ in closed), self._put(both), strict=True))
-        at.update((u, r) for u, r in got.items() if len(u) <= STORE_LENGTH)
-        return got
+        kept = [u for u in [*units, *stems] if len(u) <= STORE_LENGTH]
+        self._keep(*_hashes(pa.array(kept, pa.string())), np.array([got[u] for u in kept], np.int64))
+        return np.array([got[u] for u in units], np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in order (uint32), and how many each text has. Null counts as empty."""
@@ -103,13 +139,9 @@ class UnitEncoder:
         bounds = parts.offsets.to_numpy().astype(np.int64)
         values = parts.values.slice(bounds[0], bounds[-1] - bounds[0]).dictionary_encode()
         bounds -= bounds[0]
-        units = values.dictionary.to_pylist()
-        get = self.at.get
-        rows = np.fromiter((get(u, -1) for u in units), np.int64, len(units))
+        rows = self._find(*_hashes(values.dictionary))
         if len(new := np.flatnonzero(rows < 0)):
-            names = [units[i] for i in new.tolist()]
-            got = self._learn(names)
-            rows[new] = [got[u] for u in names]
+            rows[new] = self._learn(values.dictionary.take(pa.array(new)).to_pylist())
         index = rows[values.indices.to_numpy()]
         firsts = pc.take(parts.values, pa.array(parts.offsets.to_numpy()[:-1])).to_pylist()
         known = dict.fromkeys(firsts)
@@ -117,11 +149,14 @@ class UnitEncoder:
         ids = [known[f] for f in firsts]
         for i, e in zip(odd.tolist(), self._library(odd_texts), strict=True):
             ids[i] = e
+        mark = self.n, self.used
         index[bounds[:-1]] = self._put(ids)
         lens = self.lens[index]
         total = int(lens.sum())
         shift = np.repeat(self.starts[index] - (np.cumsum(lens) - lens), lens)
-        return self.pool[shift + np.arange(total)], np.add.reduceat(lens, bounds[:-1])
+        out = self.pool[shift + np.arange(total)], np.add.reduceat(lens, bounds[:-1])
+        self.n, self.used = mark  # texts' beginnings and whole texts aren't kept
+        return out
 
 
 _encoders: dict[str, UnitEncoder] = {}
