@@ -2,7 +2,8 @@
 
 Intermediate results that are read more than once are written as Parquet below the folder named by
 ``spark.checkpoint.dir`` (all executors see it); lineage is cut there, so a lost executor costs a re-read
-and not a recomputation. Where the setting is absent (tests, notebooks) a private folder is used.
+and not a recomputation. Where the setting is absent, a session in local mode (tests, notebooks)
+uses a private folder; on a cluster it is an error.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from ..shipping import ship
 
 #: Documents a Python kernel handles at once, and the text bytes it aims at.
-CHUNK_ROWS, CHUNK_BYTES = 2048, 8 << 20
+CHUNK_ROWS, CHUNK_BYTES = 2048, 2 << 20
 
 _own: dict[str, str] = {}
 _paths: dict[int, str] = {}
@@ -34,6 +35,8 @@ def shared_dir(spark: SparkSession) -> str:
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     app = spark.sparkContext.applicationId
     if app not in _own:
         _own[app] = tempfile.mkdtemp(prefix="lumigrid-")
@@ -47,11 +50,11 @@ def checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 
-def table(df: DataFrame, name: str, *partition_by: str) -> DataFrame:
+def table(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """Writes ``df`` as a Parquet table in the shared folder and returns a scan of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.partitionBy(*partition_by).parquet(path)
+    df.write.parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)
     _paths[id(out)] = path
     weakref.finalize(out, _paths.pop, id(out), None)

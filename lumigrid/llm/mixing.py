@@ -3,12 +3,12 @@
 Words are the tokens. Targets come from the weights by water-filling (see ``targets``). They are met in equal
 blocks of words: the mix has total / block seats; sources get them by highest quotients (votes / (2 k + 1)),
 then a source's words go to its shards the same way. No party gets more than ``limit`` times its words: its last
-block is cut there, and what is cut goes on to the others (see ``allot``). Shards hold documents by a seeded hash, sized so that one
-has a bounded number of words and rows; with many shards a level of shard groups lies between, so no
-apportionment sees more than ``FAN`` parties but the first, whose parties are the sources. Within (shard,
-source) documents stand in seeded order as a line of words, of which are taken whole passes over the line and
-then seeded blocks of it. A hot source is spread over all shards; every choice depends on seed and content
-only, so reruns agree.
+block is cut there, and what is cut goes on to the others (see ``allot``). Shards hold documents by a seeded hash,
+sized so that one has a bounded number of words and rows; a level of about ``FAN`` shard groups or more lies
+between. Within (shard, source) documents stand in seeded order as a line of words, of which are taken whole
+passes over the line and then seeded passages of ``PASSAGE`` blocks of it, cut at document edges only. A hot
+source is spread over all shards, and so are rows that repeat each other, which are numbered; every choice
+depends on seed and content only, so reruns agree.
 """
 
 from __future__ import annotations
@@ -29,35 +29,14 @@ from . import common, words
 
 WEIGHTS, SHARE, LIMIT = (5.0, 2.0, 1.0), 1.5, 2.0
 BLOCK, SEED = 16, 17
+#: Blocks that are taken together where a line of words isn't taken whole, so that what is cut out is a readable passage.
+PASSAGE = 16
 #: What a shard should hold, and how many shards an apportionment may see.
 SHARD_WORDS, SHARD_ROWS, FAN = 100_000, 1_000, 1_024
 #: Sources get weights one by one, so there are few; above this the mix is refused.
 MOST_SOURCES = 100_000
 
 
-def sainte_lague(votes: np.ndarray, seats: int) -> np.ndarray:
-    """Seats of each party by highest quotients votes / (2 k + 1); ties go to the earlier party."""
-    votes = np.asarray(votes, float)
-    out = np.zeros(len(votes), np.int64)
-    if seats <= 0 or votes.sum() <= 0:
-        return out
-    # a divisor at which no more than ``seats`` are given, within one seat a party; the rest goes one by one
-    lo, hi = 0.0, 2 * votes.sum() / seats + votes.max()
-    give = lambda d: np.floor(votes / d + 0.5).astype(np.int64)
-    for _ in range(200):
-        mid = (lo + hi) / 2
-        if mid in (lo, hi):
-            break
-        if give(mid).sum() > seats:
-            lo = mid
-        else:
-            hi = mid
-    out = give(hi)
-    for _ in range(seats - int(out.sum())):
-        out[np.argmax(votes / (2 * out + 1))] += 1
-    return out
-
-
 def allot(votes: np.ndarray, most: np.ndarray, words_wanted: int, block: int) -> np.ndarray:
     """Words of each party, as many as wanted if all may hold so many.
 
@@ -98,6 +77,11 @@ def allot(votes: np.ndarray, most: np.ndarray, words_wanted: int, block: int) ->
     return out
 
 
+def sainte_lague(votes: np.ndarray, seats: int) -> np.ndarray:
+    """Seats of each party by highest quotients votes / (2 k + 1); ties go to the earlier party."""
+    return allot(votes, np.full(len(votes), max(seats, 0)), seats, 1)
+
+
 def targets(sizes: np.ndarray, weights: tuple[float, ...] = WEIGHTS, share: float = SHARE, limit: float = LIMIT) -> np.ndarray:
     """``share`` of all words split by weight (repeating by position); what lies above ``limit`` times a size is reshared."""
     sizes = np.asarray(sizes, float)
@@ -129,7 +113,7 @@ def sized(docs: DataFrame) -> DataFrame:
     out = pa.schema([("doc_id", pa.int64()), ("source", pa.string()), ("size", pa.int64()), ("row", pa.int64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in common.chunks(batches, size=3 << 20):
+        for part in common.chunks(batches, size=1 << 20):
             data, bounds = words.raw(part.column(1))
             starts, _ = words.runs(data, bounds, words.SPACES)
             yield common.batch_of(out, part.column(0), part.column(2), np.diff(np.searchsorted(starts, bounds)), part.column(3))
@@ -197,8 +181,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
     plan = spark.createDataFrame([(s[0], int(n), float(g), int(q)) for s, n, g, q in zip(sources, size, goal, allowed, strict=True)], "source string, source_size long, target double, source_words long")
     plan = F.broadcast(plan)  # at most MOST_SOURCES rows
 
-    shard = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "row"), F.lit(n_shards)).cast("long")
-    spread = table.withColumn("shard", shard).withColumn("source_key", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()))
+    numbered = table.groupBy("doc_id", "source", "size", "row").agg(F.count(F.lit(1)).alias("copies")).select("doc_id", "source", "size", "row", F.explode(F.sequence(F.lit(1), F.col("copies"))).alias("copy"))
+    shard = F.pmod(F.xxhash64(F.lit(seed), "doc_id", "row", "copy"), F.lit(n_shards)).cast("long")
+    spread = numbered.withColumn("shard", shard).withColumn("source_key", F.xxhash64(F.coalesce("source", F.lit("")), F.col("source").isNull()))
     per_shard = spread.groupBy("source_key", "shard").agg(F.sum("size").alias("size"), F.first("source").alias("source"))
     joined = per_shard.join(plan, per_shard["source"].eqNullSafe(plan["source"])).select("source_key", "shard", "size", F.floor(F.lit(float(limit)) * F.col("size")).alias("most"), "source_words")
     by_group = joined.withColumn("group", F.col("shard") % groups).groupBy("source_key", "group").agg(F.sum("size").alias("size"), F.sum("most").alias("most"), F.first("source_words").alias("parent_words"))
@@ -208,7 +193,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, share: float = SH
 
     def choose(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["place", "doc_id", "row", "size"], kind="stable")
-        passes, pdf["taken"], ranges = _take(pdf, block, seed)
+        passes, pdf["taken"], ranges = _take(pdf, PASSAGE * block, seed)
         pdf["passes"], pdf["ranges"] = passes, [[{"a": a, "b": b} for a, b in r] for r in ranges]
         return pdf[["doc_id", "row", "source", "size", "taken", "passes", "ranges"]]
 
@@ -238,7 +223,10 @@ def mixed(docs: DataFrame) -> DataFrame:
         chosen = chosen.withColumn("n", F.row_number().over(Window.partitionBy(*names).orderBy("parts")))
         rows = rows.withColumn("row_n", F.row_number().over(Window.partitionBy("row_id", "row_key", "row_of").orderBy("row_key")))
         same = rows["row_id"].eqNullSafe(chosen["id"]) & (rows["row_key"] == chosen["key"]) & rows["row_of"].eqNullSafe(chosen["of"]) & (rows["row_n"] == chosen["n"])
-    rows = rows.join(chosen, same).select(*(F.col(f"doc_{i}").alias(c) for i, c in enumerate(docs.columns)), F.explode("parts").alias("part"))
+    taken = "part"
+    while taken in docs.columns:
+        taken += "_"
+    rows = rows.join(chosen, same).select(*(F.col(f"doc_{i}").alias(c) for i, c in enumerate(docs.columns)), F.explode("parts").alias(taken))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.chunks(batches):

@@ -159,7 +159,7 @@ def keep(docs: DataFrame) -> DataFrame:
     language = docs.schema.names.index("lang") if "lang" in docs.columns else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in common.chunks(batches, size=3 << 20):
+        for part in common.chunks(batches, size=1 << 20):
             foreign = _foreign(part.column(language).cast(pa.string())) if language >= 0 else np.zeros(part.num_rows, bool)
             yield part.filter(pa.array(_verdict(measure(part.column(part.schema.get_field_index("text"))), foreign)[0]))
 
@@ -175,7 +175,7 @@ def judge(docs: DataFrame) -> DataFrame:
     language = F.col("lang").cast("string") if "lang" in docs.columns else F.lit(None).cast("string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in common.chunks(batches, size=3 << 20):
+        for part in common.chunks(batches, size=1 << 20):
             m = measure(part.column(1))
             yield common.batch_of(_VERDICTS, part.column(0), *(m[k].astype(np.int64) for k in _COUNTS), m["base_failed"], *_verdict(m, _foreign(part.column(2))))
 

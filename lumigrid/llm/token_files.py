@@ -121,21 +121,28 @@ def write(docs: DataFrame, vocabulary: str = tokens.VOCABULARY, percentile: int
     """Encodes the documents and writes files in ascending doc_id order (null first); returns the table of files.
 
     One range shuffle of (doc_id, text) orders them; each task appends to its shard and notes how many of the
-    shard's ids come before a file. Empty and null texts give just the end id; equal keys keep all their rows.
+    shard's ids come before a file. Empty and null texts give just the end id; equal keys keep all their rows, ordered
+    by a hash of the text and then the text, so that reruns agree and a key with very many rows spreads. A file ends
+    with the first document that brings it to ``file_ids`` ids. An empty table gives no files.
     """
-    ordered = common.texts(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id")
+    place = F.xxhash64("text")
+    ordered = common.texts(docs).withColumn("place", place).repartitionByRange("doc_id", "place").sortWithinPartitions("doc_id", "place", "text").select("doc_id", "text")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc, shard, file, before = tokens.encoder(vocabulary), TaskContext.get().partitionId(), 0, 0
         held, keys, many = [], [], 0
         for part in common.chunks(batches):
             ids, lens = with_end(*enc.encode(part.column(1)))
-            held.append((ids, lens))
-            keys += part.column(0).to_pylist()
-            many += len(ids)
-            if many >= file_ids:
-                yield common.batch_of(_FILES, [shard], [file], [before], [many], [pack(*map(np.concatenate, zip(*held, strict=True)), keys, percentile)])
-                file, before, held, keys, many = file + 1, before + many, [], [], 0
+            names, ends, at = part.column(0).to_pylist(), np.cumsum(lens), 0
+            while at < len(lens):
+                done = int(ends[at - 1]) if at else 0
+                to = min(int(np.searchsorted(ends, done + file_ids - many)) + 1, len(lens))
+                held.append((ids[done : ends[to - 1]], lens[at:to]))
+                keys += names[at:to]
+                many, at = many + int(ends[to - 1]) - done, to
+                if many >= file_ids:
+                    yield common.batch_of(_FILES, [shard], [file], [before], [many], [pack(*map(np.concatenate, zip(*held, strict=True)), keys, percentile)])
+                    file, before, held, keys, many = file + 1, before + many, [], [], 0
         if keys:
             yield common.batch_of(_FILES, [shard], [file], [before], [many], [pack(*map(np.concatenate, zip(*held, strict=True)), keys, percentile)])
 
