@@ -121,9 +121,37 @@ def test_interpolation_equals_numpy(spark):
     np.testing.assert_allclose([got[int(t)] for t in ts], np.interp(ts, td, vd), atol=1e-12)
 
 
-def test_rolling_baseline_short_and_flat():
-    assert np.allclose(dff.rolling_baseline(np.full(50, 2.0), 5, 4, 10), 2.0)
-    assert np.isfinite(dff.rolling_baseline(np.arange(1.0, 4), 10, 5, 10)).all()
+def _slow(x, fps, cutoff, rank):
+    """The baseline sample by sample."""
+    step = max(1, round(fps))
+    low = list(x[::step])
+    n, win = len(low), round(cutoff * fps / step)
+    win += win % 2 == 0
+    at = lambda v, i: v[min(max(i, 0), n - 1)]
+    if n < 3 or win < 3:
+        base = [float(np.percentile(low, rank))] * n
+    else:
+        win = min(win, n - 1 + n % 2)
+        around = lambda v, i: [at(v, j) for j in range(i - win // 2, i + win // 2 + 1)]
+        kth = win - 1 if rank == 100 else int(win * rank / 100)
+        ranked = [sorted(around(low, i))[kth] for i in range(n)]
+        base = [sum(around(ranked, i)) / win for i in range(n)]
+    out = []
+    for k in range(len(x)):
+        i = max(0, min(k // step, n - 2))
+        out.append(max(1e-6, base[i] + (at(base, i + 1) - base[i]) * (k / step - i)))
+    return np.array(out)
+
+
+def test_highpass_divides_by_the_slow_baseline(spark):
+    rng = np.random.default_rng(12)
+    traces = {"flat": np.full(50, 2.0), "short": np.arange(1.0, 4), "one": np.array([4.0]), "long": rng.uniform(1, 3, 137), "even": rng.uniform(-1, 3, 96)}
+    rows = [(k, i * 2 + 5, float(v)) for k, x in traces.items() for i, v in enumerate(x)]
+    table = spark.createDataFrame(rows, "k string, t long, x double").repartition(4)
+    for fps, cutoff, rank in ((5.0, 4.0, 10.0), (1.0, 15.0, 10.0), (10.0, 5.0, 100.0), (3.4, 0.2, 30.0), (4.0, 60.0, 0.0)):
+        got = dff.highpass(table, ["k"], fps, cutoff, rank).orderBy("t").toPandas()
+        for k, x in traces.items():
+            np.testing.assert_allclose(got[got["k"] == k]["y"], x / _slow(x, fps, cutoff, rank), rtol=1e-9)
 
 
 def test_resize_keeps_constants_and_rounds_size(spark):
@@ -170,9 +198,9 @@ def test_correlations(spark):
 def test_pca_equals_svd_and_ica_subtracts(spark):
     rng = np.random.default_rng(8)
     t = np.arange(40)
-    maps = rng.laplace(size=(2, 12))
-    x = np.outer(np.sin(t / 3), maps[0]) * 5 + np.outer(np.sign(np.sin(t / 5)), maps[1]) * 3 + rng.normal(0, 0.01, (40, 12)) + 100
-    px = _px(spark, x.reshape(40, 3, 4))
+    maps = rng.laplace(size=(2, 1200))
+    x = np.outer(np.sin(t / 3), maps[0]) * 5 + np.outer(np.sign(np.sin(t / 5)), maps[1]) * 3 + rng.normal(0, 0.01, (40, 1200)) + 100
+    px = _px(spark, x.reshape(40, 30, 40))
     p = decompose.pca(px, 2)
     u, s, vt = np.linalg.svd(x - x.mean(0), full_matrices=False)
     np.testing.assert_allclose(p.singular, s[:2], rtol=1e-6)
