@@ -80,9 +80,11 @@ def release(spark: SparkSession) -> None:
 SIFT_BITS = 1 << 23
 
 
-def sift(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+def sift(rows: DataFrame, ids: DataFrame, key: str = "doc_id", hits: bool = True) -> DataFrame:
     """``rows`` without most of those whose key isn't in ``ids`` (a table); a join on the key follows.
 
+    With ``hits`` false the other rows, none of whose keys is in ``ids``.
+
     A hashed bitmap of fixed size goes to all tasks, so rows that can't join aren't shuffled. With very many ids it
     fills up and lets everything pass, which costs nothing but its effect.
     """
@@ -90,9 +92,16 @@ def sift(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     word, bit = lambda: F.shiftright(place(), 6).cast("int"), lambda: (place() % 64).cast("int")
     one = F.expr("1L")
     marks = ids.select(word().alias("sift_word"), F.call_function("shiftleft", one, bit()).alias("mark")).groupBy("sift_word").agg(F.bit_or("mark").alias("sift_marks"))
-    hit = F.call_function("shiftright", F.col("sift_marks"), bit()).bitwiseAND(F.lit(1)) == 1
     marks = F.broadcast(marks)
-    return rows.join(marks, word() == marks["sift_word"]).filter(hit).select(*(rows[c] for c in rows.columns))
+    hit = F.call_function("shiftright", marks["sift_marks"], bit()).bitwiseAND(F.lit(1)) == 1
+    joined = rows.join(marks, word() == marks["sift_word"], "inner" if hits else "left")
+    return joined.filter(hit if hits else ~F.coalesce(hit, F.lit(False))).select(*(rows[c] for c in rows.columns))
+
+
+def without(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
+    """``rows`` whose key isn't in ``ids`` (a table). Only rows that the bitmap of ``sift`` can't clear are shuffled."""
+    asked = sift(rows, ids, key).join(ids.select(key), key, "left_anti").select(rows.columns)
+    return sift(rows, ids, key, hits=False).unionByName(asked)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,8 +12,8 @@ counts, and the overlap of two sets is at most the sum of the coordinate minima.
 R-tree over ``GROUPS`` coarse cells; a box whose summed minima with a point can't reach the overlap the threshold
 needs is skipped with all it holds, and what it leaves is bounded again with more cells. The bound is applied
 twice. First the vectors alone are shuffled, and only documents that the bound leaves a partner go on, as
-clusters. Then the texts of a cluster meet in one task, where finer vectors bound and the hash sets verify each
-pair. No pair leaves a task: documents that are linked already, even through others, aren't compared again, and
+clusters. Then the texts of a cluster (of all clusters that share documents, if they are few) meet in one task,
+where finer vectors bound and the hash sets verify each pair. No pair leaves a task: documents that are linked already, even through others, aren't compared again, and
 what a task hands on are the edges of a spanning forest, at most one a document.
 
 A group above ``PART_ROWS`` documents or ``PART_SHINGLES`` shingles is split by bands of set size (the width of a
@@ -96,8 +96,8 @@ def frequent(docs: DataFrame, k: int) -> np.ndarray:
     return np.array([r.token for r in reversed(rows)], np.int64).view(np.uint64)
 
 
-NODES = "doc_id long, n long, key_a long, key_b long, vec binary, prefix array<long>"
-_NODES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key_a", pa.int64()), ("key_b", pa.int64()), ("vec", pa.binary()), ("prefix", pa.list_(pa.int64()))])
+NODES = "doc_id long, n long, key_a long, key_b long, vec binary, prefix array<long>, often array<long>"
+_NODES = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("key_a", pa.int64()), ("key_b", pa.int64()), ("vec", pa.binary()), ("prefix", pa.list_(pa.int64())), ("often", pa.list_(pa.int64()))])
 
 
 def _counts(h: np.ndarray, first: np.ndarray, share: int) -> list[np.ndarray]:
@@ -121,7 +121,7 @@ def _unpack(raw: bytes) -> np.ndarray:
 
 
 def nodes(docs: DataFrame, k: int, percent: int) -> DataFrame:
-    """Set size, set key, count vector and prefix tokens of each document."""
+    """Set size, set key, count vector and prefix tokens of each document; the frequent ones among these in ``often``."""
     tail = frequent(docs, k)
     by = np.argsort(tail)
     tokens, place = tail[by], by + 1
@@ -133,14 +133,19 @@ def nodes(docs: DataFrame, k: int, percent: int) -> DataFrame:
             sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(words.mix(h + np.uint64(salt)))]) for salt in (1, 2)]
             keys = [(s[first[1:]] - s[first[:-1]]).view(np.int64) for s in sums]
             vec = [_pack(c) for c in _counts(h, first, 4)]
+            rank = np.zeros(len(h), np.int64)
             if len(tokens):
                 at = np.minimum(np.searchsorted(tokens, h), len(tokens) - 1)
                 rank = np.where(tokens[at] == h, place[at], 0)
-                h = h[np.lexsort((h, rank, owner))]
+                order = np.lexsort((h, rank, owner))
+                h, rank = h[order], rank[order]
             size = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
             take = np.arange(len(h)) - np.repeat(first[:-1], n) < np.repeat(size, n)
-            prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(size)]).astype(np.int32)), pa.array(h[take].view(np.int64)))
-            yield common.batch_of(_NODES, part.column(0), n, *keys, vec, prefix)
+            lists = []
+            for mask in (take & (rank == 0), take & (rank > 0)):
+                edge = np.concatenate([[0], np.cumsum(mask)])[first]
+                lists.append(pa.ListArray.from_arrays(pa.array(edge.astype(np.int32)), pa.array(h[mask].view(np.int64))))
+            yield common.batch_of(_NODES, part.column(0), n, *keys, vec, *lists)
 
     return common.table(common.texts(docs).mapInArrow(run, NODES), "shingle-nodes")
 
@@ -297,8 +302,8 @@ def _changes(*columns: np.ndarray) -> np.ndarray:
     return np.cumsum(new)
 
 
-CLUSTERS = "hub long, part long, root long, doc_id long, label long"
-_CLUSTERS = pa.schema([(c, pa.int64()) for c in ("hub", "part", "root", "doc_id", "label")])
+CLUSTERS = "hub long, part long, root long, doc_id long, label long, n long"
+_CLUSTERS = pa.schema([(c, pa.int64()) for c in ("hub", "part", "root", "doc_id", "label", "n")])
 
 
 def clusters(rows: DataFrame, percent: int) -> DataFrame:
@@ -311,7 +316,7 @@ def clusters(rows: DataFrame, percent: int) -> DataFrame:
         root = families(group, n, vectors, percent, np.arange(len(n)), label)
         keep = np.flatnonzero(np.bincount(root, minlength=len(root))[root] > 1)
         keep = keep[np.unique(np.stack([root[keep], doc[keep]]), axis=1, return_index=True)[1]]
-        return common.batch_of(_CLUSTERS, *(c[keep] for c in (hub, part, doc[root], doc, label)))
+        return common.batch_of(_CLUSTERS, *(c[keep] for c in (hub, part, doc[root], doc, label, n)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -331,6 +336,21 @@ def clusters(rows: DataFrame, percent: int) -> DataFrame:
     return common.table(rows.mapInArrow(run, CLUSTERS), "clusters")
 
 
+def gathered(found: DataFrame) -> DataFrame:
+    """Clusters that share documents as one, so that a text travels once; where that would be above the limits, the clusters stay as they are."""
+    family = components(found.select(F.col("root").alias("u"), F.col("doc_id").alias("v")))
+    family = found.join(family.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("family", F.coalesce("component", "doc_id"))
+    rows = written = common.table(family.select(*found.columns, "family"), "families")
+    sizes = rows.select("family", "doc_id", "n").distinct().groupBy("family").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("shingles"))
+    above = sizes.filter((F.col("rows") > PART_ROWS) | (F.col("shingles") > PART_SHINGLES)).select("family", F.lit(True).alias("above"))
+    rows = rows.join(above, "family", "left")
+    own = F.col("above").isNull()
+    place = (F.when(own, F.lit(-1)).otherwise(F.col(c)).alias(c) for c in ("hub", "part"))
+    out = common.table(rows.select(*place, F.when(own, F.col("family")).otherwise(F.col("root")).alias("root"), "doc_id", "label").distinct(), "gathered")
+    common.drop(written)
+    return out
+
+
 def links(found: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
     """(u, v): a spanning forest of the documents of each cluster whose sets meet the threshold, from whole texts."""
     out = pa.schema([("u", pa.int64()), ("v", pa.int64())])
@@ -431,9 +451,14 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     reps = common.table(named.groupBy("key_a", "key_b").agg(F.min("doc_id").alias("rep")), "sets")
     chosen = reps.select(F.col("rep").alias("doc_id"), "key_a", "key_b")
     # most rows of equal sets go here, the others with the points below
-    tokens = common.sift(named.select("doc_id", "n", "prefix"), chosen).select("doc_id", "n", F.explode("prefix").alias("token"))
-    shared = tokens.groupBy("token").agg(F.min("doc_id").alias("hub"), F.max("doc_id").alias("last")).filter("hub < last").select("token", "hub")
-    met = common.table(tokens.join(shared, "token").groupBy("hub", "doc_id").agg(F.max("n").alias("n")), "meetings")
+    tokens = lambda prefix: common.sift(named.select("doc_id", "n", prefix), chosen).select("doc_id", "n", F.explode(prefix).alias("token"))
+    ends = F.min("doc_id"), F.max("doc_id")
+    rare = tokens("prefix").select("*", *(e.over(Window.partitionBy("token")).alias(c) for e, c in zip(ends, ("hub", "last"), strict=True)))
+    # hot tokens are never in one task: their ends are combined map-side, and go back to at most FREQUENT of them
+    shared = tokens("often").groupBy("token").agg(*(e.alias(c) for e, c in zip(ends, ("hub", "last"), strict=True)))
+    often = tokens("often").join(F.broadcast(shared), "token")
+    both = rare.select("hub", "last", "doc_id", "n").unionByName(often.select("hub", "last", "doc_id", "n")).filter("hub < last")
+    met = common.table(both.groupBy("hub", "doc_id").agg(F.max("n").alias("n")), "meetings")
     points = common.table(named.join(chosen, ["doc_id", "key_a", "key_b"], "left_semi").select("doc_id", "n", "vec").dropDuplicates(["doc_id", "n"]), "points")
 
     banded = met.withColumn("band", F.floor(F.log(F.col("n")) / math.log(100 / percent)).cast("int"))
@@ -450,8 +475,10 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
 
     def resolve(rows: DataFrame) -> DataFrame:
         found = clusters(rows.join(points, "doc_id"), percent)
-        edges = links(found, docs, k, percent)
+        together = gathered(found)
         common.drop(found)
+        edges = links(together, docs, k, percent)
+        common.drop(together)
         return edges
 
     edges = resolve(whole.withColumn("label", F.col("doc_id")))
@@ -475,8 +502,8 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     a null doc_id all their rows).
     """
     if docs.groupBy("doc_id").count().filter("count > 1 or doc_id is null").isEmpty():
-        gone = classes(docs, k, percent).filter("component_id < doc_id").select("doc_id")
-        return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+        gone = common.table(classes(docs, k, percent).filter("component_id < doc_id").select("doc_id"), "gone")
+        return common.without(docs, gone)
     key = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
     ids = docs.select(F.col("doc_id").alias("own"), key.alias("key")).distinct().orderBy(F.asc_nulls_last("own"), "key")
     ids = common.table(ids.withColumn("id", F.monotonically_increasing_id()), "row-ids")  # grows in the sorted order
