@@ -46,7 +46,7 @@ TEMPLATES = {
     "unlicense": ["this is free and unencumbered software released into the public domain"],
 }
 #: A template's most telling words must be in the block too: short notices differ in them alone.
-NAMED = {"apache-2.0": ["apache"], "mit": ["mit"], "gpl": ["general"], "lgpl": ["lesser"], "mpl-2.0": ["mozilla"], "cc-by-nc": ["nc", "noncommercial"], "cc-by-sa": ["sa", "sharealike"]}
+NAMED = {"apache-2.0": ["apache"], "mit": ["mit"], "bsd": ["bsd", "redistribution"], "gpl": ["general", "program"], "lgpl": ["lesser"], "mpl-2.0": ["mozilla"], "isc": ["fee"], "cc0": ["waived"], "unlicense": ["unencumbered"], "cc-by-nc": ["nc", "noncommercial"], "cc-by-sa": ["sa", "sharealike"]}
 
 _SETS = [(label, sorted(set(text.split()))) for label, texts in TEMPLATES.items() for text in texts]
 _LONGEST = max(len(t.split()) for texts in TEMPLATES.values() for t in texts)

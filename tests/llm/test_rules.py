@@ -88,6 +88,12 @@ def test_licenses(odd, odd_rows, small, small_rows):
         assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in out)
 
 
+def test_license_labels_do_not_cross(spark):
+    texts = ["Released under the MIT license.", "The film was released under a new name after the driver lost the license he had", "released under the bsd license", licenses.TEMPLATES["lgpl"][0]]
+    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got[0] == "mit" and got[1] == "" and got[2] == "bsd" and got[3] == "gpl,lgpl"  # the base phrase "general public license" is in an LGPL notice
+
+
 def test_license_join_is_exact(spark):
     """Labels equal those of comparing every block with every template."""
     rnd = random.Random(3)
