@@ -6,14 +6,41 @@ import json
 import math
 import os
 import re
+import warnings
 from dataclasses import asdict, dataclass, field, fields
 
 ROLES = {"s": "source", "d": "donner"}
 #: Which settings say where data is; the others say what to do.
 PLACES = ("input_dir", "output_dir", "exp_name", "atlas_path")
-#: Older names of settings; a new name given beside wins.
-RENAMED = {"channel_names": "channels_name", "channel_props": "channels_prop", "frame_rate": "fps", "bin": "binning"}
-DROPPED = ("legacy_mode", "use_gpu")
+#: Other names of settings, as files in use hold them (fixed values); a name of ``Config`` given beside wins.
+RENAMED = {
+    "channel_names": "channels_name",
+    "channel_props": "channels_prop",
+    "frame_rate": "fps",
+    "bin": "binning",
+    "flag_binning": "binning",
+    "flag_flip": "flip",
+    "ignore_initial_frames": "start_initial_frames",
+    "do_registration": "registration",
+    "baseline_percentile_highpass": "highpass",
+    "baseline_percentile_highpass_sec": "highpass_sec",
+    "baseline_percentile_highpass_rank": "highpass_rank",
+    "filter_xyt_kind": "filter_kind",
+    "pca_n_components": "pca_components",
+    "pca_n_skip": "fit_stride",
+    "pca_skip_frames": "fit_stride",
+    "ica_n_components": "ica_components",
+    "annotation_atlas_path": "atlas_path",
+    "roi_signal": "roi_mode",
+    "post_annotation_time_average": "time_average",
+    "corr_method": "corr_methods",
+    "corr_edge_density": "edge_density",
+}
+#: Settings that change no result here (memory, file formats, pictures): dropped with a warning (fixed values).
+DROPPED = (
+    "legacy_mode", "use_gpu", "batch_size", "registration_batch_size", "use_mmap", "delete", "flag_delete", "output_format", "output_metadata_yaml", "dcimg_backend",
+    "tiff_format", "tiff_compression", "save_figures", "save_movie", "save_movie_speed", "save_movie_codec", "save_movie_vminmax", "save_movie_cmap", "save_movie_merge_chs",
+)
 
 
 class ConfigError(ValueError):
@@ -38,18 +65,19 @@ class Config:
     max_frames: int | None = None
     template_ch: int = 0
     template_stride: int = 10
-    registration: bool = True
+    registration: bool = False
     usfac: int = 50
     flip: bool = False
     binning: float = 2.0
     filter_kind: str = "mean"
     filter_xyt: tuple[int, int, int] = (1, 1, 1)
     baseline_percentile: float = 5.0
-    baseline_ignore_initial: int = 0
+    baseline_ignore_initial: int | None = None
+    reference_times: bool = False
     detrend: bool = False
     highpass: bool = False
-    highpass_sec: float = 60.0
-    highpass_rank: float = 10.0
+    highpass_sec: float = 120.0
+    highpass_rank: float = 50.0
     pca_components: int = 20
     ica_components: int = 10
     fit_stride: int = 1
@@ -94,6 +122,11 @@ class Config:
     def initial_skip(self) -> int:
         return self.start_initial_frames if self.start_initial_frames is not None else math.floor(4 * self.fps / self.cycle)
 
+    @property
+    def baseline_skip(self) -> int:
+        """Initial times that no baseline sees: as many as the regression skips, unless set."""
+        return self.initial_skip if self.baseline_ignore_initial is None else self.baseline_ignore_initial
+
     def groups(self) -> dict[str, dict[str, list[int]]]:
         """Channels by name and role, in order of first appearance."""
         out: dict[str, dict[str, list[int]]] = {}
@@ -108,12 +141,23 @@ class Config:
 
 
 def from_dict(values: dict) -> Config:
-    """Renamed settings move, dropped ones go, unknown ones are refused."""
-    values = {k: v for k, v in values.items() if k not in DROPPED}
+    """Renamed settings move, dropped ones go with a warning, unknown ones are refused."""
+    gone = [k for k in values if k in DROPPED]
+    if gone:
+        warnings.warn(f"settings without effect here: {gone}", stacklevel=2)
+    values = {k: v for k, v in values.items() if k not in gone}
     for old, new in RENAMED.items():
         if old in values:
             values.setdefault(new, values[old])
             del values[old]
+    if isinstance(values.get("roi_mode"), str):
+        values["roi_mode"] = values["roi_mode"].lower()
+    if isinstance(values.get("corr_methods"), str):
+        values["corr_methods"] = [values["corr_methods"]]
+    for name in ("filter_xyt", "ica_components", "channels_slip", "atlas_path", "exp_name", "output_dir"):
+        # null in a file: as if it weren't named
+        if name in values and values[name] is None:
+            del values[name]
     unknown = set(values) - {f.name for f in fields(Config)}
     if unknown:
         raise ConfigError(f"unknown settings: {sorted(unknown)}")

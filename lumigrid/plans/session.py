@@ -1,7 +1,8 @@
 """The staged analysis of a recording: preprocess, pca, ica, annotation, roi, correlation, export.
 
-Tables live under the output folder as Parquet; a stage's row in ``commits`` is written after its data and holds
-its signature, so a stage whose settings and predecessors haven't changed is read, not recomputed.
+Tables live under the output folder as Parquet. The row of ``commits`` is written after all that preprocess writes and
+holds its signature, so a named recording whose settings haven't changed is read, not preprocessed again (status
+"skipped"). The later stages are always computed.
 """
 
 from __future__ import annotations
@@ -10,12 +11,16 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 from typing import Protocol
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import state
 from ..config import Config
-from ..operators import corr, decompose, demux, dff, filters, frames, geometry, roi
+from ..operators import corr, decompose, demux, dff, filters, frames, geometry, register, roi
+
+#: Settings that preprocess doesn't read.
+_LATER = ("pca_components", "ica_components", "fit_stride", "roi_mode", "roi_space", "roi_size", "time_average", "corr_methods", "edge_density", "atlas_path")
 
 STAGES = ("preprocess", "pca", "ica", "annotation", "roi", "correlation", "export")
 STATUSES = ("pending", "running", "done", "skipped", "failed", "cancelled")
@@ -61,7 +66,7 @@ class Recorded:
 
 @dataclass
 class Session:
-    """``px``: pixel rows (g, file_idx, r, c, x) of the whole timeline, raw."""
+    """``px``: pixel rows (g, file_idx, r, c, x) of the whole timeline, raw. ``recording``: a name that changes with them; without it nothing is reused."""
 
     spark: SparkSession
     config: Config
@@ -76,6 +81,7 @@ class Session:
     atlas_shape: tuple[int, int] = (285, 285)
     tables: dict[str, DataFrame] = field(default_factory=dict)
     transform: geometry.Matrix | None = None
+    recording: str = ""
 
     def _save(self, name: str, df: DataFrame) -> DataFrame:
         path = f"{self.config.output_dir}/{name}"
@@ -97,7 +103,58 @@ class Session:
             self.reporter.stage(name, "skipped" if did is False else "done")
         return self.tables
 
-    def run_preprocess(self) -> None:
+    def _signature(self) -> str:
+        c = self.config
+        settings = {k: v for k, v in vars(c).items() if k not in _LATER}
+        return state.signature("preprocess", settings | {"recording": self.recording, "size": [self.height, self.width], "correction": state.load_correction(c.output_dir, c.cycle)})
+
+    def _reuse(self) -> bool:
+        """Takes the tables of an earlier, complete preprocess of the same recording with the same settings."""
+        if not self.recording:
+            return False
+        try:
+            done = self.spark.read.parquet(f"{self.config.output_dir}/commits").filter(F.col("signature") == self._signature()).first()
+        except AnalysisException:
+            return False
+        if done is None:
+            return False
+        self.tables |= {name: self.spark.read.parquet(f"{self.config.output_dir}/{name}") for name in done["tables"]}
+        return True
+
+    def _moved(self, px: DataFrame) -> DataFrame:
+        """Pixel rows of the frames on the template. A frame is gathered into one row (one shuffle by frame) and spread again; only the template reaches the driver."""
+        c, h, w = self.config, self.height, self.width
+        whole = px.withColumn("p", F.col("r") * w + F.col("c"))
+        image = self._save("template", frames.template(whole, c.template_ch, c.template_stride, c.cycle)).orderBy("p").toPandas()
+        if len(image) != h * w:
+            raise ValueError(f"the template has {len(image)} of {h * w} pixels")
+        pix = F.transform(F.sort_array(F.collect_list(F.struct("p", "x"))), lambda v: v["x"].cast("double"))
+        rows = whole.groupBy("g").agg(pix.alias("pix")).select("g", F.lit(h).alias("h"), F.lit(w).alias("w"), "pix")
+        moved = self._save("registered_frames", register.register(rows, image["mean"].to_numpy().reshape(h, w), c.usfac))
+        out = moved.select("g", F.posexplode("pix").alias("p", "x"))
+        return out.select("g", F.floor(F.col("p") / w).alias("r"), (F.col("p") % w).cast("long").alias("c"), "x")
+
+    def _pairs(self, reg: DataFrame, source: list[int], donner: list[int]) -> DataFrame:
+        """Source and reference; trends and slow baselines go first, from each on its own samples, then ``reference_times`` reads the reference at the source's times."""
+        c, keys = self.config, ["r", "c"]
+        slow = (c.fps_channel, c.highpass_sec, c.highpass_rank) if c.highpass else None
+        if c.detrend or slow:
+            role = F.when(F.col("ch").isin(source), "s").otherwise("d").alias("role")
+            traces = reg.filter(F.col("ch").isin([*source, *donner])).groupBy(*keys, role, "t").agg(F.avg("x").alias("x"))
+            traces = dff.conditioned(traces, [*keys, "role"], c.detrend, slow)
+            one = lambda side: F.max(F.when(F.col("role") == side, F.col("x"))).alias(side)
+            pairs = traces.groupBy(*keys, "t").agg(one("s"), one("d"))
+        else:
+            pairs = dff.pair_channels(reg, source, donner, keys)
+        if not c.reference_times:
+            return pairs
+        return dff.reference_ahead(pairs, keys, (sum(source) / len(source) - sum(donner) / len(donner)) / c.cycle)
+
+    def run_preprocess(self) -> bool | None:
+        if self._reuse():
+            return False
+        commits = "stage string, signature string, qc string, tables array<string>"
+        self._save("commits", self.spark.createDataFrame([], commits))
         c = self.config
         px = frames.cap(self.px, c.max_frames) if c.max_frames else self.px
         if c.flip:
@@ -105,7 +162,8 @@ class Session:
         files = px.select("file_idx", "g").distinct().groupBy("file_idx").agg(F.count(F.lit(1)).alias("n"))
         offset, edits = state.load_correction(c.output_dir, c.cycle) or (c.demux_start_offset, [(r["start"], r["end"], r["delta"]) for r in demux.slip_edits(files, c.channels_slip, c.cycle).collect()])
         means = self._save("frame_means", frames.frame_means(px))
-        binned = frames.resize(px, self.height, self.width, c.binning) if c.binning > 0 else px.select("g", "r", "c", "x")
+        placed = self._moved(px) if c.registration else px
+        binned = frames.resize(placed, self.height, self.width, c.binning) if c.binning > 0 else placed.select("g", "r", "c", "x")
         index = means.select("g", demux.channel_at(F.col("g"), c.cycle, offset, edits).alias("ch"))
         index = self._save("frame_index", demux.index_in_channel(index))
         reg = self._save("registered", binned.join(F.broadcast(index) if index.count() <= 1_000_000 else index, "g").select("ch", "t", "r", "c", frames.saturated(F.col("x")).alias("x")))
@@ -121,23 +179,35 @@ class Session:
             for p in parts[1:]:
                 reg = reg.unionByName(p)
         self._save("mean_images", reg.groupBy("ch", "r", "c").agg(F.avg("x").alias("mean")))
-        out = None
+        lengths = {r["ch"]: r["n"] for r in index.groupBy("ch").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a channel
+        out = raw = explained = None
+        keys = ["r", "c"]
         for name, roles in c.groups().items():
-            if not roles["source"]:
+            # a group is as long as its shortest channel
+            n = min(lengths.get(ch, 0) for ch in roles["source"] + roles["donner"])
+            if not roles["source"] or not n:
                 continue
+            cut = reg.filter(F.col("t") < n)
+            mean = cut.filter(F.col("ch").isin(roles["source"])).groupBy("t", *keys).agg(F.avg("x").alias("x"))
+            # channels of one name are one signal: their mean, in whole counts
+            level = mean.select(F.lit(name).alias("grp"), F.col("t").alias("g"), *keys, frames.truncated(F.col("x")).alias("x"))
+            raw = level if raw is None else raw.unionByName(level)
             if roles["donner"]:
-                pairs = dff.pair_channels(reg, roles["source"], roles["donner"], ["r", "c"])
-                n = pairs.agg(F.max("t") + 1).first()[0] or 0
-                one = dff.regressed_dff(pairs, ["r", "c"], c.baseline_percentile, dff.window_of_interest(n, c.initial_skip, c.ignore_last_frames), c.baseline_ignore_initial)
+                pairs = self._pairs(cut, roles["source"], roles["donner"])
+                foi = dff.window_of_interest(n, c.initial_skip, c.ignore_last_frames)
+                one = dff.regressed_dff(pairs, keys, c.baseline_percentile, foi, c.baseline_skip)
+                share = dff.regression(pairs, keys, foi).select(F.lit(name).alias("grp"), *keys, "r2")
+                explained = share if explained is None else explained.unionByName(share)
             else:
-                px_of = reg.filter(F.col("ch").isin(roles["source"])).groupBy("r", "c", "t").agg(F.avg("x").alias("x"))
-                one = dff.percentile_dff(px_of, ["r", "c"], c.baseline_percentile, c.baseline_ignore_initial)
-            one = one.select(F.lit(name).alias("grp"), F.col("t").alias("g"), "r", "c", F.col("dff").cast("float").alias("x"))
+                one = dff.percentile_dff(mean, keys, c.baseline_percentile, c.baseline_skip)
+            one = one.select(F.lit(name).alias("grp"), F.col("t").alias("g"), *keys, F.col("dff").cast("float").alias("x"))
             out = one if out is None else out.unionByName(one)
-        if out is not None:
-            self._save("dff", out)
+        for name, table in (("dff", out), ("source_mean", raw), ("hemovar", explained)):
+            if table is not None:
+                self._save(name, table)
         qc = demux.analyze(means.select("g", "m"), files, c.cycle)
-        self._save("commits", self.spark.createDataFrame([("preprocess", state.signature("preprocess", vars(c)), str(qc))], "stage string, signature string, qc string"))
+        done = ("preprocess", self._signature(), str(qc), sorted(set(self.tables) - {"commits"}))
+        self._save("commits", self.spark.createDataFrame([done], commits))
 
     def _groups(self) -> list[str]:
         return [n for n, r in self.config.groups().items() if r["source"]]
@@ -177,18 +247,26 @@ class Session:
     def run_roi(self) -> bool | None:
         if self.rois is None or self.config.roi_space == "atlas" and self.transform is None:
             return False
-        out = None
         shape = self.tables["dff"].agg(F.max("r") + 1, F.max("c") + 1).first()
-        for g in self._groups():
-            d = self.tables.get(f"denoised_{g}", self.tables["dff"].filter(F.col("grp") == g)).withColumn("x", F.col("x").cast("double"))
-            if self.config.roi_space == "atlas":
-                masks = roi.discs(self.rois, *self.atlas_shape)
-                s = roi.signals_from_source(d, masks, geometry.inverse(self.transform), self.atlas_shape, tuple(shape))
-            else:
-                s = roi.signals(d, roi.discs(self.rois, *shape))
-            s = s.select(F.lit(g).alias("grp"), "roi", "g", "v")
-            out = s if out is None else out.unionByName(s)
-        self._save("roi_signals", out)
+        mode = self.config.roi_mode
+        if mode in ("both", "raw"):
+            self._save("roi_signals_raw", self._signals(self.tables["source_mean"], shape))
+        if mode in ("both", "dff"):
+            out = None
+            for g in self._groups():
+                s = self._signals(self.tables.get(f"denoised_{g}", self.tables["dff"].filter(F.col("grp") == g)), shape)
+                out = s if out is None else out.unionByName(s)
+            self._save("roi_signals", out)
+
+    def _signals(self, movie: DataFrame, shape: tuple[int, int]) -> DataFrame:
+        """The regions' signals (grp, roi, g, v) of a movie (grp, g, r, c, x)."""
+        d = movie.withColumn("x", F.col("x").cast("double"))
+        if self.config.roi_space == "atlas":
+            masks = roi.discs(self.rois, *self.atlas_shape)
+            s = roi.signals_from_source(d, masks, geometry.inverse(self.transform), self.atlas_shape, tuple(shape), "grp")
+        else:
+            s = roi.signals(d, roi.discs(self.rois, *shape), "grp")
+        return s.select("grp", "roi", "g", "v")
 
     def run_correlation(self) -> bool | None:
         if "roi_signals" not in self.tables:

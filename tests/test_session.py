@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from lumigrid import config, state
+from lumigrid.operators import dff
 from lumigrid.plans import session
 
 
@@ -68,3 +69,77 @@ def test_staged_run(spark, tmp_path):
     stopped = session.Session(spark, c, px, 6, 6, cancelled=lambda: True)
     with pytest.raises(session.Cancelled):
         stopped.run()
+    raw = out["roi_signals_raw"].toPandas().pivot(index="g", columns="roi", values="v")
+    assert raw.shape == (40, 2) and raw["L"].between(1490, 1600).all()
+    assert out["hemovar"].count() == 36 and out["hemovar"].filter("r2 < 0 or r2 > 1").count() == 0
+
+
+def test_names_of_files_in_use():
+    old = {"do_registration": True, "flag_flip": True, "roi_signal": "Both", "corr_method": "gsr", "pca_n_skip": 4, "filter_xyt": None, "use_mmap": True}
+    with pytest.warns(UserWarning, match="use_mmap"):
+        c = config.from_dict(old)
+    assert c.registration and c.flip and c.roi_mode == "both" and c.corr_methods == ["gsr"] and c.fit_stride == 4 and c.filter_xyt == (1, 1, 1)
+    assert config.from_dict({"flag_flip": True, "flip": False}).flip is False
+
+
+def _recording(spark, cube):
+    rows = [(g, 0, r, c, float(v)) for g, frame in enumerate(cube) for r, line in enumerate(frame) for c, v in enumerate(line)]
+    return spark.createDataFrame(rows, "g long, file_idx long, r long, c long, x double")
+
+
+def test_registered_recording_equals_the_still_one(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    image, t = rng.integers(500, 3000, (9, 11)), np.arange(24)
+    cube = np.round(image * (1 + 0.2 * np.sin(t // 2 / 2))[:, None, None]) + rng.integers(0, 9, (24, 9, 11))
+    # the template is the first frame, which stays where it is
+    moves = [(0, 0), *zip(rng.integers(-3, 4, 23), rng.integers(-3, 4, 23), strict=True)]
+    shaken = np.stack([np.roll(f, m, (0, 1)) for f, m in zip(cube, moves, strict=True)])
+    settings = dict(channels_name=["a", "a"], channels_prop=["source", "donner"], fps=2, start_initial_frames=0, binning=0, usfac=1, template_stride=1000)
+
+    def run(name, px, **more):
+        c = config.Config(output_dir=str(tmp_path / name), **settings, **more)
+        seen = session.Recording()
+        s = session.Session(spark, c, _recording(spark, px), 9, 11, reporter=seen, recording=name)
+        return s.run(("preprocess",)), seen.events
+
+    still, _ = run("still", cube)
+    moved, events = run("shaken", shaken, registration=True)
+    order = ["grp", "g", "r", "c"]
+    a, b = (d["dff"].toPandas().sort_values(order).reset_index(drop=True) for d in (still, moved))
+    assert len(a) == 12 * 99 and a[order].equals(b[order]) and np.allclose(a["x"], b["x"], atol=1e-6)
+    shifts = {r.g: (r.shift_r, r.shift_c) for r in moved["registered_frames"].collect()}
+    assert all(shifts[g] == (-r, -c) for g, (r, c) in enumerate(moves))
+    # a second run reads what is there; other settings don't
+    again, events = run("shaken", shaken, registration=True)
+    assert events[-1] == ("preprocess", "skipped") and sorted(again) == sorted(set(moved) - {"commits"}) and again["dff"].count() == len(b)
+    assert run("shaken", shaken, registration=True, baseline_percentile=10)[1][-1] == ("preprocess", "done")
+    assert run("shaken", shaken, registration=True)[1][-1] == ("preprocess", "done")
+
+
+def test_conditioning_and_times_of_the_reference(spark, tmp_path):
+    t = np.arange(60)
+    rng = np.random.default_rng(6)
+    bleach = np.exp(-t / 30)
+    cube = np.empty((120, 2, 2))
+    cube[0::2] = (1000 + 4000 * bleach)[:, None, None] + rng.normal(0, 2, (60, 2, 2))
+    cube[1::2] = 2000 + rng.normal(0, 2, (60, 2, 2))
+    settings = dict(channels_name=["a", "a"], channels_prop=["source", "donner"], fps=4, start_initial_frames=0, binning=0)
+    spread = {}
+    for name, more in {"plain": {}, "detrend": {"detrend": True}, "highpass": {"highpass": True, "highpass_sec": 5.0}}.items():
+        s = session.Session(spark, config.Config(output_dir=str(tmp_path / name), **settings, **more), _recording(spark, cube), 2, 2)
+        spread[name] = s.run(("preprocess",))["dff"].toPandas()["x"].std()
+    assert spread["detrend"] < spread["plain"] / 2 and spread["highpass"] < spread["plain"] / 2
+    # the share that the reference explains, with and without its values at the source's times
+    ramp = np.arange(120.0)[:, None, None] * 10 + 500 + 300 * (np.arange(120) % 7 == 0)[:, None, None] * (np.arange(120) % 2 == 0)[:, None, None] + np.zeros((120, 2, 2))
+    shares = {}
+    for on in (False, True):
+        s = session.Session(spark, config.Config(output_dir=str(tmp_path / f"times{on}"), reference_times=on, **settings), _recording(spark, ramp), 2, 2)
+        s.run(("preprocess",))
+        shares[on] = {(r.r, r.c): r.r2 for r in s.tables["hemovar"].collect()}
+    src, ref = ramp[0::2, 0, 0], np.interp(np.arange(60) - 0.5, np.arange(60), ramp[1::2, 0, 0])
+    assert shares[True][0, 0] == pytest.approx(np.corrcoef(src, ref)[0, 1] ** 2) and shares[False][0, 0] == pytest.approx(np.corrcoef(src, ramp[1::2, 0, 0])[0, 1] ** 2)
+    values = rng.normal(size=20)
+    pairs = spark.createDataFrame([(0, i, 0.0, float(v)) for i, v in enumerate(values)], "k long, t long, s double, d double")
+    for ahead in (-1.0, -0.5, 0.0, 0.25, 1.0):
+        got = [r.d for r in dff.reference_ahead(pairs, ["k"], ahead).orderBy("t").collect()]
+        np.testing.assert_allclose(got, np.interp(np.arange(20) + ahead, np.arange(20), values), atol=1e-12)
