@@ -3,8 +3,8 @@
 Base kinds (leftmost, non-overlapping, no retries): email, ip (parts at most 255), card (16 to 19 digits,
 Luhn), phone (+ and 8 to 15 digits). These always stay. The method's own kinds: iban (mod 97), card15 (15
 digits, Luhn, a card word nearby), ssn and key (a token of 32 hex digits or more, or 16 characters or more after a known beginning, near a secret word). Each pattern has a prior, a
-passed checksum adds to it, context words within ``NEAR`` characters before the span raise it, and a span of
-the method's own kinds counts from ``ACCEPT`` on. Offsets are code points, end exclusive.
+passed checksum adds to it, context words within ``NEAR`` characters before or behind the span raise it (to 1 at most), and a span of
+the method's own kinds counts from ``ACCEPT`` on; base spans stay whatever their score. Offsets are code points, end exclusive.
 """
 
 from __future__ import annotations
@@ -42,9 +42,13 @@ CONTEXT = {
     "card15": re.compile(r"(?i)card|amex|credit|karte|carte|tarjeta"),
     "ssn": re.compile(r"(?i)ssn|social|security|insurance"),
     "key": re.compile(r"(?i)token|secret|key|password|passwd|pwd|bearer|auth"),
+    "email": re.compile(r"(?i)mail|contact|write|courriel|correo"),
+    "ip": re.compile(r"(?i)\bip|address|host|server|login|adresse"),
+    "card": re.compile(r"(?i)card|visa|master|credit|karte|carte|tarjeta"),
+    "phone": re.compile(r"(?i)phone|call|tel|mobile|fax|contact"),
 }
-PRIOR = {"iban": 0.2, "card15": 0.0, "ssn": 0.3, "key": 0.2}
-CHECKED = {"iban": 0.5, "card15": 0.35}
+PRIOR = {"iban": 0.2, "card15": 0.0, "ssn": 0.3, "key": 0.2, "email": 0.6, "ip": 0.4, "card": 0.1, "phone": 0.4}
+CHECKED = {"iban": 0.5, "card15": 0.35, "card": 0.45}
 RAISE = 0.35
 
 BASE = ("email", "ip", "card", "phone")
@@ -93,16 +97,20 @@ def base_spans(text: str, has_digit: bool = True) -> dict[str, list[tuple[int, i
     return out
 
 
+def score(text: str, kind: str, start: int, end: int) -> float:
+    """Of a span whose checksum, if its kind has one, is right."""
+    words, before, behind = CONTEXT[kind], max(0, start - NEAR), min(len(text), end + NEAR)
+    near = words.search(text, before, start) or words.search(text, end, behind)
+    return min(1.0, PRIOR[kind] + CHECKED.get(kind, 0.0) + (RAISE if near else 0.0))
+
+
 def own_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[str, int, int, float]]:
     """The method's further spans with scores; none overlaps a base span or an earlier one of its own."""
     found = []
 
     def propose(kind: str, start: int, end: int, checked: bool | None) -> None:
-        if checked is False:
-            return
-        score = PRIOR[kind] + (CHECKED[kind] if checked else 0) + (RAISE if CONTEXT[kind].search(text, max(0, start - NEAR), start) else 0)
-        if score >= ACCEPT:
-            found.append((kind, start, end, score))
+        if checked is not False and (s := score(text, kind, start, end)) >= ACCEPT:
+            found.append((kind, start, end, s))
 
     for m in _CARD.finditer(text):
         if m.end() - m.start() >= 15 and len(d := _digits(m[0])) == 15:
@@ -137,33 +145,40 @@ def _candidates(texts: pa.Array) -> tuple[list, list, list]:
     return digit, pc.match_substring(texts, "@").to_pylist(), pc.match_substring_regex(texts, _KEY_INSIDE).to_pylist()
 
 
-COLUMNS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
-_COLUMNS = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE), ("base_sha256", pa.string()), ("spans", pa.string())])
+COLUMNS = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, scores string"
+_COLUMNS = pa.schema([("doc_id", pa.int64()), *((f"n_{k}", pa.int64()) for k in BASE), ("base_sha256", pa.string()), ("spans", pa.string()), ("scores", pa.string())])
 _NONE = hashlib.sha256(b"").hexdigest()
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """Spans of every whole text. Null and empty texts have none: counts 0, digest of the empty string, empty spans."""
+    """Spans of every whole text and their scores (two places, in the same order).
+
+    Null and empty texts have none: counts 0, digest of the empty string, empty spans. Repeated rows get equal rows; an empty table gives none.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in common.chunks(batches):
             digit, at, key = _candidates(part.column(1))
             counts: list[list[int]] = [[], [], [], []]
-            shas, spans = [], []
+            shas, spans, scores = [], [], []
             for text, d, a, k in zip(part.column(1), digit, at, key, strict=True):
                 if not d and not a and not k:
                     for c in counts:
                         c.append(0)
                     shas.append(_NONE)
                     spans.append("")
+                    scores.append("")
                     continue
-                base, own = find(text.as_py(), d, k)
+                whole = text.as_py()
+                base, own = find(whole, d, k)
                 for kind, c in zip(BASE, counts, strict=True):
                     c.append(sum(s[0] == kind for s in base))
                 listed = _text_of(base)
                 shas.append(hashlib.sha256(listed.encode()).hexdigest())
-                spans.append(_text_of([*base, *sorted((s[:3] for s in own), key=lambda s: (OWN.index(s[0]), s[1]))]))
-            yield common.batch_of(_COLUMNS, part.column(0), *counts, shas, spans)
+                scored = [*((*s, score(whole, *s)) for s in base), *sorted(own, key=lambda s: (OWN.index(s[0]), s[1]))]
+                spans.append(_text_of([s[:3] for s in scored]))
+                scores.append(",".join(f"{s[3]:.2f}" for s in scored))
+            yield common.batch_of(_COLUMNS, part.column(0), *counts, shas, spans, scores)
 
     return common.texts(docs).mapInArrow(run, COLUMNS)
 
