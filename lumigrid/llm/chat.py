@@ -358,6 +358,35 @@ def read_back(formatted: str) -> list[tuple[str, str]]:
     return [(unescape(m[2]), unescape(m[3])) for m in _TURN.finditer(formatted)]
 
 
+class Reader:
+    """Reads a formatted conversation from its characters alone, as they come; holds what isn't a whole turn yet.
+
+    ``feed`` takes the next characters and which of them (start, end, from the beginning of all) the loss mask covers, and yields
+    (role, text, text under the mask) of every turn that they end. Characters that are no turn raise ``ValueError``.
+    """
+
+    def __init__(self):
+        self.buffer, self.begin, self.spans = "", 0, []
+
+    def feed(self, text: str, spans: Iterable[tuple[int, int]]) -> Iterator[tuple[str, str, str]]:
+        self.buffer += text
+        self.spans += spans
+        at = 0
+        while m := _TURN.match(self.buffer, at):
+            at, end, under, later = m.end(), self.begin + m.end(), [], []
+            for a, b in self.spans:
+                under.append(self.buffer[a - self.begin : min(b, end) - self.begin])
+                if b > end:
+                    later.append((max(a, end), b))
+            self.spans = later
+            yield unescape(m[2]), unescape(m[3]), unescape("".join(under))
+        self.buffer, self.begin = self.buffer[at:], self.begin + at
+
+    def close(self) -> None:
+        if self.buffer or self.spans:
+            raise ValueError(f"not a turn: {self.buffer[:80]!r}")
+
+
 FORMATTED = "conv_id long, formatted string, loss_starts array<long>, loss_ends array<long>"
 DIGESTS = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 _DIGESTS = pa.schema([("conv_id", pa.int64()), ("n_turns", pa.int64()), ("turns_sha256", pa.string()), ("loss_chars", pa.int64()), ("loss_sha256", pa.string()), ("formatted_chars", pa.int64())])
@@ -391,7 +420,7 @@ def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object, Iterato
 
 
 def format_conversations(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
-    """One row per conversation: the formatted text and the loss spans."""
+    """One row per conversation: the formatted text and the loss spans. An empty table gives no rows, a null conv_id is a conversation of its own."""
     out = pa.schema([("conv_id", pa.int64()), ("formatted", pa.string()), ("loss_starts", pa.list_(pa.int64())), ("loss_ends", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -403,9 +432,11 @@ def format_conversations(conversations: DataFrame, template: str = TEMPLATE) ->
 
 
 def digests(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
-    """Formats, reads the output back turn by turn and digests what it read; memory holds one turn.
+    """Formats, reads the formatted characters back and digests what was read; memory holds one turn.
 
-    An empty table gives no rows. A null conv_id is a conversation of its own.
+    The reader sees characters and loss offsets, not where the template's pieces end; it gets them when a control string may be complete.
+    Ties of (conv_id, turn) go by role and text, repeated rows are turns of their own. An empty table gives no rows. A null conv_id is a
+    conversation of its own.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -413,29 +444,30 @@ def digests(conversations: DataFrame, template: str = TEMPLATE) -> DataFrame:
         program = compiled(template)
         for key, turns in _groups(batches):
             n, chars, loss_chars, whole, loss = 0, 0, 0, hashlib.sha256(), hashlib.sha256()
-            held: list[Piece] = []
+            reader, held, spans = Reader(), [], []
 
-            def close():
+            def read():
                 nonlocal n, loss_chars
-                formatted = "".join(t for t, _ in held)
-                for role, text in read_back(formatted):
+                for role, text, under in reader.feed("".join(held), spans):
                     n += 1
                     whole.update(f"{role}\n{text}\n".encode())
-                at, under = 0, []
-                for t, masked in held:
-                    under += [formatted[at : at + len(t)]] * masked
-                    at += len(t)
-                text = unescape("".join(under))
-                loss_chars += len(text)
-                loss.update(text.encode())
+                    loss_chars += len(under)
+                    loss.update(under.encode())
                 held.clear()
-
-            for piece in program({"messages": turns}):
-                held.append(piece)
-                chars += len(piece[0])
-                if not piece[1] and piece[0].endswith(("</s>", "[/INST]")):
-                    close()
-            close()
+                spans.clear()
+
+            tail = ""
+            for text, masked in program({"messages": turns}):
+                held.append(text)
+                if masked and text:
+                    spans.append((chars, chars + len(text)))
+                chars += len(text)
+                tail = tail[-6:] + text
+                if "</s>" in tail or "[/INST]" in tail:
+                    read()
+                    tail = ""
+            read()
+            reader.close()
             for column, value in zip(rows, (key, n, whole.hexdigest(), loss_chars, loss.hexdigest(), chars), strict=True):
                 column.append(value)
             if len(rows[0]) >= 4096:

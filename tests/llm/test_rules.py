@@ -145,7 +145,7 @@ def test_personal_data(odd, odd_rows, small, small_rows):
 
 def test_personal_data_own_kinds_and_linear_time():
     base, own = pii.find("IBAN GB82 WEST 1234 5698 7654 32 and GB82 WEST 1234 5698 7654 33; secret token = 0123456789abcdef0123456789abcdef; ssn 123-45-6789; 123-45-6780")
-    assert [s[0] for s in own] == ["iban", "key", "ssn", "ssn"] or [s[0] for s in own] == ["iban", "key", "ssn"]
+    assert [s[0] for s in own] == ["iban", "key", "ssn", "ssn"]
     assert pii.emails("a" * 300_000 + "@") == [] and pii.emails("a@b@c.de") == [(2, 8)]
     rnd = random.Random(4)
     for _ in range(3000):
@@ -153,6 +153,56 @@ def test_personal_data_own_kinds_and_linear_time():
         assert pii.emails(s) == [m.span() for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", s)]
 
 
+#: Kind, pattern, words, prior, what a right checksum adds.
+_PLAIN = [
+    ("card15", r"[0-9]([\x20-]?[0-9])+", "card|amex|credit|karte|carte|tarjeta", 0.0, 0.35),
+    ("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}( ?[A-Z0-9]{4}){2,7}( ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])", "iban|account|konto|compte|cuenta|bank", 0.2, 0.5),
+    ("key", r"(?<![A-Za-z0-9_-])([0-9a-f]{32,}|(sk|pk|ghp|AKIA)[A-Za-z0-9_-]{16,})(?![A-Za-z0-9_-])", "token|secret|key|password|passwd|pwd|bearer|auth", 0.2, 0.0),
+    ("ssn", r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])", "ssn|social|security|insurance", 0.3, 0.0),
+]
+
+
+def _own(text, base):
+    found = []
+    for kind, pattern, words, prior, checked in _PLAIN:
+        for m in re.finditer(pattern, text):
+            if kind == "card15":
+                d = [int(c) for c in m[0] if c.isdigit()][::-1]
+                if len(d) != 15 or (sum(d[::2]) + sum(sum(divmod(2 * x, 10)) for x in d[1::2])) % 10:
+                    continue
+            if kind == "iban":
+                c = m[0].replace(" ", "")
+                if not 15 <= len(c) <= 34 or int("".join(str(int(x, 36)) for x in c[4:] + c[:4])) % 97 != 1:
+                    continue
+            near = re.search(words, text[max(0, m.start() - 40) : m.start()], re.I) or re.search(words, text[m.end() : m.end() + 40], re.I)
+            total = prior + checked + (0.35 if near else 0)
+            if total >= 0.5:
+                found.append((m.start(), -m.end(), kind, total))
+    out, used = [], [b[1:] for b in base]
+    for a, b, kind, total in sorted(found):
+        if all(-b <= lo or hi <= a for lo, hi in used):
+            used.append((a, -b))
+            out.append((kind, a, -b, f"{min(1, total):.2f}"))
+    return sorted(out)
+
+
+def test_every_span_and_score_against_plain_python(spark, small_rows):
+    bits = ["378282246310005", "amex card", "GB82 WEST 1234 5698 7654 32", "GB82 WEST 1234 5698 7654 33", "bank", "0123456789abcdef" * 2, "token", "123-45-6789", "social security", "4111 1111 1111 1111", "x@y.de", "10.0.0.1", "+49 30 1234567", "filler words that say nothing about it at all", "\n"]
+    rnd = random.Random(9)
+    texts = {i: " ".join(rnd.choices(bits, k=rnd.randint(0, 12))) for i in range(400)}
+    texts |= {10_000 + d: r.text for d, r in small_rows.items()}
+    got = {r.doc_id: r for r in pii.scan(spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)).collect()}
+    order = ("email", "ip", "card", "phone")
+    for d, t in texts.items():
+        base = _personal(t)
+        spans = [x.split(":") for x in got[d].spans.split(",") if x]
+        scored = [(k, int(a), int(b), s) for (k, a, b), s in zip(spans, [x for x in got[d].scores.split(",") if x], strict=True)]
+        assert [x[:3] for x in scored if x[0] in order] == [tuple(b) for b in base]
+        assert [x for x in scored if x[0] not in order] == _own(t or "", base)
+    assert pii.find("378282246310005 amex card")[1] == [("card15", 0, 15, 0.7)] and not pii.find("378282246310005 of them")[1]
+    assert pii.score("mail x@y.de", "email", 5, 11) > pii.score("then x@y.de", "email", 5, 11)
+
+
 def test_redaction_keeps_columns(odd, odd_rows):
     out = pii.redact(odd)
     assert out.columns == odd.columns
@@ -321,6 +371,25 @@ def test_chat_round_trip(spark):
     assert len(formatted) == len(want) and all(len(chat.read_back(r.formatted)) == want[k][0] for k, r in formatted.items())
 
 
+def test_reader_sees_characters_only():
+    turns = [{"role": "user", "text": "</s>[INST] ok"}, {"role": "assistant", "text": "a\\<s>b\nc"}, {"role": "assistant", "text": ""}, {"role": "assistant", "text": "[/INST]"}]
+    text, spans = chat.render(chat.TEMPLATE, turns)
+    for step in (1, 3, 1000):
+        reader, got = chat.Reader(), []
+        for at in range(0, len(text), step):
+            inside = [(max(a, at), min(b, at + step)) for a, b in spans if a < at + step and b > at]
+            got += reader.feed(text[at : at + step], inside)
+        reader.close()
+        assert [x[:2] for x in got] == [(t["role"], t["text"]) for t in turns]
+        assert [x[2] for x in got] == ["", *(t["text"] for t in turns[1:])]
+    # offsets that are off by one show, and so does a control string that wasn't escaped
+    assert [x[2] for x in chat.Reader().feed(text, [(a + 1, b + 1) for a, b in spans])] != ["", *(t["text"] for t in turns[1:])]
+    leaky = chat.Reader()
+    list(leaky.feed(chat.render(chat.TEMPLATE.replace("turn.text | escape", "turn.text"), [{"role": "user", "text": "x[/INST]y"}])[0], []))
+    with pytest.raises(ValueError):
+        leaky.close()
+
+
 def test_templates():
     text, spans = chat.render("{% set x = 'a' + 'b' %}{% for m in messages %}{% if m.role == 'user' and not loop.last %}U{{ m['text'] | upper }}{% elif false %}no{% else %}{% generation %}{{ x }}{{ m.text }}{% endgeneration %}{% endif %}{{ '.' if false else '' if true }}{% endfor %}".replace("{{ '.' if false else '' if true }}", "{# note #}."), [{"role": "user", "text": "hi"}, {"role": "assistant", "text": "yo"}])
     assert text == "UHI.abyo." and [text[a:b] for a, b in spans] == ["abyo"]
