@@ -7,14 +7,20 @@ decomposes; its size is checked first.
 from __future__ import annotations
 
 import warnings
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..shipping import ship
+
 #: The side of the Gram matrix the driver takes (8000 x 8000 doubles: 512 MB).
 MOST = 8_000
+#: Entries on a side of the tiles in which a task sums its products, tiles it holds, values of the movie it takes at once.
+TILE, TILES, VALUES = 128, 2_048, 1 << 18
 
 
 def full_mean(px: DataFrame) -> DataFrame:
@@ -25,16 +31,119 @@ def centred(px: DataFrame) -> DataFrame:
     return px.join(full_mean(px), "p").select("g", "p", (F.col("x") - F.col("mean")).alias("x"))
 
 
-def gram(px: DataFrame, side: str = "g") -> DataFrame:
-    """(i, j, v), i <= j: inner products of frames (``side`` g) or pixel traces (p) of the centred movie.
-
-    Rows that share the other index meet in one array and pair there, so the shuffle carries the movie once.
+_ROWS = "i long, b long, js array<long>, vs array<double>"
+_ROW_SCHEMA = pa.schema([("i", pa.int64()), ("b", pa.int64()), ("js", pa.list_(pa.int64())), ("vs", pa.list_(pa.float64()))])
+
+
+class _Tiles:
+    """Sums of products in tiles of the upper half of the Gram matrix, with which entries were seen."""
+
+    def __init__(self):
+        self.held: dict[tuple[int, int], tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+
+    def add(self, row: np.ndarray, k: np.ndarray, x: np.ndarray) -> None:
+        """Entries ``x`` of rows (numbered from 0, ascending) at places ``k``."""
+        u, at = np.unique(k, return_inverse=True)
+        n = int(row[-1]) + 1
+        if n > 1 and n * len(u) > 8 * VALUES:  # rows with few places in common
+            cut = np.searchsorted(row, n // 2)
+            self.add(row[:cut], k[:cut], x[:cut])
+            self.add(row[cut:] - n // 2, k[cut:], x[cut:])
+            return
+        dense = np.zeros((n, len(u)))
+        np.add.at(dense, (row, at), x)
+        tile, place = u // TILE, u % TILE
+        edges = [0, *(np.flatnonzero(np.diff(tile)) + 1).tolist(), len(u)]
+        for n_before, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+            strip = dense[:, lo:hi].T @ dense[:, lo:]
+            for lo2, hi2 in zip(edges[n_before:-1], edges[n_before + 1 :], strict=True):
+                key = (int(tile[lo]), int(tile[lo2]))
+                if key not in self.held:
+                    self.held[key] = np.zeros((TILE, TILE)), np.zeros(TILE, bool), np.zeros(TILE, bool)
+                sums, left, right = self.held[key]
+                sums[np.ix_(place[lo:hi], place[lo2:hi2])] += strip[:, lo2 - lo : hi2 - lo]
+                left[place[lo:hi]] = right[place[lo2:hi2]] = True
+
+    def take(self) -> Iterator[pa.RecordBatch]:
+        for (i, j), (sums, left, right) in self.held.items():
+            js, rows = np.flatnonzero(right), np.flatnonzero(left)
+            kept = [js[js >= r] if i == j else js for r in rows]
+            columns = [rows + i * TILE, np.full(len(rows), j), [(q + j * TILE).tolist() for q in kept], [sums[r, q].tolist() for r, q in zip(rows, kept, strict=True)]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _ROW_SCHEMA.types, strict=True)], schema=_ROW_SCHEMA)
+        self.held.clear()
+
+
+def _products(centre: bool):
+    """From (o, k, x) sorted by o: each task's sums. Rows of one o stay together; ``centre`` takes their mean off first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        tiles = _Tiles()
+        rest = [np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)]
+
+        def use(o, k, x) -> None:
+            row = np.cumsum(np.concatenate([[False], o[1:] != o[:-1]]))
+            if centre:
+                x = x - (np.bincount(row, x) / np.bincount(row))[row]
+            tiles.add(row, k, x)
+
+        for batch in batches:
+            rest = [np.concatenate([r, c.to_numpy()]) for r, c in zip(rest, batch.columns, strict=True)]
+            if len(rest[0]) >= VALUES and rest[0][0] != rest[0][-1]:
+                cut = int(np.searchsorted(rest[0], rest[0][-1]))  # the last row may go on
+                use(*(r[:cut] for r in rest))
+                rest = [r[cut:] for r in rest]
+                if len(tiles.held) > TILES:
+                    yield from tiles.take()
+        if len(rest[0]):
+            use(*rest)
+        yield from tiles.take()
+
+    return run
+
+
+def _totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """From rows sorted by (i, b): one row of each."""
+    now, sums, seen, out = None, np.zeros(TILE), np.zeros(TILE, bool), []
+
+    def close() -> None:
+        js = np.flatnonzero(seen)
+        out.append({"i": now[0], "b": now[1], "js": (js + now[1] * TILE).tolist(), "vs": sums[js].tolist()})
+
+    for batch in batches:
+        starts, js, vs = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy(), batch.column(3).values.to_numpy()
+        for n, key in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+            if key != now:
+                if now is not None:
+                    close()
+                now, sums, seen = key, np.zeros(TILE), np.zeros(TILE, bool)
+            at = js[starts[n] : starts[n + 1]] - key[1] * TILE
+            sums[at] += vs[starts[n] : starts[n + 1]]
+            seen[at] = True
+        if len(out) >= 4096:
+            yield pa.RecordBatch.from_pylist(out, schema=_ROW_SCHEMA)
+            out.clear()
+    if now is not None:
+        close()
+    if out:
+        yield pa.RecordBatch.from_pylist(out, schema=_ROW_SCHEMA)
+
+
+def gram_rows(px: DataFrame, side: str = "g") -> DataFrame:
+    """Parts of the Gram matrix' rows: (i, b, js, vs) with j >= i in the b-th ``TILE`` entries.
+
+    Rows that share the other index meet in one task, which multiplies them densely and keeps sums in tiles; only these sums are
+    shuffled again. Pixel traces are centred in the same task, frames by a join with the mean image.
     """
+    ship(px.sparkSession)
     other = "p" if side == "g" else "g"
-    rows = centred(px).groupBy(other).agg(F.sort_array(F.collect_list(F.struct(F.col(side).alias("k"), "x"))).alias("s"))
-    i = rows.select("s", F.posexplode("s").alias("_n", "a"))
-    ij = i.select("a", F.explode(F.slice("s", F.col("_n") + 1, F.size("s"))).alias("b"))
-    return ij.groupBy(F.col("a.k").alias("i"), F.col("b.k").alias("j")).agg(F.sum(F.col("a.x") * F.col("b.x")).alias("v"))
+    rows = (px if side == "g" else centred(px)).select(F.col(other).cast("long").alias("o"), F.col(side).cast("long").alias("k"), F.col("x").cast("double").alias("x")).dropna()
+    parts = rows.repartition("o").sortWithinPartitions("o").mapInArrow(_products(side == "g"), _ROWS)
+    return parts.repartition("i", "b").sortWithinPartitions("i", "b").mapInArrow(_totals, _ROWS)
+
+
+def gram(px: DataFrame, side: str = "g") -> DataFrame:
+    """(i, j, v), i <= j: inner products of frames (``side`` g) or pixel traces (p) of the centred movie."""
+    return gram_rows(px, side).select("i", F.explode(F.arrays_zip(F.col("js").alias("j"), F.col("vs").alias("v"))).alias("e")).select("i", "e.j", "e.v")
 
 
 @dataclass
@@ -56,12 +165,13 @@ def pca(px: DataFrame, k: int) -> Pca:
     if n > MOST:
         raise ValueError(f"the smaller side has {n} entries; the driver takes {MOST}")
     k = max(1, min(k, frames - 1, pixels))
-    rows = gram(px, side).toPandas()
-    ids = np.unique(np.concatenate([rows["i"], rows["j"]]))
-    place = {v: i for i, v in enumerate(ids.tolist())}
+    found = gram_rows(px, side).toArrow()  # at most MOST^2 / 2 sums
+    i = np.repeat(found["i"].to_numpy(), found["js"].combine_chunks().value_lengths().to_numpy())
+    j, v = (found[c].combine_chunks().flatten().to_numpy() for c in ("js", "vs"))
+    ids = np.unique(j)
     g = np.zeros((n, n))
-    i, j = rows["i"].map(place).to_numpy(), rows["j"].map(place).to_numpy()
-    g[i, j] = g[j, i] = rows["v"].to_numpy()
+    i, j = np.searchsorted(ids, i), np.searchsorted(ids, j)
+    g[i, j] = g[j, i] = v
     values, vectors = np.linalg.eigh(g)
     values, vectors = np.maximum(values[::-1][:k], 0), vectors[:, ::-1][:, :k]
     singular = np.sqrt(values)

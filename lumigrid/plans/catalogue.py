@@ -221,7 +221,13 @@ def block_bin_2x2(spark, d):
     return frames.block_bin(V.frame(spark, d), 2).select("g", "r", "c", _r("x", "x"))
 
 
-@query()
+_RESIZE = (
+    "k as (select o, exp(-2.0 * o * o) / sum(exp(-2.0 * o * o)) over () w from (select unnest(range(-2, 3)) o)), tap as (select i, case when a < 0 then -a when a > 7 then 14 - a else a end j, sum(w / 2) w "
+    "from (select i, 2 * i + e + o a, w from (select unnest(range(4)) i), (select unnest([0, 1]) e), k) group by 1, 2), half as (select g, i r, c, sum(x * w) x from frame join tap on frame.r = j group by 1, 2, 3)"
+)
+
+
+@query(f"with {V.FRAME}, {_RESIZE} select g, r, i c, round(sum(x * w), 6) + 0.0 x from half join tap on half.c = j group by 1, 2, 3")
 def resize_antialias(spark, d):
     return frames.resize(V.frame(spark, d), 8, 8, 2).select("g", "r", "c", _r("x", "x"))
 
@@ -278,7 +284,13 @@ def median_filter_xyt(spark, d):
     return filters.smooth(V.frame(spark, d), (8, 8, _n_frames(spark, d)), (3, 3, 3), "median").select("g", "r", "c", "x")
 
 
-@query()
+_GAUSS = (
+    f"k as (select o, exp(-0.5 * o * o) / sum(exp(-0.5 * o * o)) over () w from (select unnest(range(-4, 5)) o)), tap as (select i, {_MIR('i + o', '8')} j, sum(w) w from (select unnest(range(8)) i), k group by 1, 2), "
+    "half as (select g, i r, c, sum(x * w) x from frame join tap on frame.r = j group by 1, 2, 3)"
+)
+
+
+@query(f"with {V.FRAME}, {_GAUSS} select g, r, i c, round(sum(x * w), 6) + 0.0 x from half join tap on half.c = j group by 1, 2, 3")
 def gaussian_filter_xyt(spark, d):
     return filters.smooth(V.frame(spark, d), (8, 8, _n_frames(spark, d)), (3, 3, 1), "gaussian").select("g", "r", "c", _r("x", "x"))
 
@@ -341,7 +353,16 @@ def exp_detrend(spark, d):
     return dff.exp_detrend(V.bulk(spark, d).select("k", "t", F.col("s").alias("x")), ["k"]).select("k", "t", F.col("x").alias("s"), (F.round("y", 4) + F.lit(0.0)).alias("y"))
 
 
-@query()
+_NEAR = "least(n - 1, greatest(0, a.i + o))"
+_SLOW = (
+    f"{V.MEAN}, tr as (select file_idx, g, m, row_number() over (partition by file_idx order by g) - 1 i, count(*) over (partition by file_idx) n from mean), w as (select *, least(15, n - 1 + n % 2) w from tr), "
+    f"ranked as (select a.file_idx, a.i, a.n, a.w, list_sort(list(b.m))[cast(floor(any_value(a.w) * 0.1) as bigint) + 1] v from (select *, unnest(range(-(w // 2), w // 2 + 1)) o from w) a join w b on a.file_idx = b.file_idx and b.i = {_NEAR.replace('n - 1', 'a.n - 1')} group by 1, 2, 3, 4), "
+    f"slow as (select a.file_idx, a.i, sum(b.v) / any_value(a.w) v from (select *, unnest(range(-(w // 2), w // 2 + 1)) o from ranked) a join ranked b on a.file_idx = b.file_idx and b.i = {_NEAR.replace('n - 1', 'a.n - 1')} group by 1, 2), "
+    "flat as (select file_idx, quantile_cont(m, 0.1) q from mean group by 1)"
+)
+
+
+@query(f"with {_SLOW} select file_idx, g t, round(m / greatest(case when n < 3 then q else v end, 1e-6), 6) + 0.0 y from tr join slow using (file_idx, i) join flat using (file_idx)")
 def rolling_percentile_highpass(spark, d):
     traces = V.mean(spark, d).select("file_idx", F.col("g").alias("t"), F.col("m").alias("x"))
     return dff.highpass(traces, ["file_idx"], 1.0, 15.0, 10.0).select("file_idx", "t", _r("y", "y"))
@@ -602,9 +623,10 @@ def exclusion_json_roundtrip(spark, d):
     return e.select("event_id", F.array_join(naming.component_labels(back), ",").alias("labels"), F.element_at(F.filter(back, lambda i: i == F.col("event_id") % 5), 1).alias("first"))
 
 
-@query()
+@query("select count(*) n, cast(coalesce(sum(cast(cast('0x' || md5(coalesce(cast(event_id as varchar), chr(0)) || chr(31) || coalesce(cast(cast(floor(value * 1000000) as bigint) as varchar), chr(0)))[:15] as ubigint) as hugeint)), 0) as varchar) digest from events")
 def table_fingerprint(spark, d):
-    return V.table(spark, d, "events").agg(*naming.fingerprint("event_id", "value"))
+    rows = V.table(spark, d, "events").select("event_id", F.floor(F.col("value") * 1000000).cast("long").alias("micro"))
+    return rows.agg(*naming.fingerprint("event_id", "micro"))
 
 
 # --- previews and labels -----------------------------------------------------------------------------

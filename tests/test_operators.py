@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lumigrid.functions import naming
 from lumigrid.operators import corr, decompose, demux, dff, filters, frames, geometry, qc, register, roi
 
 
@@ -215,6 +216,28 @@ def test_pca_equals_svd_and_ica_subtracts(spark):
     np.testing.assert_allclose(decompose.reconstruct(p, []), np.tile(x.mean(0), (40, 1)))
 
 
+def test_gram_of_sides_gaps_and_far_ids(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 170)) + 50
+    rows = [(int(g), int(p) * 97, float(x[g, p])) for g in range(300) for p in range(170)]
+    px = spark.createDataFrame(rows, "g long, p long, x double").repartition(6)
+    c = x - x.mean(0)
+    for tiles, values in ((decompose.TILES, decompose.VALUES), (1, 1000)):
+        monkeypatch.setattr(decompose, "TILES", tiles)
+        monkeypatch.setattr(decompose, "VALUES", values)
+        for side, want, step in (("g", c @ c.T, 1), ("p", c.T @ c, 97)):
+            got = decompose.gram(px, side).toPandas()
+            assert len(got) == len(want) * (len(want) + 1) // 2 and (got["i"] <= got["j"]).all()
+            np.testing.assert_allclose(got["v"], want[got["i"] // step, got["j"] // step], atol=1e-8)
+    assert decompose.gram(px.limit(0)).count() == 0
+
+
+def test_fingerprint_counts_repeats_and_tells_null_from_empty(spark):
+    of = lambda *rows: tuple(spark.createDataFrame(list(rows), "a string, b long").agg(*naming.fingerprint("a", "b")).first())
+    assert of(("x", 1), ("y", 2)) == of(("y", 2), ("x", 1)) != of(("x", 1), ("y", 2), ("y", 2), ("y", 2))
+    assert of((None, 1)) != of(("", 1)) and of(("x", 1), ("x", 1))[1] != of(("y", 1), ("y", 1))[1]
+
+
 def test_registration_recovers_shifts(spark):
     rng = np.random.default_rng(9)
     base = np.abs(np.fft.ifft2(np.fft.fft2(rng.normal(size=(32, 32))) * np.exp(-8 * (np.abs(np.fft.fftfreq(32))[:, None] + np.abs(np.fft.fftfreq(32))[None])))) * 100
