@@ -104,6 +104,24 @@ def without(rows: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
     return sift(rows, ids, key, hits=False).unionByName(asked)
 
 
+#: Rows of a small table that ``attach`` broadcasts, and the parts it deals rows to beyond that.
+SMALL, SALTS = 100_000, 32
+
+
+def attach(rows: DataFrame, small: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` with the columns of ``small`` (one row per key; nulls are a key): broadcast after a count of its rows, else joined
+    with the rows of one key dealt to ``SALTS`` tasks, so a hot key is no task of its own. Each row of ``rows`` has its key there."""
+    named = small.select(*(F.col(k).alias(f"attach_{k}") for k in keys), *(c for c in small.columns if c not in keys))
+    on = [rows[k].eqNullSafe(named[f"attach_{k}"]) for k in keys]
+    more = [c for c in small.columns if c not in keys]
+    if small.count() <= SMALL:
+        return rows.join(F.broadcast(named), on).select(*(rows[c] for c in rows.columns), *more)
+    salted = rows.withColumn("attach_salt", F.pmod(F.xxhash64(*rows.columns), F.lit(SALTS)))
+    dealt = named.withColumn("attach_salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+    on = [salted[k].eqNullSafe(dealt[f"attach_{k}"]) for k in keys]
+    return salted.join(dealt, [*on, salted["attach_salt"] == dealt["attach_salt"]]).select(*(salted[c] for c in rows.columns), *more)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, jaccard, licenses, media, mixing, packing, pii, quality, substrings, token_files
+from . import chat, divergence, jaccard, licenses, media, mixing, packing, pii, quality, substrings, token_files, vector_codes
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -15,6 +15,11 @@ QUERIES = {
     "op8_quality_rules": quality.query,
     "op9_license_scan": licenses.query,
     "op10_personal_data": pii.query,
+    "op11_vector_codes": vector_codes.query,
+    "op13_source_divergence": divergence.query,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op11_vector_codes": vector_codes.ORACLE,
+    "op13_source_divergence": divergence.ORACLE,
+}
