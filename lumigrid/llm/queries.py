@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat, divergence, jaccard, licenses, media, mixing, packing, pii, quality, substrings, token_files, vector_codes
+from . import chat, divergence, jaccard, licenses, media, mixing, packing, pii, quality, substrings, token_files, vector_codes, wrappers
 
 QUERIES = {
     "op1_best_fit_packing": packing.query,
@@ -16,6 +16,7 @@ QUERIES = {
     "op9_license_scan": licenses.query,
     "op10_personal_data": pii.query,
     "op11_vector_codes": vector_codes.query,
+    "op12_html_extraction": wrappers.query,
     "op13_source_divergence": divergence.query,
 }
 
