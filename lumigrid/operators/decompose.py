@@ -1,24 +1,25 @@
 """Principal and independent components of movies, and removal of components.
 
-``px`` rows are (g, p, x). The small side (frames or pixels) gives a Gram matrix that Spark sums and the driver
-decomposes; its size is checked first.
+``px`` rows are (g, p, x). The movie is kept once as a grid of dense tiles. A truncated decomposition is a blocked range finder: a seeded
+random matrix is multiplied by the movie and its transpose in turn, and what comes out is made orthonormal by a tall-skinny QR whose
+small triangles meet in one task. Factors (a row of a few numbers per pixel or frame) stay tables; the driver sees matrices of
+components x components only. Independent components are a fixed-point iteration over the pixel factor, whose steps are sums over pixels.
 """
 
 from __future__ import annotations
 
 import warnings
-from collections.abc import Iterator
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .. import shared
 from ..shipping import ship
 
-#: The side of the Gram matrix the driver takes (8000 x 8000 doubles: 512 MB).
-MOST = 8_000
 #: Entries on a side of the tiles in which a task sums its products, tiles it holds, values of the movie it takes at once.
 TILE, TILES, VALUES = 128, 2_048, 1 << 18
 
@@ -146,135 +147,424 @@ def gram(px: DataFrame, side: str = "g") -> DataFrame:
     return gram_rows(px, side).select("i", F.explode(F.arrays_zip(F.col("js").alias("j"), F.col("vs").alias("v"))).alias("e")).select("i", "e.j", "e.v")
 
 
+#: Pixels and frames of a tile of the movie (512 KB of doubles).
+SIDE = 256
+#: Directions beyond those asked for, rounds of the range finder at most, and the relative change of singular values that ends them.
+SPARE, ROUNDS, SETTLED = 12, 40, 1e-11
+#: Sides up to here are spanned whole: one round is exact.
+SPANNED = 96
+#: Values of a factor up to which it goes to all tasks (64 MB); a larger one is joined.
+SENT = 8 << 20
+#: Partial sums of a product a task holds before it hands them on.
+SUMS = 128
+
+_TILE = "pb long, gb long, ps array<long>, gs array<long>, data binary"
+_BLOCK = "b long, ids array<long>, m binary"
+_BLOCK_TYPES = pa.schema([("b", pa.int64()), ("ids", pa.list_(pa.int64())), ("m", pa.binary())])
+
+
+def _dense(cell: pa.Scalar, *shape: int) -> np.ndarray:
+    return np.frombuffer(cell.as_buffer(), "<f8").reshape(shape)
+
+
+def _ids(column: pa.ListArray, i: int) -> np.ndarray:
+    return column[i].values.to_numpy()
+
+
+def _block(rows: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+    columns = [[b for b, _, _ in rows], [i.tolist() for _, i, _ in rows], [np.ascontiguousarray(m, "<f8").tobytes() for _, _, m in rows]]
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, _BLOCK_TYPES.types, strict=True)], schema=_BLOCK_TYPES)
+
+
+def _tile(t: pa.Table) -> pa.Table:
+    """Of the rows (pb, gb, p, g, x) of one tile: a dense matrix. Rows that repeat a place add up."""
+    p, at_p = np.unique(t["p"].to_numpy(), return_inverse=True)
+    g, at_g = np.unique(t["g"].to_numpy(), return_inverse=True)
+    data = np.zeros((len(p), len(g)))
+    np.add.at(data, (at_p, at_g), t["x"].to_numpy())
+    return pa.table({"pb": t["pb"][:1], "gb": t["gb"][:1], "ps": [p.tolist()], "gs": [g.tolist()], "data": pa.array([data.tobytes()], pa.binary())})
+
+
+@dataclass
+class Factor:
+    """Rows of ``width`` numbers per pixel or frame, in blocks of ``SIDE`` ids: (b, ids, m)."""
+
+    blocks: DataFrame
+    width: int
+    path: str = ""
+
+    def rows(self) -> DataFrame:
+        """(id, v): an id's numbers as an array."""
+        width = self.width
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in range(b.num_rows):
+                    ids = _ids(b.column(1), i)
+                    flat = pa.array(_dense(b.column(2)[i], len(ids), width).ravel())
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * width, pa.int32()), flat)
+                    yield pa.RecordBatch.from_arrays([pa.array(ids), lists], names=["id", "v"])
+
+        return self.blocks.mapInArrow(run, "id long, v array<double>")
+
+    def times(self, m: np.ndarray) -> Factor:
+        """The factor's rows times a small matrix; not written."""
+        width = self.width
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield _block([(b.column(0)[i].as_py(), ids := _ids(b.column(1), i), _dense(b.column(2)[i], len(ids), width) @ m) for i in range(b.num_rows)])
+
+        return Factor(self.blocks.mapInArrow(run, _BLOCK), m.shape[1])
+
+    def saved(self, name: str) -> Factor:
+        blocks, path = shared.save(self.blocks, name)
+        return Factor(blocks, self.width, path)
+
+    def drop(self) -> None:
+        if self.path:
+            shared.remove(self.blocks.sparkSession, self.path)
+
+    def size(self) -> int:
+        return (self.blocks.agg(F.sum(F.size("ids"))).first()[0] or 0) * self.width
+
+
+def _folded(df: DataFrame, make: Callable[[], Callable[[np.ndarray], np.ndarray | None]], width: int) -> np.ndarray | None:
+    """Folds a factor's blocks inside tasks, then the tasks' results (one small matrix each) in one task."""
+
+    def outer(blocks: bool):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            step, out = make(), None
+            for b in batches:
+                for i in range(b.num_rows):
+                    raw = _dense(b.column(2 if blocks else 0)[i], -1)
+                    out = step(raw.reshape(-1, width) if blocks else raw, not blocks)
+            if out is not None:
+                yield pa.RecordBatch.from_arrays([pa.array([np.ascontiguousarray(out).tobytes()], pa.binary())], names=["m"])
+
+        return run
+
+    found = df.mapInArrow(outer(True), "m binary").repartition(1).mapInArrow(outer(False), "m binary").collect()
+    return np.frombuffer(bytes(found[0].m), "<f8") if found else None
+
+
+def triangle(f: Factor) -> np.ndarray:
+    """The R of a QR of all the factor's rows (width x width)."""
+    w = f.width
+
+    def make():
+        r = np.zeros((0, w))
+
+        def step(m: np.ndarray, small: bool) -> np.ndarray:
+            nonlocal r
+            r = np.linalg.qr(np.concatenate([r, m.reshape(-1, w)]), mode="r")
+            return r
+
+        return step
+
+    out = _folded(f.blocks, make, w)
+    return np.zeros((0, w)) if out is None else out.reshape(-1, w)
+
+
+def orthonormal(f: Factor, name: str) -> Factor:
+    """A basis of the factor's columns, written: directions lost to rounding are left out, and a second pass takes off what the first left."""
+    for _ in range(2):
+        _, s, v = np.linalg.svd(triangle(f))
+        kept = s > 1e-12 * s[0] if len(s) and s[0] > 0 else np.zeros(len(s), bool)
+        out = f.times(v[: len(s)][kept].T / s[kept]).saved(name)
+        f.drop()
+        f = out
+    return f
+
+
+class Movie:
+    """A centred movie as a table of tiles. ``across`` and ``along`` multiply it with a factor of frames or of pixels."""
+
+    def __init__(self, px: DataFrame):
+        self.spark = px.sparkSession
+        ship(self.spark)
+        place = lambda c: F.floor(F.col(c) / SIDE).alias(f"{c}b")
+        rows = centred(px).select(F.col("p").cast("long").alias("p"), F.col("g").cast("long").alias("g"), F.col("x").cast("double").alias("x")).dropna()
+        grid = rows.select(place("p"), place("g"), "p", "g", "x").groupBy("pb", "gb").applyInArrow(_tile, _TILE)
+        self.tiles, self.path = shared.save(grid, "tiles")
+        self.pixels = self.tiles.select(F.explode("ps").alias("p")).distinct().count()
+        self.frames = self.tiles.select(F.explode("gs").alias("g")).distinct().count()
+        self.total = self._total()
+
+    def _total(self) -> float:
+        """The sum of all squares."""
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield pa.RecordBatch.from_arrays([pa.array([sum((float(np.square(_dense(d, -1)).sum()) for b in batches for d in b.column(0)), 0.0)])], names=["s"])
+
+        return self.tiles.select("data").mapInArrow(run, "s double").agg(F.sum("s")).first()[0] or 0.0
+
+    def close(self) -> None:
+        shared.remove(self.spark, self.path)
+
+    def _product(self, f: Factor | None, width: int, side: str, seed: int = 0) -> Factor:
+        """Side p: the movie times a factor of frames (None: seeded normal numbers); side g: its transpose times a factor of pixels."""
+        out, other = ("p", "g") if side == "p" else ("g", "p")
+        seeded = f is None
+        rows = self.tiles.select(f"{out}b", f"{out}s", f"{other}b", f"{other}s", "data")
+        if not seeded:
+            blocks = f.blocks.select(F.col("b").alias(f"{other}b"), "ids", "m")
+            rows = rows.join(F.broadcast(blocks) if f.size() <= SENT else blocks, f"{other}b").select(*rows.columns, "ids", "m")
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+            for b in batches:
+                for i in range(b.num_rows):
+                    key, ids, block, others = b.column(0)[i].as_py(), _ids(b.column(1), i), b.column(2)[i].as_py(), _ids(b.column(3), i)
+                    tile = _dense(b.column(4)[i], -1)
+                    tile = tile.reshape(len(ids), len(others)) if side == "p" else tile.reshape(len(others), len(ids)).T
+                    if seeded:
+                        far = np.random.default_rng([seed, block % (1 << 63)]).normal(size=(SIDE, width))[others % SIDE]
+                    else:
+                        known = _ids(b.column(5), i)
+                        far = _dense(b.column(6)[i], len(known), width)[np.searchsorted(known, others)]
+                    if key not in held:
+                        held[key] = np.zeros(SIDE, bool), np.zeros((SIDE, width))
+                    seen, sums = held[key]
+                    seen[ids % SIDE] = True
+                    sums[ids % SIDE] += tile @ far
+                if len(held) > SUMS:
+                    yield _block([(k, k * SIDE + np.flatnonzero(s), m[s]) for k, (s, m) in held.items()])
+                    held.clear()
+            if held:
+                yield _block([(k, k * SIDE + np.flatnonzero(s), m[s]) for k, (s, m) in held.items()])
+
+        def add(t: pa.Table) -> pa.Table:
+            seen, sums = np.zeros(SIDE, bool), np.zeros((SIDE, width))
+            ids, m = t["ids"].combine_chunks(), t["m"].combine_chunks()
+            for i in range(t.num_rows):
+                at = _ids(ids, i)
+                seen[at % SIDE] = True
+                sums[at % SIDE] += _dense(m[i], len(at), width)
+            key = t["b"][0].as_py()
+            return pa.Table.from_batches([_block([(key, key * SIDE + np.flatnonzero(seen), sums[seen])])])
+
+        return Factor(rows.mapInArrow(run, _BLOCK).groupBy("b").applyInArrow(add, _BLOCK), width).saved(f"factor-{side}")
+
+    def across(self, f: Factor | None, width: int = 0, seed: int = 0) -> Factor:
+        return self._product(f, f.width if f else width, "p", seed)
+
+    def along(self, f: Factor) -> Factor:
+        return self._product(f, f.width, "g")
+
+
 @dataclass
 class Pca:
-    spatial: np.ndarray  # k x pixels, unit norm
-    temporal: np.ndarray  # k x frames
+    """``spatial``, ``temporal``: factors with unit-norm columns (pixels, frames); the movie less ``mean`` (p, mean) is spatial * singular * temporal'."""
+
+    spatial: Factor
+    temporal: Factor
     singular: np.ndarray
     ratio: np.ndarray
-    mean: np.ndarray
-    pixels: list[int]
-    frames: list[int]
-
-
-def pca(px: DataFrame, k: int) -> Pca:
-    """Truncated decomposition with the smaller side's Gram matrix; k <= min(k, frames - 1, pixels)."""
-    frames, pixels = px.select("g").distinct().count(), px.select("p").distinct().count()
-    side = "g" if frames <= pixels else "p"
-    n = min(frames, pixels)
-    if n > MOST:
-        raise ValueError(f"the smaller side has {n} entries; the driver takes {MOST}")
-    k = max(1, min(k, frames - 1, pixels))
-    found = gram_rows(px, side).toArrow()  # at most MOST^2 / 2 sums
-    i = np.repeat(found["i"].to_numpy(), found["js"].combine_chunks().value_lengths().to_numpy())
-    j, v = (found[c].combine_chunks().flatten().to_numpy() for c in ("js", "vs"))
-    ids = np.unique(j)
-    g = np.zeros((n, n))
-    i, j = np.searchsorted(ids, i), np.searchsorted(ids, j)
-    g[i, j] = g[j, i] = v
-    values, vectors = np.linalg.eigh(g)
-    values, vectors = np.maximum(values[::-1][:k], 0), vectors[:, ::-1][:, :k]
-    singular = np.sqrt(values)
-    # the other side: one pass, k sums per row
-    spark = px.sparkSession
-    basis = spark.createDataFrame([(int(v), *map(float, vectors[a])) for a, v in enumerate(ids.tolist())], ", ".join([f"{side} long", *(f"_v{c} double" for c in range(k))]))
-    other = "p" if side == "g" else "g"
-    cross = centred(px).join(F.broadcast(basis), side).groupBy(other).agg(*(F.sum(F.col("x") * F.col(f"_v{c}")).alias(f"s{c}") for c in range(k))).orderBy(other).toPandas()
-    far = cross[[f"s{c}" for c in range(k)]].to_numpy().T
-    unit = far / np.where(singular > 0, singular, 1.0)[:, None]
-    mean = full_mean(px).orderBy("p").toPandas()
-    total = float(np.trace(g)) or 1.0
-    if side == "g":
-        spatial, temporal = unit, vectors.T * singular[:, None]
-        return Pca(spatial, temporal, singular, values / total, mean["mean"].to_numpy(), cross["p"].tolist(), ids.tolist())
-    return Pca(vectors.T, far, singular, values / total, mean["mean"].to_numpy(), ids.tolist(), cross["g"].tolist())
+    mean: DataFrame
+
+    def head(self, k: int) -> Pca:
+        """The first k components."""
+        first = np.eye(len(self.singular))[:, :k]
+        return Pca(self.spatial.times(first), self.temporal.times(first), self.singular[:k], self.ratio[:k], self.mean)
+
+    def drop(self) -> None:
+        """Deletes the factors' tables."""
+        self.spatial.drop()
+        self.temporal.drop()
+
+
+def pca(px: DataFrame, k: int, seed: int = 0) -> Pca:
+    """Truncated decomposition; k <= min(k, frames - 1, pixels).
+
+    Of sides up to ``SPANNED`` every direction is taken, which is exact. Else rounds go on until the k singular values settle; ``ROUNDS``
+    without that gives a warning. Null values count as the pixel's mean; a movie without variance or rows has no components.
+    """
+    movie = Movie(px)
+    small = min(movie.frames, movie.pixels)
+    k = max(0, min(k, movie.frames - 1, movie.pixels))
+    width = small if small <= SPANNED else min(small, k + SPARE)
+    if not k or movie.total == 0:
+        none = Factor(px.sparkSession.createDataFrame([], _BLOCK), 0)
+        movie.close()
+        return Pca(none, none, np.zeros(0), np.zeros(0), full_mean(px))
+    basis, before, done = orthonormal(movie.across(None, width, seed), "basis-p"), None, False
+    for turn in range(ROUNDS):
+        far = movie.along(basis)
+        left, singular, right = np.linalg.svd(triangle(far), full_matrices=False)
+        top = singular[:k]
+        done = small <= SPANNED or before is not None and len(before) == len(top) and bool(np.all(np.abs(top - before) <= SETTLED * top[0]))
+        if done or turn == ROUNDS - 1:
+            break
+        before = top
+        frames = orthonormal(far, "basis-g")
+        basis.drop()
+        basis = orthonormal(movie.across(frames), "basis-p")
+        frames.drop()
+    if not done:
+        warnings.warn(f"singular values did not settle in {ROUNDS} rounds", RuntimeWarning, stacklevel=2)
+    # movie' * basis = far = Q R and R = left * singular * right: the movie is (basis right') singular (Q left)', Q left = far right' / singular
+    k = int(min(k, (singular > 1e-12 * singular[0]).sum()))
+    spatial = basis.times(right[:k].T).saved("spatial")
+    temporal = far.times(right[:k].T / singular[:k]).saved("temporal")
+    basis.drop()
+    far.drop()
+    movie.close()
+    return Pca(spatial, temporal, singular[:k], singular[:k] ** 2 / movie.total, full_mean(px))
 
 
 def spectrum(px: DataFrame, k: int) -> DataFrame:
     r = pca(px, k)
+    r.drop()
     return px.sparkSession.createDataFrame([(i, float(s), float(v)) for i, (s, v) in enumerate(zip(r.singular, r.ratio, strict=True))], "k long, singular double, ratio double")
 
 
 @dataclass
 class Ica:
-    spatial: np.ndarray
-    temporal: np.ndarray
+    """``maps`` (p, v) and ``scores`` (g, v): a row of one number per component for every pixel and frame; ``variance`` of the scores, descending."""
+
+    maps: DataFrame
+    scores: DataFrame
     variance: np.ndarray
+    paths: tuple[str, ...] = field(default=())
+
+    def drop(self) -> None:
+        shared.remove(self.maps.sparkSession, *self.paths)
 
 
 #: E[log cosh] of a standard normal variable.
 _NORMAL = 0.37456
 
 
-def fast_ica(x: np.ndarray, seed: int = 0, rounds: int = 500, tol: float = 1e-6, starts: int = 4) -> np.ndarray:
-    """Unmixing matrix (components x rows) of the rows of ``x``: symmetric fixed-point iteration with log cosh, unit variance.
+def _even(w: np.ndarray) -> np.ndarray:
+    s, u = np.linalg.eigh(w @ w.T)
+    return u @ np.diag(1 / np.sqrt(np.maximum(s, 1e-18))) @ u.T @ w
+
+
+def _sum_of(f: Factor, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
+    """The sum over the factor's blocks of a flat vector."""
+
+    def make():
+        total = None
 
-    Of several seeded starts the one with the most contrast (squared distance of E[log cosh] from a normal
-    variable's) counts; if none converged, a warning says so.
+        def step(m: np.ndarray, small: bool) -> np.ndarray:
+            nonlocal total
+            v = m if small else of(m)
+            total = v if total is None else total + v
+            return total
+
+        return step
+
+    return _folded(f.blocks, make, f.width)
+
+
+def unmixing(f: Factor, seed: int = 0, rounds: int = 500, tol: float = 1e-6, starts: int = 4) -> np.ndarray:
+    """Unmixing matrix (components x width) of a factor's columns: symmetric fixed-point iteration with log cosh, unit variance.
+
+    Every round is one pass of sums over the rows for all starts that still move. Of several seeded starts the one with the most contrast
+    (squared distance of E[log cosh] from a normal variable's) counts; if none converged, a warning says so.
     """
-    x = x - x.mean(1, keepdims=True)
-    values, vectors = np.linalg.eigh(x @ x.T / x.shape[1])
+    k = f.width
+    first = _sum_of(f, lambda m: np.concatenate([[len(m)], m.sum(0)]))
+    n, mean = first[0], first[1:] / first[0]
+    cov = _sum_of(f, lambda m: ((m - mean).T @ (m - mean)).ravel()).reshape(k, k) / n
+    values, vectors = np.linalg.eigh(cov)
     white = (vectors / np.sqrt(np.maximum(values, 1e-18))).T
-    z = white @ x
-
-    def even(w: np.ndarray) -> np.ndarray:
-        s, u = np.linalg.eigh(w @ w.T)
-        return u @ np.diag(1 / np.sqrt(np.maximum(s, 1e-18))) @ u.T @ w
-
-    rng, best = np.random.default_rng(seed), None
-    for _ in range(starts):
-        w, done = even(rng.normal(size=(len(x), len(x)))), False
-        for _ in range(rounds):
-            t = np.tanh(w @ z)
-            new = even(t @ z.T / z.shape[1] - np.diag((1 - t**2).mean(1)) @ w)
+    rng = np.random.default_rng(seed)
+    ws, moving = [_even(rng.normal(size=(k, k))) for _ in range(starts)], list(range(starts))
+    for _ in range(rounds):
+        now = np.stack([ws[i] for i in moving])
+
+        def sums(m: np.ndarray, now: np.ndarray = now) -> np.ndarray:
+            z = white @ (m - mean).T
+            t = np.tanh(now @ z)
+            return np.concatenate([(t @ z.T).ravel(), (1 - t**2).sum(2).ravel()])
+
+        got = _sum_of(f, sums)
+        a, b = got[: now.size].reshape(now.shape) / n, got[now.size :].reshape(len(now), k) / n
+        still = []
+        for i, w, x, y in zip(moving, now, a, b, strict=True):
+            ws[i] = _even(x - np.diag(y) @ w)
             # rows keep their places in this iteration and may only change sign
-            done, w = np.max(np.abs(np.abs(np.einsum("ij,ij->i", new, w)) - 1)) < tol, new
-            if done:
-                break
-        y = np.abs(w @ z)
-        contrast = float((((y + np.log1p(np.exp(-2 * y)) - np.log(2)).mean(1) - _NORMAL) ** 2).sum())
-        if best is None or (done, contrast) > best[:2]:
-            best = done, contrast, w
-    if not best[0]:
+            if np.max(np.abs(np.abs(np.einsum("ij,ij->i", ws[i], w)) - 1)) >= tol:
+                still.append(i)
+        moving = still
+        if not moving:
+            break
+
+    def contrast(m: np.ndarray) -> np.ndarray:
+        y = np.abs(np.stack(ws) @ (white @ (m - mean).T))
+        return (y + np.log1p(np.exp(-2 * y)) - np.log(2)).sum(2).ravel()
+
+    gain = ((_sum_of(f, contrast).reshape(starts, k) / n - _NORMAL) ** 2).sum(1)
+    best = max(range(starts), key=lambda i: (i not in moving, gain[i]))
+    if best in moving:
         warnings.warn(f"independent components did not converge in {rounds} rounds", RuntimeWarning, stacklevel=2)
-    return best[2] @ white
-
-
-def ica(p: Pca, seed: int = 0) -> Ica:
-    """Spatial independent components; the largest entry of a map is positive, order by temporal variance."""
-    scaled = p.spatial * p.singular[:, None]
-    u = fast_ica(scaled, seed)
-    maps = u @ scaled
-    scores = np.linalg.pinv(u).T @ (p.temporal / np.where(p.singular > 0, p.singular, 1.0)[:, None])
-    sign = np.sign(maps[np.arange(len(maps)), np.abs(maps).argmax(1)])
-    maps, scores = maps * sign[:, None], scores * sign[:, None]
-    variance = scores.var(1)
+    return ws[best] @ white
+
+
+def ica(p: Pca, seed: int = 0, rounds: int = 500) -> Ica:
+    """Spatial independent components; the largest entry of a map is positive (ties: of the smallest pixel), order by temporal variance."""
+    k = len(p.singular)
+    spark = p.mean.sparkSession
+    if not k:
+        none = "v array<double>"
+        return Ica(spark.createDataFrame([], f"p long, {none}"), spark.createDataFrame([], f"g long, {none}"), np.zeros(0))
+    scale = p.spatial.times(np.diag(p.singular)).saved("scaled")
+    u = unmixing(scale, seed, rounds)
+    scale.drop()
+    maps = p.spatial.times((u @ np.diag(p.singular)).T)
+    scores = p.temporal.times(np.linalg.pinv(u))
+    peak = maps.rows().agg(*(F.min(F.struct(-F.abs(F.col("v")[c]), "id", F.col("v")[c].alias("x"))).alias(f"c{c}") for c in range(k))).first()
+    sign = np.array([-1.0 if peak[f"c{c}"]["x"] < 0 else 1.0 for c in range(k)])
+    spread = scores.rows().agg(*(F.var_pop(F.col("v")[c]).alias(f"c{c}") for c in range(k))).first()
+    variance = np.array([spread[f"c{c}"] for c in range(k)])
     order = np.argsort(-variance, kind="stable")
-    return Ica(maps[order], scores[order], variance[order])
+    turn = np.diag(sign)[:, order]
+    tables, paths = zip(*(shared.save(f.times(turn).rows().withColumnRenamed("id", name), f"components-{name}") for f, name in ((maps, "p"), (scores, "g"))), strict=True)
+    return Ica(*tables, variance[order], paths)
+
+
+def _dot(v: str, weights: np.ndarray) -> Column:
+    """A short array times fixed weights."""
+    return sum((F.col(v)[i] * float(w) for i, w in enumerate(weights)), F.lit(0.0))
+
+
+def products(maps: DataFrame, k: int) -> np.ndarray:
+    """Inner products of the maps (k x k)."""
+    got = maps.agg(*(F.sum(F.col("v")[i] * F.col("v")[j]).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k))).first()
+    return np.array([[got[f"m{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)])
+
+
+def loadings(px: DataFrame, maps: DataFrame, k: int, wanted: list[int]) -> DataFrame:
+    """(g, a): how much of each wanted map a frame holds, fitted to all maps at once against the whole timeline's mean."""
+    fit = np.linalg.pinv(products(maps, k))
+    table = maps.select("p", *(_dot("v", fit[e]).alias(f"_l{c}") for c, e in enumerate(wanted)))
+    rows = px.join(full_mean(px), "p").join(table, "p")
+    sums = rows.groupBy("g").agg(*(F.sum((F.col("x") - F.col("mean")) * F.col(f"_l{c}")).alias(f"_a{c}") for c in range(len(wanted))))
+    return sums.select("g", F.array(*(F.col(f"_a{c}") for c in range(len(wanted)))).alias("a"))
 
 
-def subtract(px: DataFrame, maps: np.ndarray, pixels: list[int], exclude: list[int]) -> DataFrame:
-    """The movie without the excluded components: x - sum of map * loading, loadings fitted per frame to all maps. Nothing excluded: unchanged.
+def subtract(px: DataFrame, maps: DataFrame, k: int, exclude: list[int]) -> DataFrame:
+    """The movie without the excluded components: x - sum of map * loading. ``maps``: (p, v) with k components. Nothing excluded: unchanged.
 
-    Loadings are sums over a frame's pixels against a broadcast operator of components x pixels.
+    Joins by pixel and by frame; Spark sends the smaller tables to all tasks only below its own limit.
     """
     exclude = sorted(set(exclude))
     if not exclude:
         return px.select("g", "p", "x")
-    if exclude[0] < 0 or exclude[-1] >= len(maps):
+    if exclude[0] < 0 or exclude[-1] >= k:
         raise ValueError("a component to exclude doesn't exist")
-    load = np.linalg.pinv(maps @ maps.T) @ maps
-    spark = px.sparkSession
-    k = len(exclude)
-    schema = ", ".join(["p long", *(f"_l{c} double" for c in range(k)), *(f"_m{c} double" for c in range(k))])
-    table = F.broadcast(spark.createDataFrame([(int(q), *(float(load[e, i]) for e in exclude), *(float(maps[e, i]) for e in exclude)) for i, q in enumerate(pixels)], schema))
-    mean = full_mean(px)
-    rows = px.join(mean, "p").join(table, "p")
-    scores = rows.groupBy("g").agg(*(F.sum((F.col("x") - F.col("mean")) * F.col(f"_l{c}")).alias(f"_a{c}") for c in range(k)))
-    removed = sum((F.col(f"_a{c}") * F.col(f"_m{c}") for c in range(k)), F.lit(0.0))
-    return rows.join(scores, "g").select("g", "p", (F.col("x") - removed).alias("x"))
-
-
-def reconstruct(p: Pca, keep: list[int]) -> np.ndarray:
-    """frames x pixels from some components and the mean; none: the mean image for every frame."""
-    return p.temporal[keep].T @ p.spatial[keep] + p.mean[None, :]
+    own = maps.select("p", F.array(*(F.col("v")[e] for e in exclude)).alias("_m"))
+    rows = px.select("g", "p", "x").join(own, "p").join(loadings(px, maps, k, exclude), "g")
+    removed = sum((F.col("_m")[c] * F.col("a")[c] for c in range(len(exclude))), F.lit(0.0))
+    return rows.select("g", "p", (F.col("x") - removed).alias("x"))
+
+
+def reconstruct(px: DataFrame, maps: DataFrame, scores: DataFrame, keep: list[int]) -> DataFrame:
+    """(g, p, x) at the places of ``px`` from some components and the mean; none: the mean image for every frame."""
+    rows = px.select("g", "p").join(full_mean(px), "p")
+    if not keep:
+        return rows.select("g", "p", F.col("mean").alias("x"))
+    rows = rows.join(maps.select("p", F.col("v").alias("_m")), "p").join(scores.select("g", F.col("v").alias("_s")), "g")
+    return rows.select("g", "p", (F.col("mean") + sum((F.col("_m")[c] * F.col("_s")[c] for c in keep), F.lit(0.0))).alias("x"))

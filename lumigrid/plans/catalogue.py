@@ -499,28 +499,78 @@ def pca_gram(spark, d):
     return decompose.gram(V.frame(spark, d), "p").select("i", "j", (F.round("v", 2) + F.lit(0.0)).alias("v"))
 
 
-@query()
+#: Eigenvalues and eigenvectors of the 64 x 64 Gram matrix in SQL: rounds of 32 disjoint plane rotations, paired as in a round-robin, until nothing is left beside the diagonal.
+_ROTATIONS = 63 * 9
+_EIGEN = f"""{_CEN}, gram as (select a.p i, b.p j, sum(a.x * b.x) v from cen a join cen b on a.g = b.g group by 1, 2),
+turn as (
+  select 0 t, 0 m, i, j, v from gram union all select 0, 1, i, j, case when i = j then 1.0 else 0.0 end from gram
+  union all select * from (
+    with own as (select * from turn where m = 0),
+    mate as (select t, i, case when i = 63 then t * 32 % 63 when (t - i + 4032) % 63 = i then 63 else (t - i + 4032) % 63 end k from own where i = j),
+    angle as (select mate.t, mate.i, k, o.v o, case when o.v = 0 then 0.0 else (case when mate.i < k then e.v - d.v else d.v - e.v end) / (2 * o.v) end tau
+      from mate join own d on d.i = mate.i and d.j = mate.i join own e on e.i = k and e.j = k join own o on o.i = mate.i and o.j = k),
+    tan as (select t, i, k, case when o = 0 then 0.0 else (case when tau >= 0 then 1 else -1 end) / (abs(tau) + sqrt(1 + tau * tau)) end * (case when i < k then -1 else 1 end) s from angle),
+    rot as (select i, i a, 1 / sqrt(1 + s * s) w from tan union all select i, k a, s / sqrt(1 + s * s) w from tan)
+    select t + 1, m, i, j, v from (
+      select t, m, l.i i, r.i j, sum(l.w * r.w * own.v) v from own join rot l on l.a = own.i join rot r on r.a = own.j group by all
+      union all select t, m, turn.i, r.i, sum(r.w * turn.v) from turn join rot r on r.a = turn.j where m = 1 group by all) where t < {_ROTATIONS})),
+last as materialized (select * from turn where t = {_ROTATIONS}),
+eig as (select i e, v ev, row_number() over (order by v desc) - 1 k from last where m = 0 and i = j),
+axis as materialized (select k, i p, v from last join eig on e = j where m = 1)"""
+_FOUR = "kept as (select g, k, sum(x * v) a from cen join axis using (p) where k < 4 group by all), low as (select g, p, sum(a * v) y from kept join axis using (k) group by all), mean as (select p, avg(x) mean from frame group by 1)"
+
+
+@query(f"with recursive {_EIGEN} select k, round(sqrt(greatest(ev, 0)), 6) + 0.0 singular, round(ev / (select sum(v) from gram where i = j), 6) + 0.0 ratio from eig where k < 6")
 def pca_spectrum(spark, d):
     return decompose.spectrum(V.frame(spark, d), 6).select("k", _r("singular", "singular"), _r("ratio", "ratio"))
 
 
+@query(f"with recursive {_EIGEN} select k, p, round(v * sign(arg_min(v, (-abs(v), p)) over (partition by k)), 5) + 0.0 v from axis where k < 3")
+def pca_components(spark, d):
+    """Maps, the largest entry positive."""
+    rows = decompose.pca(V.frame(spark, d), 3).spatial.rows().select("id", F.posexplode("v").alias("k", "v"))
+    peak = rows.groupBy("k").agg(F.min(F.struct(-F.abs(F.col("v")), F.col("id"), F.col("v").alias("x")))["x"].alias("peak"))
+    return rows.join(peak, "k").select(F.col("k").cast("long").alias("k"), F.col("id").alias("p"), (F.round(F.col("v") * F.signum("peak"), 5) + F.lit(0.0)).alias("v"))
+
+
+def _components(spark, d, k: int = 4) -> decompose.Ica:
+    return decompose.ica(decompose.pca(V.frame(spark, d), k))
+
+
 @query()
 def ica_components(spark, d):
-    found = decompose.ica(decompose.pca(V.frame(spark, d), 4))
-    return spark.createDataFrame([(k, i, float(v)) for k, m in enumerate(found.spatial) for i, v in enumerate(m)], "k long, p long, v double").select("k", "p", _r("v", "v"))
+    return _components(spark, d).maps.select(F.posexplode("v").alias("k", "v"), "p").select("k", "p", _r("v", "v"))
+
+
+@query("select cast(a as bigint) i, cast(b as bigint) j, case when a = b then 1.0 else 0.0 end v from (select unnest(range(4)) a), (select unnest(range(4)) b)")
+def ica_map_covariance(spark, d):
+    """Maps over pixels: unit variance, no correlation."""
+    maps = _components(spark, d).maps.select("p", F.posexplode("v").alias("k", "v"))
+    a, b = maps.select("p", F.col("k").alias("i"), F.col("v").alias("x")), maps.select("p", F.col("k").alias("j"), F.col("v").alias("y"))
+    return a.join(b, "p").groupBy("i", "j").agg(_r(F.covar_pop("x", "y"), "v")).select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "v")
+
+
+@query(f"with recursive {_EIGEN}, {_FOUR} select g, p, round(y + mean, 5) + 0.0 x from low join mean using (p)")
+def ica_reconstruction(spark, d):
+    """Four independent components span what four principal ones do."""
+    found = _components(spark, d)
+    return decompose.reconstruct(V.frame(spark, d), found.maps, found.scores, [0, 1, 2, 3]).select("g", "p", (F.round("x", 5) + F.lit(0.0)).alias("x"))
 
 
 @query(f"with {V.FRAME} select g, p, x from frame")
 def ica_subtract_identity(spark, d):
-    import numpy as np
-
-    return decompose.subtract(V.frame(spark, d), np.zeros((1, 64)), list(range(64)), []).select("g", "p", "x")
+    return decompose.subtract(V.frame(spark, d), spark.createDataFrame([], "p long, v array<double>"), 1, []).select("g", "p", "x")
 
 
 @query()
 def ica_subtract(spark, d):
-    p = decompose.pca(V.frame(spark, d), 4)
-    return decompose.subtract(V.frame(spark, d), decompose.ica(p).spatial, p.pixels, [0]).select("g", "p", _r("x", "x"))
+    return decompose.subtract(V.frame(spark, d), _components(spark, d).maps, 4, [0]).select("g", "p", _r("x", "x"))
+
+
+@query(f"with recursive {_EIGEN}, {_FOUR} select g, p, round(x - y, 5) + 0.0 x from low join frame using (g, p)")
+def ica_subtract_all(spark, d):
+    """Without all four components: what the four principal ones don't span."""
+    return decompose.subtract(V.frame(spark, d), _components(spark, d).maps, 4, [0, 1, 2, 3]).select("g", "p", (F.round("x", 5) + F.lit(0.0)).alias("x"))
 
 
 @query(f"with {V.FRAME} select p, round(avg(x), 6) + 0.0 mean from frame group by 1")

@@ -223,10 +223,8 @@ class Session:
 
     def run_ica(self) -> None:
         for g in self._groups():
-            p = self.pca[g]
-            k = min(self.config.ica_components, len(p.singular))
-            cut = decompose.Pca(p.spatial[:k], p.temporal[:k], p.singular[:k], p.ratio[:k], p.mean, p.pixels, p.frames)
-            found = decompose.ica(cut)
+            k = min(self.config.ica_components, len(self.pca[g].singular))
+            found = decompose.ica(self.pca[g].head(k))
             chosen = self.exclusions.request(g, found) if self.exclusions else None
             if chosen is not None:
                 state.save_exclusion(self.config.output_dir, g, chosen)
@@ -234,7 +232,7 @@ class Session:
             width = self.tables["dff"].agg(F.max("c") + 1).first()[0]
             if exclude:
                 d = self.tables["dff"].filter(F.col("grp") == g).select("g", (F.col("r") * width + F.col("c")).alias("p"), F.col("x").cast("double").alias("x"))
-                clean = decompose.subtract(d, found.spatial, p.pixels, exclude)
+                clean = decompose.subtract(d, found.maps, k, exclude)
                 self._save(f"denoised_{g}", clean.select(F.lit(g).alias("grp"), "g", F.floor(F.col("p") / width).alias("r"), (F.col("p") % width).alias("c"), F.col("x").cast("float").alias("x")))
 
     def run_annotation(self) -> bool | None:

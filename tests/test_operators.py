@@ -196,6 +196,11 @@ def test_correlations(spark):
     assert part["r1", "r1"] == 1.0 and abs(part["r0", "r1"]) < 1
 
 
+def _matrix(rows):
+    """Rows of arrays, by their first column, as columns of a matrix."""
+    return np.array([list(r[1]) for r in sorted(map(tuple, rows.collect()))]).T
+
+
 def test_pca_equals_svd_and_ica_subtracts(spark):
     rng = np.random.default_rng(8)
     t = np.arange(40)
@@ -204,16 +209,65 @@ def test_pca_equals_svd_and_ica_subtracts(spark):
     px = _px(spark, x.reshape(40, 30, 40))
     p = decompose.pca(px, 2)
     u, s, vt = np.linalg.svd(x - x.mean(0), full_matrices=False)
-    np.testing.assert_allclose(p.singular, s[:2], rtol=1e-6)
-    np.testing.assert_allclose(np.abs(p.spatial @ vt[:2].T), np.eye(2), atol=1e-5)
+    np.testing.assert_allclose(p.singular, s[:2], rtol=1e-9)
+    np.testing.assert_allclose(p.ratio, s[:2] ** 2 / (s**2).sum(), rtol=1e-9)
+    np.testing.assert_allclose(np.abs(_matrix(p.spatial.rows()) @ vt[:2].T), np.eye(2), atol=1e-8)
+    np.testing.assert_allclose(np.abs(_matrix(p.temporal.rows()) @ u[:, :2]), np.eye(2), atol=1e-8)
     found = decompose.ica(p)
-    likeness = np.abs(np.corrcoef(np.vstack([found.spatial, maps]))[:2, 2:])
-    assert likeness.max(1).min() > 0.9
-    out = decompose.subtract(px, found.spatial, p.pixels, [0]).toPandas()
-    assert out["x"].std() < px.toPandas()["x"].std()
+    got, scores = _matrix(found.maps), _matrix(found.scores)
+    likeness = np.abs(np.corrcoef(np.vstack([got, maps]))[:2, 2:])
+    assert likeness.max(1).min() > 0.99
+    np.testing.assert_allclose(got.var(1), 1, rtol=1e-6)
+    assert (got[np.arange(2), np.abs(got).argmax(1)] > 0).all() and found.variance[0] > found.variance[1]
+    np.testing.assert_allclose(found.variance, scores.var(1), rtol=1e-9)
+    low = (u[:, :2] * s[:2]) @ vt[:2]
+    np.testing.assert_allclose(scores.T @ got, low, atol=1e-6)
+    pivot = lambda df: df.toPandas().pivot(index="g", columns="p", values="x").to_numpy()
+    np.testing.assert_allclose(pivot(decompose.subtract(px, found.maps, 2, [0, 1])), x - low, atol=1e-6)
+    np.testing.assert_allclose(pivot(decompose.reconstruct(px, found.maps, found.scores, [0, 1])), low + x.mean(0), atol=1e-6)
+    np.testing.assert_allclose(pivot(decompose.reconstruct(px, found.maps, found.scores, [])), np.tile(x.mean(0), (40, 1)))
+    load = decompose.loadings(px, found.maps, 2, [1]).orderBy("g").toPandas()["a"].str[0].to_numpy()
+    np.testing.assert_allclose(load, ((x - x.mean(0)) @ np.linalg.pinv(got))[:, 1], atol=1e-8)
     with pytest.raises(ValueError):
-        decompose.subtract(px, found.spatial, p.pixels, [5])
-    np.testing.assert_allclose(decompose.reconstruct(p, []), np.tile(x.mean(0), (40, 1)))
+        decompose.subtract(px, found.maps, 2, [5])
+    found.drop()
+    p.drop()
+
+
+def test_pca_of_two_long_sides(spark, monkeypatch):
+    """Sides beyond the span of one round, several blocks a side, joined factors and factors sent to all tasks."""
+    rng = np.random.default_rng(4)
+    x = (rng.normal(size=(700, 9)) * [90, 60, 40, 30, 20, 12, 8, 5, 3]) @ rng.normal(size=(9, 600)) + rng.normal(size=(700, 600)) + 7
+    rows = spark.createDataFrame([(int(g) * 3 - 500, int(q) * 11 - 900, float(x[g, q])) for g in range(700) for q in range(600)], "g long, p long, x double").repartition(5)
+    s = np.linalg.svd(x - x.mean(0), compute_uv=False)
+    for sent in (decompose.SENT, 0):
+        monkeypatch.setattr(decompose, "SENT", sent)
+        p = decompose.pca(rows, 5)
+        np.testing.assert_allclose(p.singular, s[:5], rtol=1e-9)
+        v = _matrix(p.spatial.rows())
+        np.testing.assert_allclose(v @ v.T, np.eye(5), atol=1e-10)
+
+
+def test_pca_of_sides_over_8000(spark):
+    """Two bright patches in 8,200 frames of 8,200 pixels: nothing of that length is put together on the driver."""
+    n = 8_200
+    patch = lambda at, size: spark.range(80 * 60).select((at + 41 * (F.col("id") % 80)).alias("g"), (at + 53 * F.floor(F.col("id") / 80)).alias("p"), (F.lit(size) * F.sin(F.col("id") % 80) * F.cos(F.floor(F.col("id") / 80))).alias("x"))
+    dim = spark.range(n).select(F.explode(F.array(F.struct(F.col("id").alias("g"), (n - 1 - F.col("id")).alias("p"), F.lit(0.01).alias("x")), F.struct(F.pmod(F.col("id") + 1, F.lit(n)).alias("g"), (n - 1 - F.col("id")).alias("p"), F.lit(-0.01).alias("x")))).alias("e")).select("e.*")
+    rows = patch(0, 9.0).unionByName(patch(4_000, 4.0)).unionByName(dim).groupBy("g", "p").agg(F.sum("x").alias("x"))
+    p = decompose.pca(rows, 2)
+    table = rows.toPandas()
+    table["x"] -= table.groupby("p")["x"].transform("mean")
+    by = [table[(table["g"] >= lo) & (table["x"].abs() > 0.011) & (table["g"] < lo + 4_000)].pivot(index="g", columns="p", values="x").fillna(0) for lo in (0, 4_000)]
+    np.testing.assert_allclose(p.singular, sorted((np.linalg.svd(m, compute_uv=False)[0] for m in by), reverse=True), rtol=1e-4)
+    assert p.spatial.rows().count() == p.temporal.rows().count() == n
+
+
+def test_components_of_nothing(spark):
+    px = _px(spark, np.ones((6, 2, 2)))
+    for rows in (px, px.limit(0), px.filter("g = 0")):
+        p = decompose.pca(rows, 3)
+        assert len(p.singular) == 0 and decompose.ica(p).maps.count() == 0
+        assert decompose.spectrum(rows, 3).count() == 0
 
 
 def test_gram_of_sides_gaps_and_far_ids(spark, monkeypatch):
