@@ -458,7 +458,7 @@ def _sum_of(f: Factor, of: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
     return _folded(f.blocks, make, f.width)
 
 
-def unmixing(f: Factor, seed: int = 0, rounds: int = 500, tol: float = 1e-6, starts: int = 4) -> np.ndarray:
+def unmixing(f: Factor, seed: int = 0, rounds: int = 500, tol: float = 1e-4, starts: int = 4) -> np.ndarray:
     """Unmixing matrix (components x width) of a factor's columns: symmetric fixed-point iteration with log cosh, unit variance.
 
     Every round is one pass of sums over the rows for all starts that still move. Of several seeded starts the one with the most contrast

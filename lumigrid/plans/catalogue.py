@@ -515,7 +515,8 @@ turn as (
       select t, m, l.i i, r.i j, sum(l.w * r.w * own.v) v from own join rot l on l.a = own.i join rot r on r.a = own.j group by all
       union all select t, m, turn.i, r.i, sum(r.w * turn.v) from turn join rot r on r.a = turn.j where m = 1 group by all) where t < {_ROTATIONS})),
 last as materialized (select * from turn where t = {_ROTATIONS}),
-eig as (select i e, v ev, row_number() over (order by v desc) - 1 k from last where m = 0 and i = j),
+flat as (select i, v from last where m = 0 and i = j),
+eig as materialized (select a.i e, a.v ev, count(b.v) k from flat a left join flat b on b.v > a.v group by 1, 2),
 axis as materialized (select k, i p, v from last join eig on e = j where m = 1)"""
 _FOUR = "kept as (select g, k, sum(x * v) a from cen join axis using (p) where k < 4 group by all), low as (select g, p, sum(a * v) y from kept join axis using (k) group by all), mean as (select p, avg(x) mean from frame group by 1)"
 
