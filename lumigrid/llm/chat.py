@@ -133,6 +133,8 @@ class _Expression:
     def member(self):
         node = self.atom()
         while op := self.take(".", "["):
+            if node == ("name", "messages"):
+                raise TemplateError("messages are read once and in order: they have no members to name")
             if op == ".":
                 node = ("member", node, ("const", self.name()))
             else:

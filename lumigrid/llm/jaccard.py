@@ -514,7 +514,7 @@ def keep_one(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     stays = found.filter("component_id >= doc_id").select(F.col("doc_id").alias("stay"), (F.col("n_shingles") == 0).alias("empty")).distinct()
     rows = docs.join(ids, same).join(stays, ids["id"] == stays["stay"])
     number = F.row_number().over(Window.partitionBy("stay").orderBy("text"))
-    rows = rows.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), "stay", "empty", docs["text"]).withColumn("number", number)
+    rows = rows.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), stays["stay"], stays["empty"], docs["text"]).withColumn("number", number)
     return rows.filter("number = 1 or (empty and doc.doc_id is null)").select("doc.*")
 
 

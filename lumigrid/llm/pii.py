@@ -11,7 +11,9 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -23,13 +25,11 @@ from . import common
 NEAR, ACCEPT = 40, 0.5
 
 #: The base patterns.
-_LOCAL = r"[A-Za-z0-9._%+-]"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-_TAIL = re.compile(_LOCAL + r"+\Z")
 _LOCALS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
@@ -121,11 +121,14 @@ def own_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[str, int, i
         propose("key", *m.span(), None)
     for m in _SSN.finditer(text):
         propose("ssn", *m.span(), None)
-    out, used = [], sorted(taken)
+    base = sorted(taken)
+    starts, furthest = [a for a, _ in base], list(accumulate((b for _, b in base), max))
+    out, free = [], 0
     for s in sorted(found, key=lambda s: (s[1], -s[2])):
-        if all(s[2] <= a or b <= s[1] for a, b in used):
+        before = bisect_left(starts, s[2])  # base spans that begin before it ends
+        if s[1] >= free and not (before and furthest[before - 1] > s[1]):
             out.append(s)
-            used.append(s[1:3])
+            free = s[2]
     return out
 
 
