@@ -7,6 +7,10 @@ import json
 import os
 from typing import Any
 
+from pyarrow import fs
+
+from .sources.seek import system
+
 DECISIONS = ("demux_correction.json", "ica_exclusion.json", "marks.json", "rois.csv")
 
 
@@ -72,6 +76,41 @@ def signature(stage: str, settings: dict, upstream: str = "") -> str:
     return hashlib.sha1(json.dumps([stage, settings, upstream], sort_keys=True, default=str).encode()).hexdigest()
 
 
+class Manifest:
+    """Which tables of a folder are whole: a row per stage with its signature and where its tables are. It is replaced as one file, after them."""
+
+    NAME = "manifest.json"
+
+    def __init__(self, folder: str):
+        self.files, self.at = system(folder.rstrip("/"))
+        self.path = f"{self.at}/{self.NAME}"
+
+    def read(self) -> dict[str, dict]:
+        if self.files.get_file_info(self.path).type != fs.FileType.File:
+            return {}
+        with self.files.open_input_file(self.path) as f:
+            return json.loads(f.read())
+
+    def put(self, stage: str, entry: dict) -> None:
+        self.files.create_dir(self.at)
+        now = self.read() | {stage: entry}
+        with self.files.open_output_stream(f"{self.path}.part") as f:
+            f.write(json.dumps(now, indent=1).encode())
+        self.files.move(f"{self.path}.part", self.path)
+
+
+def contents(paths: list[str]) -> str:
+    """A digest of files as they are: their names in order, sizes, times of change and first bytes."""
+    out = []
+    for path in paths:
+        files, at = system(path)
+        info = files.get_file_info(at)
+        with files.open_input_file(at) as f:
+            head = hashlib.sha1(f.read(4096)).hexdigest()
+        out.append([info.base_name, info.size, info.mtime_ns, head])
+    return hashlib.sha1(json.dumps(out).encode()).hexdigest()
+
+
 def delete_derived(folder: str) -> list[str]:
     """Removes everything but decisions and configuration; returns what went."""
     import shutil
