@@ -292,15 +292,46 @@ def test_fingerprint_counts_repeats_and_tells_null_from_empty(spark):
     assert of((None, 1)) != of(("", 1)) and of(("x", 1), ("x", 1))[1] != of(("y", 1), ("y", 1))[1]
 
 
-def test_registration_recovers_shifts(spark):
-    rng = np.random.default_rng(9)
-    base = np.abs(np.fft.ifft2(np.fft.fft2(rng.normal(size=(32, 32))) * np.exp(-8 * (np.abs(np.fft.fftfreq(32))[:, None] + np.abs(np.fft.fftfreq(32))[None])))) * 100
+def _phase_shift(image, row, col):
+    """In double precision, by the whole spectrum."""
+    h, w = image.shape
+    ramp = np.exp(-2j * np.pi * (np.fft.fftfreq(h)[:, None] * row + np.fft.fftfreq(w)[None, :] * col))
+    return np.abs(np.fft.ifft2(np.fft.fft2(image) * ramp))
+
+
+def _smooth_image(rng, h, w):
+    return np.abs(np.fft.ifft2(np.fft.fft2(rng.normal(size=(h, w))) * np.exp(-8 * (np.abs(np.fft.fftfreq(h))[:, None] + np.abs(np.fft.fftfreq(w))[None])))) * 100
+
+
+@pytest.mark.parametrize("h, w", [(32, 32), (31, 40), (33, 27)])
+def test_registration_recovers_shifts(spark, h, w):
+    base = _smooth_image(np.random.default_rng(9), h, w)
     moves = [(0.0, 0.0), (3.0, -2.0), (1.5, 0.25)]
-    rows = [(i, 32, 32, register.apply_shift(np.fft.fft2(base), -r, -c).ravel().tolist()) for i, (r, c) in enumerate(moves)]
-    out = register.register(spark.createDataFrame(rows, "g long, h int, w int, pix array<double>"), base, 20).orderBy("g").collect()
-    for row, (r, c) in zip(out, moves, strict=True):
+    rows = [(i, h, w, _phase_shift(base, -r, -c).ravel().tolist()) for i, (r, c) in enumerate(moves)]
+    df = spark.createDataFrame(rows, "g long, h int, w int, pix array<double>")
+    out = register.register(df, base, 20).orderBy("g").collect()
+    for row, (r, c), source in zip(out, moves, rows, strict=True):
         assert abs(row.shift_r - r) <= 0.05 and abs(row.shift_c - c) <= 0.05
-    np.testing.assert_allclose(np.array(out[1].pix).reshape(32, 32), base, atol=1e-6)
+        np.testing.assert_allclose(np.array(row.pix).reshape(h, w), _phase_shift(np.array(source[3]).reshape(h, w), row.shift_r, row.shift_c), atol=2e-2)
+    np.testing.assert_allclose(np.array(out[1].pix).reshape(h, w), base, atol=1e-3)
+    with pytest.raises(Exception, match="the template has"):
+        register.register(df, base[:-1], 20).collect()
+
+
+@pytest.mark.parametrize("factor", [50, 500])
+def test_refinement_equals_the_whole_grid(factor):
+    """On full-size frames: the best of all grid points, in double precision."""
+    rng = np.random.default_rng(factor)
+    base = _smooth_image(rng, 540, 640) * 20
+    t = register.Template(base)
+    for move in ((2.31, -7.774), (-0.4, 0.062)):
+        frame = np.round(_phase_shift(base, *move))
+        got = t.shift_of(np.fft.rfft2(frame.astype(np.float32)), factor)
+        cross = np.fft.fft2(base) * np.conj(np.fft.fft2(frame))
+        near = [np.round(v * factor) / factor + np.arange(-3, 4) / factor for v in (-move[0], -move[1])]
+        score = np.abs(np.exp(2j * np.pi * np.outer(near[0], np.fft.fftfreq(540))) @ cross @ np.exp(2j * np.pi * np.outer(np.fft.fftfreq(640), near[1])))
+        i, j = np.unravel_index(score.argmax(), score.shape)
+        assert abs(got[0] - near[0][i]) <= 1.01 / factor and abs(got[1] - near[1][j]) <= 1.01 / factor
 
 
 def test_content_consistency_flags_a_mixed_file(spark):
