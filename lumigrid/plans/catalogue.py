@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import naming
-from ..operators import atlas, corr, decompose, demux, dff, filters, frames, geometry, qc, register, roi
+from ..operators import atlas, atlas_build, corr, decompose, demux, dff, filters, frames, geometry, qc, register, roi
 from . import fixtures as V
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -375,9 +375,9 @@ def _mask(spark) -> DataFrame:
     return roi.discs(V.rois(spark), 8, 8)
 
 
-@query(f"with {V.MASK} select roi, r, c from mask")
+@query(f"with {V.SPOT_MASK} select roi, r, c from mask")
 def roi_masks(spark, d):
-    return _mask(spark)
+    return roi.discs(V.spots(spark, d), 8, 8)
 
 
 _SIGNAL = f"{V.FRAME}, {V.MASK}, signal as (select roi, g, avg(x) v from frame join mask using (r, c) group by 1, 2)"
@@ -392,9 +392,9 @@ def roi_signals_source(spark, d):
     return _signal(spark, d).select("roi", "g", _r("v", "v"))
 
 
-@query(f"with {V.MASK}, {V.TAPS} select roi, tap.r, tap.c, round(sum(w), 6) + 0.0 w from mask join tap on mask.r = r2 and mask.c = c2 group by 1, 2, 3")
+@query(f"with {V.SPOT_MASK}, {V.TAPS} select roi, tap.r, tap.c, round(sum(w), 6) + 0.0 w from mask join tap on mask.r = r2 and mask.c = c2 group by 1, 2, 3")
 def roi_weights_adjoint(spark, d):
-    return geometry.fold_weights(_mask(spark), V.PULL, V.GRID, V.SHAPE).select("roi", "r", "c", _r("w", "w"))
+    return geometry.fold_weights(roi.discs(V.spots(spark, d), 8, 8), V.PULL, V.GRID, V.SHAPE).select("roi", "r", "c", _r("w", "w"))
 
 
 @query(f"with {V.FRAME}, {V.MASK}, {V.TAPS}, w as (select roi, tap.r, tap.c, sum(w) w from mask join tap on mask.r = r2 and mask.c = c2 group by 1, 2, 3), k as (select roi, count(*) k from mask group by 1) select w.roi, g, round(sum(x * w / k), 6) + 0.0 v from frame join w using (r, c) join k on k.roi = w.roi group by 1, 2")
@@ -408,9 +408,9 @@ def roi_signals_wide(spark, d):
     return roi.wide(_signal(spark, d), names, 10.0).select(_r("time_s", "time_s"), *(_r(n, n) for n in names))
 
 
-@query(f"with {V.ROI} select case when name like '%\\_R' escape '\\' then name[:-3] || '_L' when name like '%\\_L' escape '\\' then name[:-3] || '_R' else name || '_contra' end as \"name\", cast(7 - x as bigint) x, cast(y as bigint) y, cast(size as bigint) size from roi")
+@query(f"with {V.SPOTS} select case when name like '%\\_R' escape '\\' then name[:-3] || '_L' when name like '%\\_L' escape '\\' then name[:-3] || '_R' else name || '_contra' end as \"name\", cast(7 - x as bigint) x, cast(y as bigint) y, cast(size as bigint) size from roi")
 def roi_contralateral(spark, d):
-    return roi.contralateral(V.rois(spark), 8)
+    return roi.contralateral(V.spots(spark, d), 8)
 
 
 @query(f"with {V.FRAME}, {V.TAPS}, w as (select g, r2, c2, sum(x * w) x from frame join tap using (r, c) group by 1, 2, 3), grid as (select g, r2, c2 from (select distinct g from frame), (select unnest(range(12)) r2), (select unnest(range(12)) c2)) select g, cast(r2 as bigint) r, cast(c2 as bigint) c, round(coalesce(x, 0), 6) + 0.0 x from grid left join w using (g, r2, c2)")
@@ -700,12 +700,15 @@ def input_preview(spark, d):
     return head.select("file_idx", "g", "ch", naming.channel_token(F.col("ch"), F.get(names, F.col("ch")), F.get(roles, F.col("ch"))).alias("token"))
 
 
-@query(f"with {V.ROI}, custom as (select name || ' ' name, x + 1 x, y from roi where name in ('A_R', 'B_L')) select n.roi, cast(coalesce(c.y, a.y) as bigint) r, cast(coalesce(c.x, a.x) as bigint) c from (select unnest(['A_R', 'B_L', 'A_L', 'none']) roi) n left join custom c on trim(c.name) = n.roi left join roi a on a.name = n.roi")
+@query(
+    f"with {V.SPOTS}, custom as (select name || ' ' as \"name\", x + 1 x, y from roi where size > 4), names as (select ' ' || name roi from roi where size <> 2 union all select n_name from nation) "
+    "select trim(n.roi) roi, cast(coalesce(c.y, a.y) as bigint) r, cast(coalesce(c.x, a.x) as bigint) c from names n left join custom c on trim(c.name) = trim(n.roi) left join (select * from roi where size <> 6) a on a.name = trim(n.roi)"
+)
 def roi_coordinates(spark, d):
-    rois = V.rois(spark)
-    custom = rois.filter(F.col("name").isin("A_R", "B_L")).select(F.concat("name", F.lit(" ")).alias("name"), (F.col("x") + 1).alias("x"), "y", "size")
-    names = spark.createDataFrame([("A_R",), (" B_L",), ("A_L",), ("none",)], "roi string")
-    return roi.coordinates(names, custom, rois)
+    rois = V.spots(spark, d)
+    custom = rois.filter("size > 4").select(F.concat("name", F.lit(" ")).alias("name"), (F.col("x") + 1).alias("x"), "y", "size")
+    names = rois.filter("size <> 2").select(F.concat(F.lit(" "), "name").alias("roi")).unionByName(V.table(spark, d, "nation").select(F.col("n_name").alias("roi")))
+    return roi.coordinates(names, custom, rois.filter("size <> 6"))
 
 
 @query(f"with {V.FRAME}, v as (select quantile_cont(abs(x - 1000), 0.99) q from frame) select round(case when q < 1e-6 then 1.0 else q end, 6) + 0.0 half_range from v")
@@ -720,7 +723,7 @@ def area_names(spark, d):
     return p.select("p_partkey", atlas.without_layer(F.concat("p_brand", F.lit("2/3"))).alias("area"), naming.embedded_number(F.col("p_brand")).alias("n"))
 
 
-@query(f"with {V.FRAME}, {V.ROI}, w as (select * from (values (0.2989, 0), (0.5870, 1), (0.1140, 2)) t(k, ch)) select g // 3 t, p, round(sum(x * k), 6) + 0.0 gray from frame join w on g % 3 = ch where g // 3 < (select max(g) // 3 from frame) group by 1, 2")
+@query(f"with {V.FRAME}, w as (select * from (values (0.2989, 0), (0.5870, 1), (0.1140, 2)) t(k, ch)) select g // 3 t, p, round(sum(x * k), 6) + 0.0 gray from frame join w on g % 3 = ch where g // 3 < (select max(g) // 3 from frame) group by 1, 2")
 def gray_map(spark, d):
     t, ch = F.floor(F.col("g") / 3), F.pmod("g", F.lit(3))
     last = V.table(spark, d, "embeddings").agg(F.floor(F.max("vec_id") / 3)).first()[0]
@@ -729,9 +732,9 @@ def gray_map(spark, d):
     return rgb.select("t", "p", _r(frames.luminance(F.col("r"), F.col("g"), F.col("b")), "gray"))
 
 
-@query(f"with {V.ROI} select \"name\", cast(x as bigint) x, cast(y as bigint) y, cast(size as bigint) size from roi union all select case when name like '%\\_R' escape '\\' then name[:-3] || '_L' when name like '%\\_L' escape '\\' then name[:-3] || '_R' else name || '_contra' end, cast(7 - x as bigint), cast(y as bigint), cast(size as bigint) from roi")
+@query(f"with {V.SPOTS} select \"name\", cast(x as bigint) x, cast(y as bigint) y, cast(size as bigint) size from roi union all select case when name like '%\\_R' escape '\\' then name[:-3] || '_L' when name like '%\\_L' escape '\\' then name[:-3] || '_R' else name || '_contra' end, cast(7 - x as bigint), cast(y as bigint), cast(size as bigint) from roi")
 def both_hemispheres(spark, d):
-    return atlas.both_hemispheres(V.rois(spark), 8)
+    return atlas.both_hemispheres(V.spots(spark, d), 8)
 
 
 @query()
@@ -739,3 +742,77 @@ def content_slip_qc(spark, d):
     px = frames.decimate(frames.head_per_file(V.frame(spark, d), 8), 2)
     found = qc.clusters(qc.embed(px.select("g", "p", "x")), 2)
     return qc.consistency(found.select(F.floor(F.col("g") / 50).alias("file_idx"), F.pmod("g", F.lit(2)).alias("ch"), F.col("cluster").cast("long").alias("cluster")))
+
+
+# --- atlas build -------------------------------------------------------------------------------------
+
+_TREE = "tree as (select p_partkey + 1 node, (p_partkey + 1) // 3 parent, p_name as \"name\" from part), up as (select node, node ancestor, 0::bigint distance from tree union all select up.node, tree.parent, distance + 1 from up join tree on tree.node = up.ancestor where tree.parent in (select node from tree))"
+
+
+def _tree(spark, d) -> DataFrame:
+    return V.table(spark, d, "part").select((F.col("p_partkey") + 1).alias("node"), F.floor((F.col("p_partkey") + 1) / 3).alias("parent"), F.col("p_name").alias("name"))
+
+
+@query(f"with recursive {_TREE} select * from up")
+def structure_closure(spark, d):
+    return atlas_build.closure(_tree(spark, d))
+
+
+@query(
+    f"with recursive {_TREE}, inside as (select distinct node from up where ancestor in (2, 7)), v as (select l_suppkey ap, l_linenumber ml, l_quantity dv, l_partkey + 1 idx, inside.node is not null hit from lineitem left join inside on inside.node = l_partkey + 1) "
+    "select ap, ml, coalesce(arg_min(idx, (dv, idx)) filter (hit), 0) idx from v group by 1, 2"
+)
+def atlas_surface(spark, d):
+    voxels = V.table(spark, d, "lineitem").select(F.col("l_suppkey").alias("ap"), F.col("l_linenumber").alias("ml"), F.col("l_quantity").alias("dv"), (F.col("l_partkey") + 1).alias("idx"))
+    inside = atlas_build.members(atlas_build.closure(_tree(spark, d)), atlas_build.named(_tree(spark, d), [2, 7]))
+    return atlas_build.surface(voxels, inside)
+
+
+_LABELS = "px as (select c_custkey // 32 r, c_custkey % 32 c, case when c_nationkey % 5 = 0 then '' else c_mktsegment || c_nationkey % 7 end label from customer)"
+
+
+def _labels(spark, d) -> DataFrame:
+    k = F.col("c_custkey")
+    label = F.when(F.col("c_nationkey") % 5 == 0, "").otherwise(F.concat("c_mktsegment", (F.col("c_nationkey") % 7).cast("string")))
+    return V.table(spark, d, "customer").select(F.floor(k / 32).alias("r"), (k % 32).cast("long").alias("c"), label.alias("label"))
+
+
+_REGIONS = f"{_LABELS}, area as (select label, 2 * row_number() over (order by count(*) desc, min(r * 32 + c)) f from px where label <> '' group by label having count(*) >= 15)"
+
+
+@query(f"with {_REGIONS} select r, c, coalesce(f + (c >= 15.5)::bigint, 1) region_id from px left join area using (label)")
+def atlas_regions(spark, d):
+    return atlas_build.regions(_labels(spark, d), 32)[0]
+
+
+@query(f"with {_REGIONS} select f region_id, label as \"name\" from area union all select f + 1, label || '_R' from area union all select 1, 'background'")
+def atlas_region_names(spark, d):
+    return atlas_build.regions(_labels(spark, d), 32)[1]
+
+
+@query(f"with {V.SPOT_MASK}, m as (select mask.r, mask.c, cast(substr(regexp_extract(roi, '[0-9]+'), -1) as int) b from mask) select r, c, bit_or(1::bigint << b) bits from m group by 1, 2")
+def mask_union(spark, d):
+    masks = roi.discs(V.spots(spark, d), 8, 8)
+    return atlas_build.mask_bits(masks.select(F.regexp_extract("roi", "([0-9])(_|$)", 1).cast("int").alias("bit"), "r", "c"))
+
+
+def _turned(k: int, a: str, b: str, degrees: float) -> str:
+    """One rotation in the plane of two axes, as SQL: volume k to volume k + 1."""
+    cos, sin = atlas_build._turn(degrees)
+    size = {"ap": "(select max(vec_id) + 1 from embeddings)", "dv": "8", "ml": "8"}
+    rest = next(x for x in ("ap", "dv", "ml") if x not in (a, b))
+    return (
+        f"p{k} as (select n, m, u i, w j, (n - 1) / 2.0::double hi, (m - 1) / 2.0::double hj from (select {size[a]} n, {size[b]} m), range({size[a]}) t1(u), range({size[b]}) t2(w)), "
+        f"q{k} as (select i, j, n, m, ({cos!r})::double * i + ({sin!r})::double * j + (hi - (({cos!r})::double * hi + ({sin!r})::double * hj)) y, ({-sin!r})::double * i + ({cos!r})::double * j + (hj - (({-sin!r})::double * hi + ({cos!r})::double * hj)) x from p{k}), "
+        f"v{k + 1} as (select i {a}, j {b}, {rest}, idx from v{k} join q{k} on v{k}.{a} = cast(floor(y + 0.5) as bigint) and v{k}.{b} = cast(floor(x + 0.5) as bigint) where y between 0 and n - 1 and x between 0 and m - 1)"
+    )
+
+
+@query(f"with v0 as (select vec_id ap, cast(p // 8 as bigint) dv, cast(p % 8 as bigint) ml, cast(label * 64 + p as bigint) idx from embeddings, (select unnest(range(64)) p)), {_turned(0, 'dv', 'ml', 20.0)}, {_turned(1, 'ap', 'dv', -1.5)}, {_turned(2, 'ap', 'ml', 180.0)} select ap, dv, ml, idx from v3")
+def volume_tilt(spark, d):
+    """Frames stacked to a volume, rotated about its three axes."""
+    rows = V.table(spark, d, "embeddings")
+    n = rows.agg(F.max("vec_id") + 1).first()[0]
+    p = F.col("p").cast("long")
+    voxels = rows.select(F.col("vec_id").alias("ap"), "label", F.posexplode("embedding").alias("p", "v")).select("ap", F.floor(p / 8).alias("dv"), (p % 8).alias("ml"), (F.col("label") * 64 + p).cast("long").alias("idx"))
+    return atlas_build.tilt(voxels, (n, 8, 8), 20.0, -1.5, 180.0)

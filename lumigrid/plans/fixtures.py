@@ -42,6 +42,13 @@ def rois(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(ROIS, "name string, x long, y long, size long")
 
 
+def spots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A region per supplier: a right one, a left one or one of neither side."""
+    k = F.col("s_suppkey")
+    side = F.when(k % 3 == 0, "_R").when(k % 3 == 1, "_L").otherwise("")
+    return table(spark, sf_dir, "supplier").select(F.concat(F.lit("S"), k.cast("string"), side).alias("name"), (F.col("s_nationkey") % 8).cast("long").alias("x"), (k % 8).cast("long").alias("y"), (k % 6 + 1).cast("long").alias("size"))
+
+
 def bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Traces per key: (k, t, s, d)."""
     return table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("k"), F.datediff("l_shipdate", F.lit("1992-01-01").cast("date")).cast("long").alias("t"), F.col("l_extendedprice").alias("s"), F.col("l_quantity").alias("d"))
@@ -59,6 +66,8 @@ MEAN = "mean as (select event_id g, cast(date_diff('day', timestamp '2024-01-01'
 FILES = MEAN + ", files as (select file_idx, count(*) n from mean group by 1)"
 ROI = "roi as (select * from (values ('A_R', 6, 2, 3), ('A_L', 1, 2, 3), ('B_R', 5, 5, 4), ('B_L', 2, 5, 4), ('EDGE', 0, 7, 5)) t(name, x, y, size))"
 MASK = ROI + ", mask as (select name roi, cast(r as bigint) r, cast(c as bigint) c from roi, (select unnest(range(8)) r), (select unnest(range(8)) c) where (r - y) * (r - y) + (c - x) * (c - x) <= greatest(size / 2.0, 0.5) * greatest(size / 2.0, 0.5))"
+SPOTS = "roi as (select 'S' || s_suppkey || case s_suppkey % 3 when 0 then '_R' when 1 then '_L' else '' end as \"name\", s_nationkey % 8 x, s_suppkey % 8 y, s_suppkey % 6 + 1 size from supplier)"
+SPOT_MASK = SPOTS + ", mask as (select name roi, cast(r as bigint) r, cast(c as bigint) c from roi, (select unnest(range(8)) r), (select unnest(range(8)) c) where (r - y) * (r - y) + (c - x) * (c - x) <= greatest(size / 2.0, 0.5) * greatest(size / 2.0, 0.5))"
 BULK = "bulk as (select l_suppkey k, cast(date_diff('day', timestamp '1992-01-01', l_shipdate) as bigint) t, l_extendedprice s, l_quantity d from lineitem)"
 TAPS = (
     "place as (select r2, c2, 0.9::double * c2 - 0.1::double * r2 + 0.5::double x, 0.1::double * c2 + 0.9::double * r2 - 0.3::double y from (select unnest(range(12)) r2), (select unnest(range(12)) c2)), "
