@@ -9,9 +9,11 @@ uses a private folder; on a cluster it is an error.
 from __future__ import annotations
 
 import atexit
+import ctypes
 import gc
 import os
 import shutil
+import sys
 import tempfile
 import uuid
 import weakref
@@ -76,6 +78,20 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def trim() -> None:
+    """Gives back what this Python worker still holds from earlier tasks: workers live on between stages, idle ones with all they ever took.
+
+    Tokenizers go with their stores of units; whoever needs one loads it again.
+    """
+    held = sys.modules.get(f"{__package__}.tokens")
+    if held is not None:
+        held.forget()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if sys.platform == "linux" and hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 #: Bits of the filter that ``sift`` broadcasts: 131,072 rows of 64 bits whatever the input's size.
 SIFT_BITS = 1 << 23
 

@@ -229,6 +229,7 @@ def mixed(docs: DataFrame) -> DataFrame:
     rows = rows.join(chosen, same).select(*(F.col(f"doc_{i}").alias(c) for i, c in enumerate(docs.columns)), F.explode("parts").alias(taken))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.trim()
         for batch in common.chunks(batches):
             names = batch.schema.names[:-1]
             texts = batch.column(at := names.index("text")).to_pylist()

@@ -191,6 +191,7 @@ def redact(docs: DataFrame) -> DataFrame:
     common.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.trim()
         for part in common.chunks(batches):
             column = part.schema.get_field_index("text")
             digit, at, key = _candidates(part.column(column))

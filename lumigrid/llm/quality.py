@@ -159,6 +159,7 @@ def keep(docs: DataFrame) -> DataFrame:
     language = docs.schema.names.index("lang") if "lang" in docs.columns else -1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common.trim()
         for part in common.chunks(batches, size=1 << 20):
             foreign = _foreign(part.column(language).cast(pa.string())) if language >= 0 else np.zeros(part.num_rows, bool)
             yield part.filter(pa.array(_verdict(measure(part.column(part.schema.get_field_index("text"))), foreign)[0]))

@@ -167,3 +167,8 @@ def encoder(path: str = VOCABULARY) -> UnitEncoder:
     if path not in _encoders:
         _encoders[path] = UnitEncoder(path)
     return _encoders[path]
+
+
+def forget() -> None:
+    """Drops this worker's encoders."""
+    _encoders.clear()
