@@ -128,10 +128,16 @@ def interleave(px: DataFrame, channels: int) -> DataFrame:
     return px.withColumn("g", F.col("t") * channels + F.col("ch"))
 
 
-def merge_parts(parts: DataFrame) -> DataFrame:
-    """Parts merged by a stable order of source_index (ties: part, place in it); adds the merged index g."""
-    order = Window.orderBy("source_index", "part", "local")
-    return parts.withColumn("g", (F.row_number().over(order) - 1).cast("long"))
+def merge_parts(parts: DataFrame, block: int = 1 << 16) -> DataFrame:
+    """Parts merged by a stable order of source_index (ties: part, place in it); adds the merged index g.
+
+    Ranks inside blocks of source_index, and a running sum over a row per block.
+    """
+    own = parts.withColumn("_b", F.floor(F.col("source_index") / block))
+    before = F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1))
+    base = own.groupBy("_b").agg(F.count(F.lit(1)).alias("_n")).select("_b", F.coalesce(before, F.lit(0)).alias("_base"))
+    rank = F.row_number().over(Window.partitionBy("_b").orderBy("source_index", "part", "local")) - 1
+    return own.withColumn("_r", rank).join(base, "_b").withColumn("g", (F.col("_r") + F.col("_base")).cast("long")).select(*parts.columns, "g")
 
 
 def average_sources(px: DataFrame) -> DataFrame:

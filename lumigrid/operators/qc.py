@@ -3,12 +3,10 @@
 from __future__ import annotations
 
 from pyspark.ml.clustering import KMeans
-from pyspark.ml.linalg import Vectors, VectorUDT
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..shipping import ship
 from . import decompose
 
 
@@ -22,14 +20,16 @@ def normalise(px: DataFrame) -> DataFrame:
 def embed(px: DataFrame) -> DataFrame:
     """(g, e1, e2): the first two principal scores of the normalised frames."""
     r = decompose.pca(normalise(px).withColumnRenamed("z", "x"), 2)
-    return px.sparkSession.createDataFrame([(int(g), float(r.temporal[0, i]), float(r.temporal[-1, i])) for i, g in enumerate(r.frames)], "g long, e1 double, e2 double")
+    if not len(r.singular):  # no variance: all frames are alike
+        return px.select("g", F.lit(0.0).alias("e1"), F.lit(0.0).alias("e2")).distinct()
+    r.spatial.drop()
+    first, last = float(r.singular[0]), float(r.singular[-1])
+    return r.temporal.rows().select(F.col("id").alias("g"), (F.element_at("v", 1) * first).alias("e1"), (F.element_at("v", -1) * last).alias("e2"))
 
 
 def clusters(embedding: DataFrame, k: int, seed: int = 0) -> DataFrame:
     """Adds ``cluster``."""
-    ship(embedding.sparkSession)
-    to_vector = F.udf(lambda a: Vectors.dense(a), VectorUDT())
-    data = embedding.withColumn("features", to_vector(F.array("e1", "e2").cast(T.ArrayType(T.DoubleType()))))
+    data = embedding.withColumn("features", array_to_vector(F.array(F.col("e1").cast("double"), F.col("e2").cast("double"))))
     return KMeans(k=k, seed=seed).fit(data).transform(data).select(*embedding.columns, F.col("prediction").alias("cluster"))
 
 
