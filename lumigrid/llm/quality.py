@@ -21,9 +21,9 @@ from pyspark.sql import functions as F
 
 from . import common, words
 
-#: Common words of the languages.
+#: Common words of the languages, in the order whose ranks the references use.
 COMMON = {
-    "en": "the of and to in is that it for was on are as with his they at be this from or had by not but what all were we when your can said there an which she do how their if will up about then them these so her would him has more who did its than been that a he you have i",
+    "en": "the of and to a in is that it for was on are as with his they at be this from or had by not but what all were we when your can said there an which she do how their if will up about then them these so her would him has more who did its than been he you have i",
     "de": "der die und in den von zu das mit sich des auf für ist im dem nicht ein eine als auch es an werden aus er hat dass sie nach wird bei einer um am sind noch wie einem über einen so zum war haben nur oder aber vor zur bis mehr durch man sein wurde",
     "fr": "de la le et les des en un du une que est pour qui dans par plus pas au sur ne se ce il sont avec ou son lui nous comme mais on leur elle été cette ces si aux même ses sans être deux fait entre",
     "es": "de la que el en y a los se del las un por con no una su para es al lo como más o pero sus le ha me si sin sobre este ya entre cuando todo esta ser son dos también fue había era muy años hasta desde",
@@ -35,8 +35,6 @@ LETTERS = {"en": (0.305, 0.49), "de": (0.305, 0.50), "fr": (0.37, 0.42), "es": (
 REST = (0.02, 0.004, 0.16, 0.004, 0.011, 0.011, 0.001, 0.006, 0.0, 0.0)
 #: Share of the common words and power of their rank, in texts full of names and terms and in running prose.
 STYLES = ((0.24, 1.2), (0.5, 1.0))
-#: The ranks are those of ``COMMON``, except for a language's words listed here.
-FIRST = {"en": "the of and to a in is that it"}
 _DUP = 8
 
 _CLASSES = 12
@@ -105,8 +103,8 @@ def _word_histogram(listed: np.ndarray, n_words: np.ndarray) -> np.ndarray:
 def references() -> tuple[np.ndarray, np.ndarray]:
     """Reference histograms: one of characters for each language, and one of words for each language and style."""
     words_of = []
-    for name, text in COMMON.items():
-        ranked = list(dict.fromkeys(f"{FIRST.get(name, '')} {text}".split()))
+    for text in COMMON.values():
+        ranked = text.split()
         for share, power in STYLES:
             h = np.zeros(len(_LISTED) + 1)
             rate = np.arange(1, len(ranked) + 1) ** -power
