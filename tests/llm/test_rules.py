@@ -1,6 +1,7 @@
 """Quality, licenses, personal data, mixing, chat and media against plain Python."""
 
 import hashlib
+import pathlib
 import random
 import re
 import zlib
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from lumigrid.llm import chat, flac, licenses, media, mixing, pii, quality
+from lumigrid.llm import chat, flac, license_texts, licenses, media, mixing, pii, quality
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -88,33 +89,108 @@ def test_licenses(odd, odd_rows, small, small_rows):
         assert all(set(filter(None, r.base_labels.split(","))) <= set(r.labels.split(",")) and 0 <= r.score <= 1 for r in out)
 
 
+def _labels(spark, texts, **more):
+    return {r.doc_id: r for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **more).collect()}
+
+
+def _template(label, name):
+    return next(t for x, n, t in license_texts.TEXTS if (x, n) == (label, name))
+
+
 def test_license_labels_do_not_cross(spark):
-    texts = ["Released under the MIT license.", "The film was released under a new name after the driver lost the license he had", "released under the bsd license", licenses.TEMPLATES["lgpl"][0]]
-    got = {r.doc_id: r.labels for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
-    assert got[0] == "mit" and got[1] == "" and got[2] == "bsd" and got[3] == "gpl,lgpl"  # the base phrase "general public license" is in an LGPL notice
+    want = {
+        "Released under the MIT license.": "mit",
+        "The film was released under a new name after the driver lost the license he had": "",
+        "released under the bsd license": "bsd",
+        "Under the old rules the bsd kernel team kept the license file elsewhere": "",
+        "The BSD vendors released it in spring under the license": "",
+        "He studied at MIT and was released under the terms he liked, then wrote about the license of his dog": "",
+        "Apache License Version 2.0": "apache-2.0",
+        "the Apache License of the project": "apache",
+        "Licensed under the Mozilla Public License 2.0": "mpl-2.0",
+        "GNU AGPL v3": "agpl",
+        "SPDX-License-Identifier: MIT": "mit",
+        "SPDX-License-Identifier: GPL-2.0-only": "gpl",
+        "SPDX-License-Identifier: CC-BY-NC-SA-4.0": "cc-by,cc-by-nc-sa",  # the base phrase "cc by" stays
+        "Licensed under the GNU Lesser General Public License version 3": "gpl,lgpl",  # so does "general public license"
+        _template("lgpl", "notice"): "gpl,lgpl",
+        _template("cc-by", "notice"): "cc-by",
+        _template("cc-by-nc-sa", "notice"): "cc-by-nc-sa",
+        _template("isc", "text"): "isc",
+        _template("mit", "text"): "mit",
+        _template("bsd", "three clauses"): "bsd",
+        _template("gpl", "notice") + " " + _template("lgpl", "notice"): "gpl,lgpl",
+        _template("agpl", "notice"): "agpl,gpl",
+    }
+    got = _labels(spark, want)
+    assert {t: got[i].labels for i, t in enumerate(want)} == want
+
+
+def test_whole_licenses_of_this_machine(spark):
+    folder = pathlib.Path("/usr/share/common-licenses")
+    if not folder.is_dir():
+        pytest.skip("no license texts here")
+    known = {"Apache-2.0": "apache-2.0", "Artistic": "artistic", "BSD": "bsd", "CC0-1.0": "cc0", "GFDL-1.2": "gfdl", "GFDL-1.3": "gfdl", "GPL-1": "gpl", "GPL-2": "gpl", "GPL-3": "gpl", "LGPL-2": "lgpl", "LGPL-2.1": "lgpl", "LGPL-3": "lgpl", "MPL-1.1": "mpl-1.1", "MPL-2.0": "mpl-2.0"}
+    files = [n for n in known if (folder / n).is_file()]
+    whole = [(folder / n).read_text(errors="replace") for n in files]
+    got = _labels(spark, whole)
+    assert all(known[n] in got[i].labels.split(",") for i, n in enumerate(files))
+    # whole licenses as templates: cut in pieces, each found at its place
+    got = _labels(spark, ["before " * 300 + t for t in whole], templates=[(known[n], n, t) for n, t in zip(files, whole, strict=True)])
+    for i, n in enumerate(files):
+        pieces = -(-len(licenses.split(whole[i])) // licenses.PIECE)
+        want = {f"{known[n]}: {n}" + (f", piece {k + 1}" if pieces > 1 else "") for k in range(pieces)}
+        assert {b.template for b in got[i].blocks if b.share == 1.0} >= want
 
 
 def test_license_join_is_exact(spark):
-    """Labels equal those of comparing every block with every template."""
+    """Blocks, shares, labels and scores equal those of comparing every block with every template."""
     rnd = random.Random(3)
-    texts = []
-    for texts_of in licenses.TEMPLATES.values():
-        for t in texts_of:
-            w = t.split()
-            for drop in (0, 0.1, 0.3):
-                kept = [x for x in w if rnd.random() >= drop]
-                texts.append(" ".join(["filler", "the", "of"] * rnd.randint(0, 60) + kept + ["more", "and"] * rnd.randint(0, 60)))
-    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    got = {r.doc_id: set(filter(None, r.labels.split(","))) - set(licenses.PHRASES.values()) for r in licenses.scan(docs).collect()}
-    for i, text in enumerate(texts):
-        w, want = text.split(), set()
-        for b in range(0, max(len(w), 1), licenses._LONGEST):
-            block = set(w[b : b + 2 * licenses._LONGEST])
-            for label, s in licenses._SETS:
-                named = set(licenses.NAMED.get(label, [])) & set(s)
-                if len(block & set(s)) >= licenses.CONTAINMENT * len(s) - 1e-9 and named <= block:
-                    want.add(label)
-        assert got[i] == want - set(licenses.PHRASES.values())
+    texts = [None, "", "license"]
+    for _, _, t in license_texts.TEXTS:
+        w = licenses.split(t)
+        for drop in (0, 0.1, 0.25, 0.4):
+            kept = [x for x in w if rnd.random() >= drop]
+            texts.append(" ".join(["filler", "the", "of"] * rnd.randint(0, 60) + kept + ["more", "and"] * rnd.randint(0, 60)))
+    texts += [" ".join(rnd.sample(texts[3:], 5)), texts[9]]
+    templates = [(label, f"{label}: {name}", licenses.split(t)) for label, name, t in license_texts.TEXTS]
+    for containment in (0.8, 0.6):
+        got = _labels(spark, texts, containment=containment)
+        for i, text in enumerate(texts):
+            w, want = licenses.split(text or ""), {}
+            for label, name, t in templates:
+                for b in range(0, len(w), len(t)):
+                    block = w[b : b + 2 * len(t)]
+                    shared = len(set(block) & set(t))
+                    if shared >= containment * len(set(t)) - 1e-9:
+                        want[name, b] = (label, len(block), shared / len(set(t)), set(t))
+            assert {(b.template, b.first_word): (b.label, b.n_words, b.share) for b in got[i].blocks} == {k: v[:3] for k, v in want.items()}
+            phrases = _phrases(text)[4]
+            labels, titles, taken = set(filter(None, phrases.split(","))), [], set()
+            for title, label in sorted(licenses.titles().items(), key=lambda x: -len(x[0].split())):
+                p = title.split()
+                at = {j for j in range(len(w)) if w[j : j + len(p)] == p} - taken
+                taken |= at
+                titles += [label] * len(at)
+            for (_, b), (label, n, share, t) in want.items():
+                rivals = [v for (_, c), v in want.items() if v[0] != label and licenses.family(v[0]) == licenses.family(label) and c < b + n and b < c + v[1]]
+                if not any(v[2] > share + 1e-12 or (abs(v[2] - share) < 1e-12 and t < v[3]) for v in rivals):
+                    labels.add(label)
+            labels |= set(titles)
+            labels -= {x for x in ("apache", "mpl") if any(y.startswith(x + "-") for y in labels)}
+            assert got[i].labels == ",".join(sorted(labels))
+            assert got[i].score == (1.0 if phrases or titles else max((v[2] for v in want.values()), default=0.0))
+
+
+def test_license_scan_of_a_long_text_and_settings(spark):
+    notice = _template("isc", "grant")
+    long = "words of a very long text " * 400_000 + notice + " and so on" * 100_000
+    r = _labels(spark, [long])[0]
+    assert r.labels == "isc" and r.score == 1.0 and r.n_words == len(long.split()) + 1  # "and/or"
+    with pytest.raises(ValueError, match="distinct words"):
+        licenses.Index([("x", "short", "too short a text")])
+    with pytest.raises(ValueError, match="containment"):
+        licenses.Index(containment=0)
 
 
 def _personal(text):
