@@ -1,12 +1,16 @@
 """Quality, licenses, personal data, mixing, chat and media against plain Python."""
 
+import gzip
 import hashlib
+import math
 import pathlib
+import pydoc_data.topics
 import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -59,6 +63,85 @@ def test_quality_of_a_hot_junk_source(spark, small):
     assert quality.judge(small.limit(0).select(junk.columns).unionByName(junk)).filter("kept").count() == 0
 
 
+def _plain_verdict(text, language):
+    """kept and both distances of one text, from its characters and words."""
+    text = text or ""
+    w = WORD.findall(text)
+    ascii_lower = [x.translate({c: c + 32 for c in range(65, 91)}) for x in w]
+    sets = ["aeiou", "bcdfghjklmnpqrstvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t", "\n\r", ".", ",;:", "!?", "'\"()-", "#*$%&|<>@^~_\\/=+`[]{}"]
+    chars = [0] * 12
+    for ch in text:
+        chars[1 if ord(ch) > 127 else next((i for i, x in enumerate(sets) if ch in x), 11)] += 1
+    log = lambda p, m: p * math.log2(p / m) if p else 0.0
+
+    def near(counts, references, chance):
+        size = max(sum(counts.values()), 1)
+        p = {k: v / size for k, v in counts.items()}
+        best = 1.0
+        for q in references:
+            mid = {k: (p.get(k, 0) + q.get(k, 0)) / 2 for k in {*p, *q}}
+            d = sum(log(p.get(k, 0), m) + log(q.get(k, 0), m) for k, m in mid.items()) / 2
+            best = min(best, math.sqrt(min(max(d, 0), 1)))
+        return math.sqrt(max(best**2 - chance / size, 0))
+
+    char_refs, word_refs = [], []
+    for lang, common in quality.COMMON.items():
+        for row in ((*quality.LETTERS[lang], *quality.REST), quality.MEASURED[lang]):
+            char_refs.append({i: x / sum(row) for i, x in enumerate(row)})
+        for share, power in (*quality.STYLES, quality.FITTED[lang]):
+            rates = [(i + 1) ** -power for i in range(len(common.split()))]
+            word_refs.append({**{x: share * r / sum(rates) for x, r in zip(common.split(), rates, strict=True)}, None: 1 - share})
+    listed = {x for t in quality.COMMON.values() for x in t.split()}
+    c = near(dict(enumerate(chars)), char_refs, quality.CHAR_CHANCE)
+    words_of = {None: 0}
+    for x in ascii_lower:
+        k = x if x in listed else None
+        words_of[k] = words_of.get(k, 0) + 1
+    d = near(words_of, word_refs, quality.WORD_CHANCE)
+    foreign = (language or "und").lower().split("-")[0] not in (*quality.COMMON, "und")
+    inside = sum(map(len, w))
+    good = foreign or ((inside < quality.MIN_CHARS or c <= quality.CHAR_LIMIT) and (len(w) < quality.MIN_WORDS or d <= quality.WORD_LIMIT))
+    return good and not _base(text)[5], c, d
+
+
+def test_quality_verdicts_equal_plain_python(odd, odd_rows, small, small_rows):
+    for docs, rows in ((odd, [(r[0], r[1], r[2]) for r in odd_rows]), (small, [(d, r.text, r.lang) for d, r in small_rows.items()])):
+        key = lambda r: (str(r[0]), r[1:])
+        got = sorted(((r.doc_id, r.kept, r.char_distance, r.word_distance) for r in quality.judge(docs).collect()), key=key)
+        want = sorted(((d, *_plain_verdict(t, lang)) for d, t, lang in rows), key=key)
+        assert [g[:2] for g in got] == [w[:2] for w in want]
+        assert np.allclose([g[2:] for g in got], [w[2:] for w in want], atol=1e-6)
+
+
+def _paragraphs(text):
+    found = (" ".join(p.split()) for p in re.split(r"\n\s*\n", text))
+    return [p for p in found if len(p.split()) >= 30 and p.endswith(".") and p[0].isupper() and not p.isupper()]
+
+
+def _manual_pages(language):
+    for f in sorted(pathlib.Path("/usr/share/man", language).glob("man*/*.gz"))[::2]:
+        t = re.sub(r"\\f[A-Z(]|\\f\[[A-Z]*\]|\\&", "", gzip.open(f).read().decode("utf-8", "replace")).replace("\\-", "-")
+        yield re.sub(r"(?m)^[.'].*$", "\n", re.sub(r"(?m)^\.[BI]R? (.*)$", r"\1", re.sub(r"\\\[..\]|\\\(..|\\.", "", t)))
+
+
+@pytest.mark.parametrize("language", ["en", "de", "fr", "es"])
+def test_quality_keeps_real_prose(language):
+    """Under 3 % of passages of 200 words are rejected; the same words with a symbol each all are."""
+    texts = list(pydoc_data.topics.topics.values()) if language == "en" else list(_manual_pages(language))
+    passages = []
+    for t in texts:
+        w = " ".join(_paragraphs(t)).split()
+        passages += [" ".join(w[i : i + 200]) for i in range(0, len(w) - 199, 200)]
+    if len(passages) < 10:
+        pytest.skip("too few texts of the language on this machine")
+    known = np.zeros(len(passages), bool)
+    m = quality.measure(pa.array(passages))
+    rejected = ~m["base_failed"] & ~quality._verdict(m, known)[0]
+    assert rejected.sum() < 0.03 * len(passages)
+    junk = quality.measure(pa.array([p.replace(" ", "### ") for p in passages]))
+    assert not quality._verdict(junk, known)[0].any()
+
+
 def test_quality_passes_languages_without_a_reference(spark):
     text = " ".join(f"日本語{i}文章" for i in range(150))
     docs = spark.createDataFrame([(0, text, "ja"), (1, text, "en"), (2, "short", "ja"), (3, text, "en-US"), (4, text, None)], "doc_id long, text string, lang string")
