@@ -453,11 +453,12 @@ def classes(docs: DataFrame, k: int = 4, percent: int = 85) -> DataFrame:
     # most rows of equal sets go here, the others with the points below
     tokens = lambda prefix: common.sift(named.select("doc_id", "n", prefix), chosen).select("doc_id", "n", F.explode(prefix).alias("token"))
     ends = F.min("doc_id"), F.max("doc_id")
-    rare = tokens("prefix").select("*", *(e.over(Window.partitionBy("token")).alias(c) for e, c in zip(ends, ("hub", "last"), strict=True)))
-    # hot tokens are never in one task: their ends are combined map-side, and go back to at most FREQUENT of them
-    shared = tokens("often").groupBy("token").agg(*(e.alias(c) for e, c in zip(ends, ("hub", "last"), strict=True)))
-    often = tokens("often").join(F.broadcast(shared), "token")
-    both = rare.select("hub", "last", "doc_id", "n").unionByName(often.select("hub", "last", "doc_id", "n")).filter("hub < last")
+    # a token's ends are combined map-side and joined back, so no token's rows are one group: those of the often ones
+    # (at most FREQUENT) stay where they are, a large part of the others can be split by AQE
+    ends_of = lambda rows: rows.groupBy("token").agg(*(e.alias(c) for e, c in zip(ends, ("hub", "last"), strict=True))).filter("hub < last")
+    rare = tokens("prefix").join(ends_of(tokens("prefix")), "token")
+    often = tokens("often").join(F.broadcast(ends_of(tokens("often"))), "token")
+    both = rare.select("hub", "doc_id", "n").unionByName(often.select("hub", "doc_id", "n"))
     met = common.table(both.groupBy("hub", "doc_id").agg(F.max("n").alias("n")), "meetings")
     points = common.table(named.join(chosen, ["doc_id", "key_a", "key_b"], "left_semi").select("doc_id", "n", "vec").dropDuplicates(["doc_id", "n"]), "points")
 
