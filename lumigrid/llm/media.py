@@ -121,6 +121,6 @@ def describe(decoded: DataFrame) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """Streams are written as a table, their PCM blocks as another, which is read back and described."""
+    """Streams are written as a table, which is read back; the PCM blocks decoded from it go to their description batch by batch."""
     streams = common.table(store(common.documents(spark, sf_dir)), "media-streams", "zstd")
-    return describe(common.table(decode(streams), "pcm-blocks", "zstd"))
+    return describe(decode(streams))

@@ -5,7 +5,7 @@ import time
 
 import pytest
 
-from lumigrid.llm import chat, jaccard, pii
+from lumigrid.llm import chat, common, jaccard, media, pii
 
 
 @pytest.mark.parametrize("repeated", [False, True])
@@ -83,3 +83,11 @@ def test_templates_may_not_index_the_stream():
         with pytest.raises(chat.TemplateError):
             chat.render(source, [{"role": "user", "text": "x"}])
     assert chat.render("{% for t in messages %}{{ t['text'] }}{{ t.role }}{% endfor %}", [{"role": "user", "text": "x"}])[0] == "xuser"
+
+
+def test_media_query_writes_streams_only(spark, sf, monkeypatch):
+    """The streams are stored and read back; what is decoded from them isn't written a second time."""
+    written, table = [], common.table
+    monkeypatch.setattr(common, "table", lambda df, name, *more: written.append(name) or table(df, name, *more))
+    got = media.query(spark, sf)
+    assert got.count() == common.documents(spark, sf).count() and written == ["media-streams"]
