@@ -254,3 +254,19 @@ def test_extraction_query_keeps_every_page(spark, sf):
     for r in joined:
         plain = " ".join(Page(r.html[r.html.index("<article>") : r.html.index("</article>")]).blocks[0][1].split())
         assert r.text.startswith(plain)
+
+
+def test_long_child_lists_are_matched_like_short_ones(monkeypatch):
+    """One exact method whatever the lists' lengths: the size only says how many rows of scores are held."""
+    names = ["".join(chr(97 + (i // 26**k) % 26) for k in range(3)) for i in range(260)]
+    moved = wrappers.Tree.parse(f"page(div.x,{','.join(f'div.{n}' for n in names)})")[0]
+    back = wrappers.Tree.parse(f"page({','.join(f'div.{n}' for n in names)},div.x)")[0]
+    assert len(moved.children) * len(back.children) > wrappers.WIDE
+    assert wrappers.match(moved, back, {}) == 261 and len(wrappers.align(moved, back)) == 261  # first come first served would give 2
+    rnd = random.Random(3)
+    for _ in range(40):
+        a, b = ([wrappers.Tree.parse(rnd.choice(["p", "div(p)", "div(p,ul)", "div(h1,p,ul)", "ul"]))[0] for _ in range(rnd.randint(1, 14))] for _ in range(2))
+        with monkeypatch.context() as m:
+            short = wrappers._pairs(a, b, {})
+            m.setattr(wrappers, "WIDE", 0)
+            assert wrappers._pairs(a, b, {}) == short
