@@ -11,6 +11,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -155,8 +156,8 @@ SPARE, ROUNDS, SETTLED = 12, 40, 1e-11
 SPANNED = 96
 #: Values of a factor up to which it goes to all tasks (64 MB); a larger one is joined.
 SENT = 8 << 20
-#: Partial sums of a product a task holds before it hands them on.
-SUMS = 128
+#: Partial sums of a product a task holds before it hands them on, and blocks in a batch of them.
+SUMS, HANDED = 128, 16
 
 _TILE = "pb long, gb long, ps array<long>, gs array<long>, data binary"
 _BLOCK = "b long, ids array<long>, m binary"
@@ -185,37 +186,58 @@ def _tile(t: pa.Table) -> pa.Table:
     return pa.table({"pb": t["pb"][:1], "gb": t["gb"][:1], "ps": [p.tolist()], "gs": [g.tolist()], "data": pa.array([data.tobytes()], pa.binary())})
 
 
+def _blocks(rows: Iterator[tuple[int, np.ndarray, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+    """Blocks a few at a time, so no task holds more than these beside what they are made from."""
+    rows = iter(rows)
+    while some := list(islice(rows, HANDED)):
+        yield _block(some)
+
+
 @dataclass
 class Factor:
-    """Rows of ``width`` numbers per pixel or frame, in blocks of ``SIDE`` ids: (b, ids, m)."""
+    """Rows of ``width`` numbers per pixel or frame, in blocks of ``SIDE`` ids: (b, ids, m), to be multiplied by ``by`` where that is given.
+
+    Products with small matrices gather in ``by``: whatever their number, a task has one Python worker for them.
+    """
 
-    blocks: DataFrame
+    stored: DataFrame
     width: int
     path: str = ""
+    by: np.ndarray | None = None
+
+    def _read(self) -> Callable[[pa.RecordBatch], Iterator[tuple[int, np.ndarray, np.ndarray]]]:
+        by, width = self.by, self.width if self.by is None else len(self.by)
+
+        def run(b: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+            for i in range(b.num_rows):
+                ids = _ids(b.column(1), i)
+                m = _dense(b.column(2)[i], len(ids), width)
+                yield b.column(0)[i].as_py(), ids, m if by is None else m @ by
+
+        return run
+
+    @property
+    def blocks(self) -> DataFrame:
+        if self.by is None:
+            return self.stored
+        read = self._read()
+        return self.stored.mapInArrow(lambda batches: (out for b in batches for out in _blocks(read(b))), _BLOCK)
 
     def rows(self) -> DataFrame:
         """(id, v): an id's numbers as an array."""
-        width = self.width
+        width, read = self.width, self._read()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for i in range(b.num_rows):
-                    ids = _ids(b.column(1), i)
-                    flat = pa.array(_dense(b.column(2)[i], len(ids), width).ravel())
-                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * width, pa.int32()), flat)
+                for _, ids, m in read(b):
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(len(ids) + 1) * width, pa.int32()), pa.array(m.ravel()))
                     yield pa.RecordBatch.from_arrays([pa.array(ids), lists], names=["id", "v"])
 
-        return self.blocks.mapInArrow(run, "id long, v array<double>")
+        return self.stored.mapInArrow(run, "id long, v array<double>")
 
     def times(self, m: np.ndarray) -> Factor:
         """The factor's rows times a small matrix; not written."""
-        width = self.width
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                yield _block([(b.column(0)[i].as_py(), ids := _ids(b.column(1), i), _dense(b.column(2)[i], len(ids), width) @ m) for i in range(b.num_rows)])
-
-        return Factor(self.blocks.mapInArrow(run, _BLOCK), m.shape[1])
+        return Factor(self.stored, m.shape[1], by=m if self.by is None else self.by @ m)
 
     def saved(self, name: str) -> Factor:
         blocks, path = shared.save(self.blocks, name)
@@ -223,10 +245,10 @@ class Factor:
 
     def drop(self) -> None:
         if self.path:
-            shared.remove(self.blocks.sparkSession, self.path)
+            shared.remove(self.stored.sparkSession, self.path)
 
     def size(self) -> int:
-        return (self.blocks.agg(F.sum(F.size("ids"))).first()[0] or 0) * self.width
+        return (self.stored.agg(F.sum(F.size("ids"))).first()[0] or 0) * self.width
 
 
 def _folded(df: DataFrame, make: Callable[[], Callable[[np.ndarray], np.ndarray | None]], width: int) -> np.ndarray | None:
@@ -329,10 +351,9 @@ class Movie:
                     seen[ids % SIDE] = True
                     sums[ids % SIDE] += tile @ far
                 if len(held) > SUMS:
-                    yield _block([(k, k * SIDE + np.flatnonzero(s), m[s]) for k, (s, m) in held.items()])
+                    yield from _blocks((k, k * SIDE + np.flatnonzero(s), m[s]) for k, (s, m) in held.items())
                     held.clear()
-            if held:
-                yield _block([(k, k * SIDE + np.flatnonzero(s), m[s]) for k, (s, m) in held.items()])
+            yield from _blocks((k, k * SIDE + np.flatnonzero(s), m[s]) for k, (s, m) in held.items())
 
         def add(t: pa.Table) -> pa.Table:
             seen, sums = np.zeros(SIDE, bool), np.zeros((SIDE, width))

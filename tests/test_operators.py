@@ -384,3 +384,18 @@ def test_two_level_rank_equals_one_window(spark):
         ch = g * 7 % 3
         assert got[g] == seen[ch]
         seen[ch] += 1
+
+
+def test_products_of_a_factor_share_one_worker(spark):
+    """However many small matrices follow each other, reading them takes one Python step, and blocks leave it a few at a time."""
+    rng = np.random.default_rng(2)
+    m, a, b = rng.normal(size=(5000, 3)), rng.normal(size=(3, 4)), rng.normal(size=(4, 2))
+    blocks = [(i, list(range(i * 256, min(5000, i * 256 + 256))), m[i * 256 : i * 256 + 256].tobytes()) for i in range(20)]
+    twice = decompose.Factor(spark.createDataFrame(blocks, decompose._BLOCK), 3).times(a).times(b)
+    for table in (twice.rows(), twice.blocks):
+        assert table._jdf.queryExecution().sparkPlan().toString().count("MapInArrow") == 1
+    got = {r.id: r.v for r in twice.rows().collect()}
+    np.testing.assert_allclose([got[i] for i in range(5000)], m @ a @ b, atol=1e-9)
+    saved = np.concatenate([np.frombuffer(bytes(r.m)).reshape(-1, 2) for r in twice.blocks.orderBy("b").collect()])
+    np.testing.assert_allclose(saved, m @ a @ b, atol=1e-9)
+    assert [x.num_rows for x in decompose._blocks((0, np.arange(1), np.zeros((1, 1))) for _ in range(40))] == [16, 16, 8]
