@@ -47,7 +47,7 @@ def best_fit_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
     Null and empty texts are one end id. Repeated rows are placed each; which of them comes first is arbitrary.
     """
-    return packing.pack_documents(docs)
+    return packing.pack_documents(docs, units=250_000)  # the workers hold what earlier stages took as well
 
 
 STAGES = [

@@ -28,6 +28,8 @@ from .token_files import with_end
 CAPACITY = 1024
 #: Of the fitted counts; best-fit gets the rest, so that it still meets every length.
 FITTED_SHARE = 0.9
+#: Text bytes tokenized at once.
+_CHUNK = 1 << 20
 
 
 def exact_patterns(present: np.ndarray, capacity: int) -> np.ndarray:
@@ -148,12 +150,14 @@ _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa
 _PIECES_SQL = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, task_rank long"
 
 
-def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
-    """Tokenizes whole texts; one row per piece. A document's first piece takes what doesn't fill a sequence."""
+def pieces(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = tokens.VOCABULARY, units: int = tokens.STORE_UNITS) -> DataFrame:
+    """Tokenizes whole texts; one row per piece. A document's first piece takes what doesn't fill a sequence. A worker remembers ``units``."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        enc, task, seen = tokens.encoder(vocabulary), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
-        for part in common.chunks(batches):
+        if not tokens.loaded(vocabulary):
+            common.trim()
+        enc, task, seen = tokens.encoder(vocabulary, units), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        for part in common.chunks(batches, size=_CHUNK):
             ids, n = with_end(*enc.encode(part.column(1)))
             many = -(-n // capacity)
             owner = np.repeat(np.arange(len(n)), many)
@@ -193,12 +197,12 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     return keyed.mapInArrow(assign, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = tokens.VOCABULARY) -> DataFrame:
+def pack_documents(docs: DataFrame, capacity: int = CAPACITY, vocabulary: str = tokens.VOCABULARY, units: int = tokens.STORE_UNITS) -> DataFrame:
     """Packs every document (null text: empty, just the end id) into sequences of at most ``capacity`` ids.
 
     Empty input gives no rows; repeated rows are packed each; a null doc_id stays null.
     """
-    return pack(pieces(docs, capacity, vocabulary), capacity)
+    return pack(pieces(docs, capacity, vocabulary, units), capacity)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

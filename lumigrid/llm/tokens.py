@@ -27,6 +27,8 @@ VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
 END_ID = 2
 #: Units a worker keeps, about 60 bytes each; longer units aren't kept.
 STORE_UNITS, STORE_LENGTH = 1_000_000, 48
+#: Pieces that go through the library at once: its results are some KB each beside the ids.
+AT_ONCE = 1024
 
 #: White space of the split pattern and of Python, as RE2 writes it.
 _SPACE = r"\x09-\x0d\x1c-\x1f \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
@@ -99,8 +101,9 @@ class UnitEncoder:
     def _ids(self, row: int) -> list[int]:
         return self.pool[self.starts[row] : self.starts[row] + self.lens[row]].tolist()
 
-    def _library(self, pieces: list[str]) -> list[list[int]]:
-        return [e.ids for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def _library(self, pieces: list[str], tokenizer=None) -> list[list[int]]:
+        encode = (tokenizer or self.tokenizer).encode_batch_fast
+        return [e.ids for i in range(0, len(pieces), AT_ONCE) for e in encode(pieces[i : i + AT_ONCE], add_special_tokens=False)]
 
     def _learn(self, units: list[str]) -> np.ndarray:
         """Rows for units (without their leading space) that have none yet."""
@@ -112,7 +115,7 @@ class UnitEncoder:
         plain = [*(u for u in units if u not in there), *(c for c in stems if c not in got)]
         letters = [u for u in plain if u.isascii() and u.isalpha()]
         other = [u for u in plain if not (u.isascii() and u.isalpha())]
-        ids = [e.ids for e in self.words.encode_batch_fast(["Ġ" + u for u in letters], add_special_tokens=False)]
+        ids = self._library(["Ġ" + u for u in letters], self.words)
         got.update(zip([*letters, *other], self._put([*ids, *self._library([" " + u for u in other])]), strict=True))
         tails = list({u[len(c) :] for u, c in closed})
         tail = dict(zip(tails, self._library(tails), strict=True))
@@ -162,13 +165,18 @@ class UnitEncoder:
 _encoders: dict[str, UnitEncoder] = {}
 
 
-def encoder(path: str = VOCABULARY) -> UnitEncoder:
-    """One encoder for each vocabulary and Python worker."""
+def encoder(path: str = VOCABULARY, units: int = STORE_UNITS) -> UnitEncoder:
+    """One encoder for each vocabulary and Python worker; it keeps ``units`` from here on."""
     if path not in _encoders:
         _encoders[path] = UnitEncoder(path)
+    _encoders[path].limit = units
     return _encoders[path]
 
 
+def loaded(path: str = VOCABULARY) -> bool:
+    return path in _encoders
+
+
 def forget() -> None:
     """Drops this worker's encoders."""
     _encoders.clear()

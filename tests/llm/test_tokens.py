@@ -136,3 +136,26 @@ def test_fit_follows_the_histogram():
     miss[0] = 0
     slope = np.array([miss[p[p > 0]].sum() for p in patterns])
     assert (x >= 0).all() and (np.abs(slope[x > 1e-6]) < 1e-3).all() and (slope > -1e-3).all()
+
+
+def test_ids_don_t_depend_on_slices_or_store(monkeypatch):
+    """The library gets pieces a few at a time; a small store is emptied and filled again."""
+    from lumigrid.llm import tokens
+
+    calls = []
+    plain = tokens.UnitEncoder()
+    texts = pa.array([" ".join(f"w{i * j % 97} x{i}, Yes{j}." for j in range(40)) for i in range(12)] + [None, ""])
+    want = [[e for e in plain.tokenizer.encode(t or "", add_special_tokens=False).ids] for t in texts.to_pylist()]
+    monkeypatch.setattr(tokens, "AT_ONCE", 7)
+    small = tokens.UnitEncoder(units=20)
+
+    class Library:
+        def encode_batch_fast(self, pieces, **more):
+            calls.append(len(pieces))
+            return real.encode_batch_fast(pieces, **more)
+
+    real, small.tokenizer = small.tokenizer, Library()
+    for _ in range(2):
+        ids, lens = small.encode(texts)
+        assert [x.tolist() for x in np.split(ids, np.cumsum(lens)[:-1])] == want
+    assert calls and max(calls) <= 7
