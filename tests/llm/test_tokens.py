@@ -159,3 +159,58 @@ def test_ids_don_t_depend_on_slices_or_store(monkeypatch):
         ids, lens = small.encode(texts)
         assert [x.tolist() for x in np.split(ids, np.cumsum(lens)[:-1])] == want
     assert calls and max(calls) <= 7
+
+
+def _counted(enc, monkeypatch):
+    """Wraps both tokenizers of an encoder; the list grows by the inputs of each call."""
+    sent = []
+
+    class Counted:
+        def __init__(self, real):
+            self.real = real
+
+        def encode_batch_fast(self, pieces, **more):
+            sent.extend(pieces)
+            return self.real.encode_batch_fast(pieces, **more)
+
+    monkeypatch.setattr(enc, "tokenizer", Counted(enc.tokenizer))
+    monkeypatch.setattr(enc, "words", Counted(enc.words))
+    return sent
+
+
+@pytest.mark.parametrize("ending", ["", ".", ",\nAnd", "'s", "!?", "\n\n", "\u3002"])
+def test_new_units_go_to_the_library_in_lines(ending, monkeypatch):
+    """One call's overhead for many new units, whatever their kind; one by one they took most of op1's and op7's time."""
+    enc = tokens.UnitEncoder()
+    sent = _counted(enc, monkeypatch)
+    text = "Begin " + " ".join(f"{'aeiouñö'[i % 7]}{chr(97 + i % 26)}w{'xyz'[i % 3]}{chr(97 + i // 26 % 26)}{i}{ending}" for i in range(3000))
+    assert enc.encode(pa.array([text]))[0].tolist() == _ids(text)
+    assert len(sent) <= 12
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(st.sampled_from(list("aZéßÿœжя×÷²0 7  .,'\n\t\0\x1c\x7f\x85\xa0¡_日́😀\u3000ΑΩҁ҂")), max_size=40), max_size=6))
+def test_lines_of_odd_units_equal_the_library(texts):
+    enc = test_lines_of_odd_units_equal_the_library.enc
+    enc._empty()
+    ids, lens = enc.encode(pa.array(texts, pa.string()))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lens)[:-1])] == [_ids(t) for t in texts] or not texts
+
+
+test_lines_of_odd_units_equal_the_library.enc = tokens.UnitEncoder()
+
+
+def test_every_character_beside_letters_digits_and_signs():
+    """The classes of bytes agree with the split pattern's: each character up to U+0600 between, before and after runs."""
+    marks = [chr(c) for c in range(1, 0x600)]
+    texts = [f"b a{c}b7{c}8.{c}, {c}ab {c}7 .{c}{c}x, a{c}" for c in marks]
+    ids, lens = tokens.UnitEncoder().encode(pa.array(texts))
+    assert [x.tolist() for x in np.split(ids, np.cumsum(lens)[:-1])] == [_ids(t) for t in texts]
+
+
+def test_tokens_that_don_t_spell_their_bytes(monkeypatch):
+    """Where lines can't be cut by bytes, units go one by one."""
+    enc = tokens.UnitEncoder()
+    monkeypatch.setattr(enc, "widths", enc.widths + 1)
+    text = "One two, three's four. 5 six"
+    assert enc.encode(pa.array([text]))[0].tolist() == _ids(text)
